@@ -17,22 +17,28 @@ def ranged(df: DataFrame, keys: list[str], position: str, span: int = SPAN) -> D
     return df.withColumn("_range", F.floor(F.col(position) / span)).repartition(*keys, "_range")
 
 
-def running_total(df: DataFrame, keys: list[str], position: str, value: Column, name: str, span: int = SPAN) -> DataFrame:
-    """Adds `name`, the sum of `value` over the key's earlier rows, this one left out.
+def running_totals(df: DataFrame, keys: list[str], position: str, values: dict[str, Column], order: list[str] = (), span: int = SPAN) -> DataFrame:
+    """Adds for each (name, value) the sum of the value over the key's earlier rows, this one left out.
 
-    `position` is a long that is unique within the key; rows with a null position come first.
+    Rows are ordered by `position` (a long; nulls first), and where that ties by `order`; rows that tie in both get
+    their places in any order. Null keys form a key of their own.
     """
     if "_range" not in df.columns:
         df = ranged(df, keys, position, span)
     within = Window.partitionBy(*keys, "_range")
-    before = within.orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("_value", value.cast("bigint"))
-    totals = df.groupBy(*keys, "_range").agg(F.sum("_value").alias("_total"))
+    before = within.orderBy(position, *order).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumns({f"_value_{n}": v.cast("bigint") for n, v in values.items()})
+    totals = df.groupBy(*keys, "_range").agg(*(F.sum(f"_value_{n}").alias(n) for n in values))
     ahead = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_range").alias("_kr"), F.coalesce(F.sum("_total").over(ahead), F.lit(0)).alias("_ahead"))
+    totals = totals.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_range").alias("_kr"), *(F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"_ahead_{n}") for n in values))
     same = F.col("_range").eqNullSafe(F.col("_kr"))
     for i, k in enumerate(keys):
         same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    local = df.withColumn("_local", F.coalesce(F.sum("_value").over(before), F.lit(0)))
-    out = local.join(totals, same, "left").withColumn(name, F.col("_local") + F.coalesce("_ahead", F.lit(0)))
-    return out.drop("_value", "_local", "_ahead", "_range", "_kr", *(f"_k{i}" for i in range(len(keys))))
+    local = df.withColumns({f"_local_{n}": F.coalesce(F.sum(f"_value_{n}").over(before), F.lit(0)) for n in values})
+    out = local.join(totals, same, "left").withColumns({n: F.col(f"_local_{n}") + F.coalesce(f"_ahead_{n}", F.lit(0)) for n in values})
+    return out.drop("_range", "_kr", *(f"_k{i}" for i in range(len(keys))), *(f"_{p}_{n}" for n in values for p in ("value", "local", "ahead")))
+
+
+def running_total(df: DataFrame, keys: list[str], position: str, value: Column, name: str, span: int = SPAN) -> DataFrame:
+    """running_totals for one value; `position` is unique within the key."""
+    return running_totals(df, keys, position, {name: value}, span=span)
