@@ -7,9 +7,11 @@ BANDS * ROWS shingles of each text so that two texts draw the same with a chance
 bands make candidates, and each candidate is verified on whole texts.
 
 Of a bucket (the texts that share a band) no pairs are emitted at large. A leader is compared with the others; what proves
-similar is joined into components, and only buckets that still hold more than one component go on, with up to LEADERS new leaders
-from their smaller components in each round, until no two texts of different components are left uncompared. So no link
-between components is lost, and a bucket costs rows in proportion to its size and leaders.
+similar is joined into components, and only buckets that still hold more than one component go on: with two leaders from their
+largest component for CENTRAL rounds, then with LEADERS from the smallest ones, four times as many in each later round, until
+no two texts of different components are left uncompared.
+So no link between components is lost. Texts whose total weights differ too much to be similar never meet: buckets are split
+by classes of total weight, each text being in its class and the next.
 """
 
 import math
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 from logweave.llm.common import durable, map_rows, texts
 
 SHINGLE, SIMILAR = 5, 0.8
-BANDS, ROWS = 12, 3
-DAMP, DF_BUCKETS, LEADERS = 0.25, 1 << 16, 8
+BANDS, ROWS = 24, 6
+DAMP, DF_BUCKETS, LEADERS = 0.25, 1 << 16, 16
+#: Rounds in which leaders come from a bucket's largest component.
+CENTRAL = 3
 MOST_WORDS = 300_000
 words = re.compile(r"\w+").findall
 _U = np.uint64
@@ -212,49 +216,55 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     clean = texts(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("node", F.unhex(F.md5(F.col("text").cast("binary"))))
     shared = spark.sparkContext.broadcast(word_factors(clean))
 
+    step = math.log(1 / similar)
+
     def sign(source):
         s = Shingler(shared.value)
         for node, text in source:
             names, weights = s(text)
             if len(names):
-                yield node, bands(samples(names, weights)).tolist()
-
-    signed = map_rows(clean.select("node", "text"), sign, "node binary, bands array<bigint>")
-    keys = signed.select("node", F.posexplode("bands").alias("band", "key")).distinct()
-    keys = durable(keys)
-    shared_keys = keys.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node").alias("order"), "node")).alias("leader")).where("n > 1")
-    members = durable(keys.join(shared_keys, ["band", "key"]).select("band", "key", "node", F.col("leader.node").alias("leader")))
-    by_node = clean.select("node", "text", "doc_id")
-    tried = durable(members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
+                yield node, math.floor(math.log(weights.sum()) / step), bands(samples(names, weights)).tolist()
+
+    signed = map_rows(clean.select("node", "text"), sign, "node binary, class int, bands array<bigint>")
+    keys = durable(signed.select("node", "class", F.posexplode("bands").alias("band", "key")).distinct())
+    often = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
+    bucket = ["band", "key", "class"]
+    split = keys.join(often, ["band", "key"], "left_semi").select("band", "key", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), "node")
+    split = durable(split)
+    first = split.groupBy(*bucket).agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node").alias("order"), "node")).alias("leader")).where("n > 1")
+    members = durable(split.join(first, bucket).select(*bucket, "node", F.col("leader.node").alias("leader")))
+    tried = durable(members.where("node <> leader").select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct())
     # One row for each text that is in a shared bucket: the only texts that are read again.
-    wanted = members.select("node").distinct()
-    one = by_node.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi")
-    held = durable(by_node.join(one, [by_node["node"] == one["node"], by_node["doc_id"].eqNullSafe(one["doc_id"])], "left_semi").select("node", "text").dropDuplicates(["node"]))
-    links = durable(verified(tried, held, shared, similar))
-    comps = components(links)
-    open_ = members.select("band", "key", "node").where(F.lit(True))
-    retired = members.select("band", "key", F.col("leader").alias("node")).distinct()
+    by_node = clean.select("node", "text", "doc_id")
+    one = by_node.groupBy("node").agg(F.min("doc_id").alias("_least")).join(members.select("node").distinct(), "node", "left_semi").withColumnRenamed("node", "_node")
+    held = durable(by_node.join(one, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi").select("node", "text").dropDuplicates(["node"]))
+    comps = components(durable(verified(tried, held, shared, similar)))
+    open_ = members.select(*bucket, "node")
+    retired = members.select(*bucket, F.col("leader").alias("node")).distinct()
+    tries = 0
     while True:
-        # Buckets that hold more than one component, and their members that have led already.
+        # Buckets that hold more than one component, and their members that haven't led yet.
         placed = open_.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "key")
-        open_ = durable(placed.join(mixed, ["band", "key"], "left_semi"))
+        mixed = placed.groupBy(*bucket).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(*bucket)
+        open_ = durable(placed.join(mixed, bucket, "left_semi"))
         if open_.isEmpty():
             break
-        fresh = open_.join(retired, ["band", "key", "node"], "left_anti")
-        sizes = open_.groupBy("band", "key", "comp").agg(F.count("*").alias("size"))
-        order = Window.partitionBy("band", "key").orderBy("size", "comp", "node")
-        lead = durable(fresh.join(sizes, ["band", "key", "comp"]).withColumn("nr", F.row_number().over(order)).where(F.col("nr") <= LEADERS).select("band", "key", F.col("node").alias("b"), F.col("comp").alias("comp_b")))
+        fresh = open_.join(retired, [*bucket, "node"], "left_anti")
+        sizes = open_.groupBy(*bucket, "comp").agg(F.count("*").alias("size"))
+        # At first from the largest component, which most others turn out to be linked to; later from the smallest.
+        size = F.desc("size") if tries < CENTRAL else F.asc("size")
+        order = Window.partitionBy(*bucket).orderBy(size, F.xxhash64("node"), "node")
+        leaders = 2 if tries < CENTRAL else LEADERS * 4 ** (tries - CENTRAL)
+        tries += 1
+        lead = durable(fresh.join(sizes, [*bucket, "comp"]).withColumn("nr", F.row_number().over(order)).where(F.col("nr") <= leaders).select(*bucket, F.col("node").alias("led"), F.col("comp").alias("comp_led")))
         if lead.isEmpty():
             break
-        pairs = open_.join(lead, ["band", "key"]).where("comp <> comp_b").select(F.col("node").alias("a"), "b")
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        known = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        pairs = durable(pairs.join(known, ["a", "b"], "left_anti"))
+        pairs = open_.join(lead, bucket).where("comp <> comp_led").select(F.greatest("node", "led").alias("a"), F.least("node", "led").alias("b")).distinct()
+        pairs = durable(pairs.join(tried, ["a", "b"], "left_anti"))
         more = durable(verified(pairs, held, shared, similar))
-        tried = tried.unionByName(pairs)
-        retired = retired.unionByName(lead.select("band", "key", F.col("b").alias("node")))
-        open_ = open_.select("band", "key", "node")
+        tried = durable(tried.unionByName(pairs))
+        retired = durable(retired.unionByName(lead.select(*bucket, F.col("led").alias("node"))))
+        open_ = open_.select(*bucket, "node")
         if not more.isEmpty():
             comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
     rows = clean.select("doc_id", "node")
