@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from logweave.llm.common import map_rows, texts
 
 #: Bounds of what is fitted: labelled rows (those with the least hash of their id), terms, examples to a block, neighbours.
-FIT_ROWS, MOST_TERMS, BLOCK, NEAREST = 20_000, 2048, 64, 25
+FIT_ROWS, MOST_TERMS, BLOCK, NEAREST = 6_000, 256, 64, 25
 #: A term goes with the label if it is in this many toxic texts and this many standard errors over the rate.
 LEAST_TEXTS, LEAST_Z = 5, 5.0
 TOXIC_AT = 0.7
