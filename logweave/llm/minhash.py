@@ -8,10 +8,13 @@ bands make candidates, and each candidate is verified on whole texts.
 
 Of a bucket (the texts that share a band) no pairs are emitted at large. A leader is compared with the others; what proves
 similar is joined into components, and only buckets that still hold more than one component go on: with two leaders from their
-largest component for CENTRAL rounds, then with LEADERS from the smallest ones, four times as many in each later round, until
+largest component for CENTRAL rounds, then with LEADERS from the smallest ones, eight times as many in each later round, until
 no two texts of different components are left uncompared.
 So no link between components is lost. Texts whose total weights differ too much to be similar never meet: buckets are split
-by classes of total weight, each text being in its class and the next.
+by classes of total weight, each text being in its class and the next. Nor do texts meet that can't be similar because of their
+own shingles, those in no other candidate text: what two texts share is at most what either has besides its own, and must be
+similar / (1 + similar) of their total weights. The first leader of a bucket is the text with the least share of own
+shingles, which is the middle of a group of near copies.
 """
 
 import math
@@ -26,9 +29,9 @@ from logweave.llm.common import durable, map_rows, texts
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 6
-DAMP, DF_BUCKETS, LEADERS = 0.25, 1 << 16, 16
+DAMP, DF_BUCKETS, LEADERS = 0.25, 1 << 16, 32
 #: Rounds in which leaders come from a bucket's largest component.
-CENTRAL = 3
+CENTRAL = 2
 MOST_WORDS = 300_000
 words = re.compile(r"\w+").findall
 _U = np.uint64
@@ -191,6 +194,32 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def own_weights(held: DataFrame, factor) -> DataFrame:
+    """(node, own) of (node, text) rows: the weight of the shingles that no other text has; texts without such are left out.
+
+    Shingles are counted with partial sums before the shuffle; a node goes along as two numbers.
+    """
+
+    def rows(source):
+        s = Shingler(factor.value)
+        for node, text in source:
+            names, weights = s(text)
+            hi, lo = (int.from_bytes(node[i : i + 8], "big", signed=True) for i in (0, 8))
+            yield hi, lo, names.view(np.int64).tolist(), weights.tolist()
+
+    found = map_rows(held.select("node", "text"), rows, "hi bigint, lo bigint, names array<bigint>, weights array<double>")
+    each = found.select("hi", "lo", F.inline(F.arrays_zip("names", "weights")))
+    alone = each.groupBy("names").agg(F.count("*").alias("n"), *(F.min(c).alias(c) for c in ("hi", "lo", "weights"))).where("n = 1")
+    node = F.unhex(F.concat(F.lpad(F.hex("hi"), 16, "0"), F.lpad(F.hex("lo"), 16, "0")))
+    return alone.groupBy("hi", "lo").agg(F.sum("weights").alias("own")).select(node.alias("node"), "own")
+
+
+def may_be_similar(similar: float) -> F.Column:
+    """Whether texts of total weights weight and weight_led, of which own and own_led are theirs alone, can be as similar as that."""
+    most = F.least(F.col("weight") - F.col("own"), F.col("weight_led") - F.col("own_led"))
+    return most * (1 + 1e-9) >= similar / (1 + similar) * (F.col("weight") + F.col("weight_led"))
+
+
 def verified(pairs: DataFrame, by_node: DataFrame, factor, similar: float) -> DataFrame:
     """pairs (a, b), each with its similarity; by_node: (node, text). Both whole texts meet in one row."""
     rows = pairs.join(by_node.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(by_node.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
@@ -223,24 +252,32 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
         for node, text in source:
             names, weights = s(text)
             if len(names):
-                yield node, math.floor(math.log(weights.sum()) / step), bands(samples(names, weights)).tolist()
+                weight = float(weights.sum())
+                yield node, weight, math.floor(math.log(weight) / step), bands(samples(names, weights)).tolist()
 
-    signed = map_rows(clean.select("node", "text"), sign, "node binary, class int, bands array<bigint>")
-    keys = durable(signed.select("node", "class", F.posexplode("bands").alias("band", "key")).distinct())
+    signed = map_rows(clean.select("node", "text"), sign, "node binary, weight double, class int, bands array<bigint>")
+    keys = durable(signed.select("node", "weight", "class", F.posexplode("bands").alias("band", "key")).distinct())
     often = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
     bucket = ["band", "key", "class"]
-    split = keys.join(often, ["band", "key"], "left_semi").select("band", "key", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), "node")
+    split = keys.join(often, ["band", "key"], "left_semi").select("band", "key", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), "node", "weight")
     split = durable(split)
-    first = split.groupBy(*bucket).agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node").alias("order"), "node")).alias("leader")).where("n > 1")
-    members = durable(split.join(first, bucket).select(*bucket, "node", F.col("leader.node").alias("leader")))
-    tried = durable(members.where("node <> leader").select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct())
+    shared_buckets = split.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1").select(*bucket)
+    members = durable(split.join(shared_buckets, bucket, "left_semi"))
     # One row for each text that is in a shared bucket: the only texts that are read again.
     by_node = clean.select("node", "text", "doc_id")
     one = by_node.groupBy("node").agg(F.min("doc_id").alias("_least")).join(members.select("node").distinct(), "node", "left_semi").withColumnRenamed("node", "_node")
     held = durable(by_node.join(one, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi").select("node", "text").dropDuplicates(["node"]))
+    members = members.join(own_weights(held, shared), "node", "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
+    members = durable(members.where((F.col("weight") - F.col("own")) * (1 + 1e-9) >= similar * F.col("weight")))
+    first = members.groupBy(*bucket).agg(F.count("*").alias("n"), F.min(F.struct((F.col("own") / F.col("weight")).alias("share"), F.xxhash64("node").alias("order"), "node", "weight", "own")).alias("leader")).where("n > 1")
+    led = first.select(*bucket, F.col("leader.node").alias("led"), F.col("leader.weight").alias("weight_led"), F.col("leader.own").alias("own_led"))
+    members = members.join(led.select(*bucket), bucket, "left_semi")
+    possible = may_be_similar(similar)
+    tried = members.join(led, bucket).where((F.col("node") != F.col("led")) & possible)
+    tried = durable(tried.select(F.greatest("node", "led").alias("a"), F.least("node", "led").alias("b")).distinct())
     comps = components(durable(verified(tried, held, shared, similar)))
-    open_ = members.select(*bucket, "node")
-    retired = members.select(*bucket, F.col("leader").alias("node")).distinct()
+    open_ = members
+    retired = led.select(*bucket, F.col("led").alias("node"))
     tries = 0
     while True:
         # Buckets that hold more than one component, and their members that haven't led yet.
@@ -253,18 +290,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
         sizes = open_.groupBy(*bucket, "comp").agg(F.count("*").alias("size"))
         # At first from the largest component, which most others turn out to be linked to; later from the smallest.
         size = F.desc("size") if tries < CENTRAL else F.asc("size")
-        order = Window.partitionBy(*bucket).orderBy(size, F.xxhash64("node"), "node")
-        leaders = 2 if tries < CENTRAL else LEADERS * 4 ** (tries - CENTRAL)
+        order = Window.partitionBy(*bucket).orderBy(size, F.col("own") / F.col("weight"), F.xxhash64("node"), "node")
+        leaders = 2 if tries < CENTRAL else LEADERS * 8 ** (tries - CENTRAL)
         tries += 1
-        lead = durable(fresh.join(sizes, [*bucket, "comp"]).withColumn("nr", F.row_number().over(order)).where(F.col("nr") <= leaders).select(*bucket, F.col("node").alias("led"), F.col("comp").alias("comp_led")))
+        lead = durable(fresh.join(sizes, [*bucket, "comp"]).withColumn("nr", F.row_number().over(order)).where(F.col("nr") <= leaders).select(*bucket, F.col("node").alias("led"), F.col("comp").alias("comp_led"), F.col("weight").alias("weight_led"), F.col("own").alias("own_led")))
         if lead.isEmpty():
             break
-        pairs = open_.join(lead, bucket).where("comp <> comp_led").select(F.greatest("node", "led").alias("a"), F.least("node", "led").alias("b")).distinct()
+        pairs = open_.join(lead, bucket).where((F.col("comp") != F.col("comp_led")) & possible).select(F.greatest("node", "led").alias("a"), F.least("node", "led").alias("b")).distinct()
         pairs = durable(pairs.join(tried, ["a", "b"], "left_anti"))
         more = durable(verified(pairs, held, shared, similar))
         tried = durable(tried.unionByName(pairs))
         retired = durable(retired.unionByName(lead.select(*bucket, F.col("led").alias("node"))))
-        open_ = open_.select(*bucket, "node")
+        open_ = open_.drop("comp")
         if not more.isEmpty():
             comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
     rows = clean.select("doc_id", "node")
