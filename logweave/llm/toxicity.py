@@ -115,23 +115,21 @@ class Model:
 
 
 def isotonic(points: list[tuple[float, int]]) -> list[tuple[float, float]]:
-    """Rising means by pooling; one (mean raw, smoothed mean label) a pool."""
+    """Rising means by pooling. A pool gives its smoothed mean label from its least raw to its largest; between pools scores run straight."""
     by: dict[float, list[float]] = defaultdict(lambda: [0.0, 0.0])
     for x, y in points:
         by[round(x, 3)][0] += y
         by[round(x, 3)][1] += 1
-    pools: list[list[float]] = []  # sum of labels, count, sum of raw
+    pools: list[list[float]] = []  # sum of labels, count, least and largest raw
     for x in sorted(by):
-        y, n = by[x]
-        pools.append([y, n, x * n])
+        pools.append([*by[x], x, x])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
-            last = pools.pop()
-            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+            y, n, _, high = pools.pop()
+            pools[-1] = [pools[-1][0] + y, pools[-1][1] + n, pools[-1][2], high]
     out: list[tuple[float, float]] = []
-    for y, n, x in pools:
-        at = x / n
-        if not out or at > out[-1][0]:
-            out.append((at, max((y + 0.5) / (n + 1), out[-1][1] if out else 0.0)))
+    for y, n, low, high in pools:
+        value = max((y + 0.5) / (n + 1), out[-1][1] if out else 0.0)
+        out += [(low, value), (high, value)] if high > low else [(low, value)]
     return out
 
 
@@ -152,13 +150,15 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
     def count(source):
         found: Counter = Counter()
-        for _, text, toxic in source:
+        for text, toxic in source:
             found.update((t, toxic) for t in set(terms(text)))
             found[None, toxic] += 1
         for (t, toxic), n in found.items():
             yield t, n * toxic, n * (1 - toxic)
 
-    counts = map_rows(rows, count, "term string, toxic bigint, other bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    # Copies count once, so that a large group of them doesn't make terms of its words.
+    each = rows.groupBy("text").agg(F.max("toxic").alias("toxic"))
+    counts = map_rows(each, count, "term string, toxic bigint, other bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     whole = counts.where("term is null").first()
     if whole is None:
         return Model({}, [], [], 0.05, [])
