@@ -1,0 +1,255 @@
+"""The lossless decoder against a small writer of its own: forward transforms channel by channel, tokens expanded one by one."""
+
+import itertools
+
+import numpy as np
+import pytest
+
+from logweave.llm.webp import HASH, LENGTH_ORDER, SIGNATURE, decode_vp8l
+
+
+class Out:
+    def __init__(self):
+        self.bits = []
+
+    def put(self, value, n):
+        self.bits += [value >> i & 1 for i in range(n)]
+
+    def data(self):
+        return np.packbits(np.array(self.bits, np.uint8), bitorder="little").tobytes()
+
+
+class Code:
+    """A complete code of an alphabet: symbols of two neighbouring lengths, short ones first (or last, if turned)."""
+
+    def __init__(self, n, turned=False):
+        k = (n - 1).bit_length()
+        few = (1 << k) - n
+        lengths = [k - 1] * few + [k] * (n - few)
+        self.lengths = lengths[::-1] if turned else lengths
+        self.codes, code, before = {}, 0, 0
+        for size, s in sorted((size, s) for s, size in enumerate(self.lengths)):
+            code <<= size - before
+            before = size
+            self.codes[s] = f"{code:0{size}b}"
+            code += 1
+
+    def head(self, w):
+        w.put(0, 1)
+        w.put(15, 4)
+        used = sorted(set(self.lengths))
+        for s in LENGTH_ORDER:
+            w.put(s in used, 3)
+        w.put(0, 1)
+        for n in self.lengths:
+            w.put(used.index(n), len(used) - 1)
+
+    def put(self, w, s):
+        w.bits += map(int, self.codes[s])
+
+
+def number(w, code, value, base):
+    """A length or distance: a prefix symbol and its further bits."""
+    x = value - 1
+    if x < 4:
+        return code.put(w, base + x)
+    h = x.bit_length() - 1
+    code.put(w, base + 2 * h + (x >> h - 1 & 1))
+    w.put(x & (1 << h - 1) - 1, h - 1)
+
+
+def image(w, tokens, width, cache=0, groups=None, main=False):
+    """Tokens: a pixel, ("copy", length, distance code) or ("cache", number). groups: (block bits, across, numbers)."""
+    w.put(cache > 0, 1)
+    if cache:
+        w.put(cache, 4)
+    if main:
+        w.put(groups is not None, 1)
+        if groups:
+            w.put(groups[0] - 2, 3)
+            image(w, [g << 8 for g in groups[2]], groups[1])
+    sets = [[Code(n, bool(i)) for n in (280 + (1 << cache if cache else 0), 256, 256, 256, 40)] for i in range(1 + max(groups[2]) if groups else 1)]
+    for codes in sets:
+        for c in codes:
+            c.head(w)
+    at = 0
+    for t in tokens:
+        y, x = divmod(at, width)
+        green, red, blue, alpha, far = sets[groups[2][(y >> groups[0]) * groups[1] + (x >> groups[0])] if groups else 0]
+        if isinstance(t, int):
+            green.put(w, t >> 8 & 255)
+            red.put(w, t >> 16 & 255)
+            blue.put(w, t & 255)
+            alpha.put(w, t >> 24)
+            at += 1
+        elif t[0] == "copy":
+            number(w, green, t[1], 256)
+            number(w, far, t[2], 0)
+            at += t[1]
+        else:
+            green.put(w, 280 + t[1])
+            at += 1
+
+
+def start(width, height):
+    w = Out()
+    w.put(SIGNATURE, 8)
+    w.put(width - 1, 14)
+    w.put(height - 1, 14)
+    w.put(1, 1)
+    w.put(0, 3)
+    return w
+
+
+def joined(channels):
+    """(height, width, [alpha, red, green, blue]) to 32-bit numbers."""
+    c = channels.reshape(-1, 4).astype(int) % 256
+    return (c[:, 0] << 24 | c[:, 1] << 16 | c[:, 2] << 8 | c[:, 3]).tolist()
+
+
+def picture(width, height, seed, colours=None):
+    rng = np.random.default_rng(seed)
+    if colours:
+        return rng.integers(0, 256, (colours, 4))[rng.integers(0, colours, (height, width))]
+    return rng.integers(0, 256, (height, width, 4))
+
+
+def guess(mode, p, y, x):
+    """The prediction of a pixel, from the format's description."""
+    if not y:
+        return p[y, x - 1] if x else np.array([255, 0, 0, 0])
+    if not x:
+        return p[y - 1, x]
+    flat = p.reshape(-1, 4)
+    at = y * p.shape[1] + x
+    left, top, corner, right = (flat[i] for i in (at - 1, at - p.shape[1], at - p.shape[1] - 1, at - p.shape[1] + 1))
+    mean = lambda a, b: (a + b) // 2
+    if mode == 11:
+        whole = left + top - corner
+        return left if abs(whole - left).sum() < abs(whole - top).sum() else top
+    if mode == 13:
+        m = mean(left, top)
+        return np.clip(m + np.trunc((m - corner) / 2).astype(int), 0, 255)
+    return {
+        0: np.array([255, 0, 0, 0]), 1: left, 2: top, 3: right, 4: corner, 5: mean(mean(left, right), top), 6: mean(left, corner), 7: mean(left, top),
+        8: mean(corner, top), 9: mean(top, right), 10: mean(mean(left, corner), mean(top, right)), 12: np.clip(left + top - corner, 0, 255),
+    }[mode]
+
+
+def signed(v):
+    return (v + 128) % 256 - 128
+
+
+@pytest.mark.parametrize("width,height", [(1, 1), (5, 3), (13, 11)])
+def test_predictor_of_every_mode(width, height):
+    for mode in range(14):
+        p = picture(width, height, mode)
+        across = -(-width // 4)
+        modes = [(mode + i) % 14 for i in range(across * -(-height // 4))]
+        rest = np.array([[p[y, x] - guess(modes[(y >> 2) * across + (x >> 2)], p, y, x) for x in range(width)] for y in range(height)])
+        w = start(width, height)
+        w.put(1, 1)
+        w.put(0, 2)
+        w.put(0, 3)
+        image(w, [m << 8 for m in modes], across)
+        w.put(0, 1)
+        image(w, joined(rest), width, main=True)
+        assert decode_vp8l(w.data())[2].tolist() == joined(p)
+
+
+def test_cross_colour_and_subtract_green_in_turn():
+    width, height = 9, 10
+    p = picture(width, height, 3)
+    e = picture(3, 3, 4)  # alpha, red to blue, green to blue, green to red
+    q = p.copy()
+    q[:, :, 1] -= q[:, :, 2]
+    q[:, :, 3] -= q[:, :, 2]
+    q %= 256
+    r = q.copy()
+    for y, x in itertools.product(range(height), range(width)):
+        _, red_blue, green_blue, green_red = signed(e[y >> 2, x >> 2])
+        _, red, green, _ = signed(q[y, x])
+        r[y, x, 1] -= green_red * green >> 5
+        r[y, x, 3] -= (green_blue * green >> 5) + (red_blue * red >> 5)
+    w = start(width, height)
+    w.put(1, 1)
+    w.put(2, 2)
+    w.put(1, 1)
+    w.put(1, 2)
+    w.put(0, 3)
+    image(w, joined(e), 3)
+    w.put(0, 1)
+    image(w, joined(r), width, main=True)
+    assert decode_vp8l(w.data())[2].tolist() == joined(p)
+
+
+@pytest.mark.parametrize("colours", [1, 2, 3, 4, 7, 16, 17, 256])
+def test_palette_with_packed_indexes(colours):
+    width, height = 11, 5
+    rng = np.random.default_rng(colours)
+    table, index = rng.integers(0, 256, (colours, 4)), rng.integers(0, colours, (height, width))
+    packed = 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
+    narrow = -(-width >> packed)
+    green = np.zeros((height, narrow), int)
+    for y, x in itertools.product(range(height), range(width)):
+        green[y, x >> packed] |= int(index[y, x]) << (x & (1 << packed) - 1) * (8 >> packed)
+    w = start(width, height)
+    w.put(1, 1)
+    w.put(3, 2)
+    w.put(colours - 1, 8)
+    image(w, joined(np.diff(table, axis=0, prepend=0)), colours)
+    w.put(0, 1)
+    image(w, (green << 8).reshape(-1).tolist(), narrow, main=True)
+    assert decode_vp8l(w.data())[2].tolist() == joined(table[index])
+
+
+#: Fixed values of the format: the first short distances, as (columns to the left, rows up).
+NEAR = {1: (0, 1), 2: (1, 0), 3: (1, 1), 4: (-1, 1), 5: (0, 2), 6: (2, 0), 7: (1, 2), 8: (-1, 2)}
+
+
+@pytest.mark.parametrize("cache,grouped", [(0, False), (1, False), (5, True), (11, False), (0, True)])
+def test_references_cache_and_groups(cache, grouped):
+    """Random tokens; the expected pixels are copied and cached one by one."""
+    width, height = 17, 30
+    rng = np.random.default_rng(cache)
+    pool, tokens, out, held = joined(picture(1, 6, 9)), [], [], [0] * (1 << cache)
+
+    def add(p):
+        out.append(p)
+        if cache:
+            held[(HASH * p & 0xFFFFFFFF) >> 32 - cache] = p
+
+    while len(out) < width * height:
+        kind, room = rng.integers(0, 3), width * height - len(out)
+        if kind == 0 or not out:
+            tokens.append(pool[rng.integers(0, 6)])
+            add(tokens[-1])
+        elif kind == 1 and cache:
+            k = int(rng.integers(0, 1 << cache))
+            tokens.append(("cache", k))
+            add(held[k])
+        else:
+            n, code = int(rng.integers(1, min(room, 40) + 1)), int(rng.integers(1, 9))
+            d = max(1, NEAR[code][1] * width + NEAR[code][0])
+            if d > len(out) or rng.integers(0, 2):
+                d = int(rng.integers(1, len(out) + 1))
+                code = d + 120
+            tokens.append(("copy", n, code))
+            for _ in range(n):
+                add(out[-d])
+    groups = (3, 3, [int(x) for x in rng.integers(0, 3, 12)]) if grouped else None
+    w = start(width, height)
+    w.put(0, 1)
+    image(w, tokens, width, cache, groups, main=True)
+    assert decode_vp8l(w.data())[2].tolist() == out
+
+
+def test_bad_references_and_bad_signatures_are_errors():
+    for tokens in ([("copy", 2, 121), 0], [0, ("copy", 9, 121)]):
+        w = start(2, 2)
+        w.put(0, 1)
+        image(w, tokens, 2, main=True)
+        with pytest.raises(ValueError):
+            decode_vp8l(w.data())
+    with pytest.raises(ValueError):
+        decode_vp8l(b"\0" * 20)
