@@ -1,29 +1,37 @@
 """Toxicity from the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-From a bounded sample of labelled texts come the terms that go with the label, and the examples: their TF-IDF vectors over those terms,
-equal vectors taken together. Document frequencies are counted over all documents. The index keeps postings in blocks of examples with
-the largest weight in each; a query visits blocks by falling bound until no block can hold a nearer example, so its nearest
-are exact. They vote with weights that fall with distance, and an isotonic fit on labelled texts outside the index turns votes into
-calibrated scores. Every score comes with its evidence, the nearest examples.
+The examples are a bounded sample of labelled texts, as TF-IDF vectors over all terms of the sample; equal vectors are taken together.
+Document frequencies are counted over all documents. A term's weight is also multiplied by how well it goes with the label, from 1/34
+to 1 (relevance); no term is left out. A query's bound for a block of examples comes from the largest weights in it; only blocks
+that can't hold a nearer example are passed over, so its nearest are exact. They vote with weights that fall with distance, and an
+isotonic fit on labelled texts outside the index turns votes into calibrated scores. Every score comes with its evidence, the nearest
+examples.
 """
 
-import heapq
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import cached_property
+from hashlib import blake2b
+from itertools import islice
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm.common import map_rows, texts
 
-#: Bounds of what is fitted: labelled rows (those with the least hash of their id), terms, examples to a block, neighbours.
-FIT_ROWS, MOST_TERMS, BLOCK, NEAREST = 6_000, 256, 64, 25
-#: A term goes with the label if it is in this many toxic texts and this many standard errors over the rate.
-LEAST_TEXTS, LEAST_Z = 5, 5.0
+#: Bounds of what is fitted: labelled rows (those with the least hash of their id). Examples to a block, neighbours, queries at a time.
+FIT_ROWS, BLOCK, NEAREST, QUERIES = 6_000, 64, 25, 64
+#: Relevance is half at this many standard errors over the rate of toxic texts.
+HALF_Z = 3.5
+#: Terms in more than this share of examples are multiplied as a dense matrix, the others by their postings.
+COMMON = 1 / 32
 TOXIC_AT = 0.7
-#: Vectors whose result a Python worker remembers.
+#: Texts whose result a Python worker remembers.
 MOST_KNOWN = 100_000
 words = re.compile(r"\w+").findall
 
@@ -32,7 +40,20 @@ def terms(text: str | None) -> list[str]:
     return words((text or "").lower())
 
 
-Vector = tuple[tuple[int, float], ...]
+class Packed(NamedTuple):
+    """A vector: rising term numbers (int32) and their weights (float64)."""
+
+    ids: bytes
+    weights: bytes
+
+
+Vector = Packed | tuple[tuple[int, float], ...]
+
+
+def arrays(v: Vector) -> tuple[np.ndarray, np.ndarray]:
+    if isinstance(v, Packed):
+        return np.frombuffer(v.ids, np.int32), np.frombuffer(v.weights, np.float64)
+    return np.array([t for t, _ in v], np.int32), np.array([w for _, w in v], np.float64)
 
 
 @dataclass
@@ -44,56 +65,95 @@ class Example:
 
 
 class Index:
-    """Block-max inverted index of unit vectors."""
+    """Block-max inverted index of unit vectors with weights over 0."""
 
     def __init__(self, examples: list[Example]):
-        self.examples = examples
-        lists: dict[int, dict[int, list[tuple[int, float]]]] = defaultdict(lambda: defaultdict(list))
-        for i, e in enumerate(examples):
-            for t, w in e.vector:
-                lists[t][i // BLOCK].append((i, w))
-        self.blocks = {t: {b: (max(w for _, w in p), p) for b, p in by.items()} for t, by in lists.items()}
+        self.examples, n = examples, len(examples)
+        self.vectors = [arrays(e.vector) for e in examples]
+        ids = np.concatenate([i for i, _ in self.vectors] or [np.zeros(0, np.int32)])
+        weights = np.concatenate([w for _, w in self.vectors] or [np.zeros(0)])
+        row = np.repeat(np.arange(n, dtype=np.int32), [len(i) for i, _ in self.vectors])
+        self.size = int(ids.max()) + 1 if len(ids) else 0
+        common = np.flatnonzero(np.bincount(ids, minlength=self.size) > n * COMMON)
+        self.place = np.full(self.size, -1, np.int32)
+        self.place[common] = np.arange(len(common))
+        self.starts = np.arange(0, n, BLOCK)
+        self.dense = np.zeros((n, len(common)), np.float32)
+        at = self.place[ids]
+        self.dense[row[at >= 0], at[at >= 0]] = weights[at >= 0]
+        self.most = np.maximum.reduceat(self.dense, self.starts, axis=0) if n else self.dense
+        ids, weights, row = ids[at < 0], weights[at < 0], row[at < 0]
+        order = np.argsort(ids, kind="stable")
+        self.row, self.weights = row[order], weights[order]
+        self.ends = np.searchsorted(ids[order], np.arange(self.size + 1))
 
     def nearest(self, query: Vector, k: int = NEAREST) -> list[tuple[float, int]]:
         """The k largest (cosine, -number), largest first; ties go to the lower number. Only cosines over 0."""
-        bounds: dict[int, float] = defaultdict(float)
-        for t, q in query:
-            for b, (most, _) in self.blocks.get(t, {}).items():
-                bounds[b] += q * most
-        heap: list[tuple[float, int]] = []
-        for b, bound in sorted(bounds.items(), key=lambda x: (-x[1], x[0])):
-            if len(heap) == k and bound < heap[0][0] - 1e-9:
-                break
-            found: dict[int, float] = defaultdict(float)
-            for t, q in query:
-                for i, w in self.blocks.get(t, {}).get(b, (0, ()))[1]:
-                    found[i] += q * w
-            for i, c in found.items():
-                item = (round(min(1.0, c), 12), -i)
-                if len(heap) < k:
-                    heapq.heappush(heap, item)
-                elif item > heap[0]:
-                    heapq.heapreplace(heap, item)
-        return sorted(heap, reverse=True)
+        return self.nearest_of([query], k)[0]
+
+    def nearest_of(self, queries: list[Vector], k: int = NEAREST) -> list[list[tuple[float, int]]]:
+        """`nearest` of each. Single precision only decides, with room for its error, which cosines are computed in full."""
+        m, n = len(queries), len(self.examples)
+        if not n:
+            return [[] for _ in queries]
+        known = []
+        common, sums, room = np.zeros((m, self.dense.shape[1]), np.float32), np.zeros((m, n), np.float32), np.zeros(m)
+        for r, (ids, w) in enumerate(map(arrays, queries)):
+            ids, w = ids[ids < self.size], w[ids < self.size]
+            known.append((ids, w))
+            room[r] = (len(ids) + 8) * 2.0**-21
+            at = self.place[ids]
+            common[r, at[at >= 0]] = w[at >= 0]
+            first, rare = self.ends[ids[at < 0]], w[at < 0]
+            sizes = self.ends[ids[at < 0] + 1] - first
+            each = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            sums[r] = np.bincount(self.row[each], self.weights[each] * np.repeat(rare, sizes), n)
+        bounds = common @ self.most.T + np.maximum.reduceat(sums, self.starts, axis=1)
+        seen, top = np.zeros((m, n), bool), np.zeros((m, k), np.float32)
+        for b in np.argsort(-bounds.max(axis=0), kind="stable"):
+            go = np.flatnonzero((bounds[:, b] > 0) & (bounds[:, b] + room >= top.min(axis=1)))
+            if not len(go):
+                continue
+            part = slice(b * BLOCK, min(n, (b + 1) * BLOCK))
+            found = common[go] @ self.dense[part].T + sums[go, part]
+            sums[go, part], seen[go, part] = found, True
+            top[go] = np.partition(np.concatenate([top[go], found], axis=1), -k, axis=1)[:, -k:]
+        least, out, mine = top.min(axis=1), [], np.zeros(self.size)
+        for r, (ids, w) in enumerate(known):
+            mine[ids] = w
+            near = []
+            for i in np.flatnonzero(seen[r] & (sums[r] > 0) & (sums[r] >= least[r] - room[r])).tolist():
+                t, v = self.vectors[i]
+                near.append((round(min(1.0, math.fsum((mine[t] * v).tolist())), 12), -i))
+            mine[ids] = 0.0
+            out.append(sorted((x for x in near if x[0] > 0), reverse=True)[:k])
+        return out
 
 
 @dataclass
 class Model:
     terms: dict[str, int]
-    idf: list[float]
+    #: Of each term: idf times relevance.
+    weights: np.ndarray
     examples: list[Example]
     base: float
     #: Calibration: rising (raw, score) steps.
     steps: list[tuple[float, float]]
 
-    def vector(self, text: str | None) -> Vector:
+    @cached_property
+    def index(self) -> Index:
+        """Only asked for on executors, so that it isn't sent with the model."""
+        return Index(self.examples)
+
+    def vector(self, text: str | None) -> Packed:
         get = self.terms.get
-        n = Counter(t for t in map(get, terms(text)) if t is not None)
-        if not n:
-            return ()
-        v = [(t, (1 + math.log(c)) * self.idf[t]) for t, c in sorted(n.items())]
-        norm = math.sqrt(sum(w * w for _, w in v))
-        return tuple((t, w / norm) for t, w in v)
+        n = Counter(map(get, terms(text)))
+        n.pop(None, None)
+        ids, counts = np.fromiter(n.keys(), np.int32, len(n)), np.fromiter(n.values(), np.float64, len(n))
+        order = np.argsort(ids)
+        ids = ids[order]
+        v = (1 + np.log(counts[order])) * self.weights[ids]
+        return Packed(ids.tobytes(), (v / math.sqrt(v @ v)).tobytes() if len(v) else b"")
 
     def raw(self, near: list[tuple[float, int]]) -> float:
         """Distance-weighted votes, with the base rate as one vote."""
@@ -137,10 +197,23 @@ def is_held_out(id: F.Column) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
+def relevance(toxic: np.ndarray, other: np.ndarray, base: float) -> np.ndarray:
+    """From 1/34 to 1, rising with the standard errors by which the term's toxic texts are over the rate; one text is added, so that rare terms count less."""
+    n = toxic + other
+    z = (toxic - n * base) / np.sqrt((n + 1) * base * (1 - base))
+    return 1 / (1 + np.exp(HALF_Z - np.maximum(0.0, z)))
+
+
+def several(items: Iterable, n: int) -> Iterable[list]:
+    items = iter(items)
+    while some := list(islice(items, n)):
+        yield some
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """docs: (doc_id, text); labels: (doc_id, toxic), of which rows with a null are left out, and of repeated ids the largest label counts.
 
-    Only the terms' document frequencies come from all documents; the rest is from at most `fit_rows` labelled ones.
+    Only the document frequencies of the sample's terms come from all documents; the rest is from at most `fit_rows` labelled ones.
     """
     spark = docs.sparkSession
     some = labels.where("doc_id is not null and toxic is not null").where(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -158,75 +231,83 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
     # Copies count once, so that a large group of them doesn't make terms of its words.
     each = rows.groupBy("text").agg(F.max("toxic").alias("toxic"))
-    counts = map_rows(each, count, "term string, toxic bigint, other bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    whole = counts.where("term is null").first()
-    if whole is None:
-        return Model({}, [], [], 0.05, [])
-    base = (whole["toxic"] + 1) / (whole["toxic"] + whole["other"] + 2)
-    n = F.col("toxic") + F.col("other")
-    z = (F.col("toxic") - n * base) / F.sqrt(n * base * (1 - base))
-    best = counts.where(f"term is not null and toxic >= {LEAST_TEXTS}").withColumn("z", z).where(f"z >= {LEAST_Z}").orderBy(F.desc("z"), "term").limit(MOST_TERMS).collect()
-    numbers = {r["term"]: i for i, r in enumerate(best)}
+    # Arrow columns, as a row object for each term would take much of the driver's memory.
+    counts = map_rows(each, count, "term string, toxic bigint, other bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).orderBy("term").toArrow()
+    if not counts.num_rows:
+        return Model({}, np.zeros(0), [], 0.05, [])
+    # The null term comes first: it counts texts.
+    toxic, other = counts["toxic"].to_numpy(), counts["other"].to_numpy()
+    base = float((toxic[0] + 1) / (toxic[0] + other[0] + 2))
+    numbers = {t: i for i, t in enumerate(counts["term"][1:].to_pylist())}
+    of_terms = relevance(toxic[1:], other[1:], base)
+    del counts
     known = spark.sparkContext.broadcast(numbers)
 
     def frequency(source):
-        found, total, has = Counter(), 0, known.value
+        found, total, get = Counter(), 0, known.value.get
         for _, text in source:
-            found.update(has.keys() & set(terms(text)))
+            found.update(map(get, set(terms(text))))
             total += 1
-        yield None, total
+        found.pop(None, None)
+        yield -1, total
         yield from found.items()
 
-    df = {r["term"]: r["n"] for r in map_rows(docs.select("doc_id", "text"), frequency, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    total = df.get(None, 0)
-    idf = [math.log((total + 1) / (df.get(t, 0) + 1)) + 1 for t in numbers]
-    model = Model(numbers, idf, [], base, [])
+    found = map_rows(docs.select("doc_id", "text"), frequency, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(numbers) + 1)
+    df[found["term"].to_numpy()] = found["n"].to_numpy()
+    model = Model(numbers, (np.log((df[-1] + 1) / (df[:-1] + 1)) + 1) * of_terms, [], base, [])
     shared = spark.sparkContext.broadcast(model)
 
     def vectors(source):
         m = shared.value
         for doc_id, text, toxic in source:
-            v = m.vector(text)
-            yield doc_id, [t for t, _ in v], [w for _, w in v], toxic
+            yield doc_id, *m.vector(text), toxic
 
-    rows = map_rows(rows, vectors, "doc_id bigint, terms array<int>, weights array<double>, toxic int").collect()
+    rows = map_rows(rows, vectors, "doc_id bigint, terms binary, weights binary, toxic int").collect()
     held, merged = [], {}
-    for r in sorted(rows, key=lambda r: (r["doc_id"], r["toxic"], r["terms"])):
-        v = tuple(zip(r["terms"], r["weights"], strict=True))
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["toxic"], r["terms"], r["weights"])):
+        v = Packed(bytes(r["terms"]), bytes(r["weights"]))
         if r["doc_id"] % 5 == 0:  # a fifth is for calibration
             held.append((v, r["toxic"]))
             continue
         e = merged.setdefault(v, Example(r["doc_id"], v, 0, 0))
         e.n += 1
         e.toxic += r["toxic"]
-    none = merged.pop((), Example(None, (), 0, 0))
+    none = merged.pop(Packed(b"", b""), Example(None, (), 0, 0))
     base = (none.toxic + 1) / (none.n + 1 / base)
-    model = Model(numbers, idf, list(merged.values()), base, [])
+
+    def heaviest(e: Example) -> int:
+        ids, w = arrays(e.vector)
+        return int(ids[w.argmax()])
+
+    # Examples with the same heaviest term go to the same blocks, so that bounds part blocks well.
+    model = Model(numbers, model.weights, sorted(merged.values(), key=lambda e: (heaviest(e), e.doc_id)), base, [])
     index = Index(model.examples)
-    model.steps = isotonic([(model.raw(index.nearest(v)), y) for v, y in held])
+    near = (x for v in several((v for v, _ in held), QUERIES) for x in index.nearest_of(v))
+    model.steps = isotonic([(model.raw(x), y) for x, (_, y) in zip(near, held, strict=True)])
     return model
 
 
 def score(docs: DataFrame, model: Model, toxic_at: float = TOXIC_AT) -> DataFrame:
     """(doc_id, score, predicted, evidence) for every row; docs: (doc_id, text).
 
-    A text with none of the terms (empty and null ones, too) gets the calibrated base rate. Equal texts have equal scores. evidence: up
+    A text with no term of the sample (empty and null ones, too) gets the calibrated base rate. Equal texts have equal scores. evidence: up
     to five nearest examples (doc_id, cosine, share of toxic ones among texts with its vector).
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(source):
-        m = shared.value
-        index, known = Index(m.examples), {}
-        for doc_id, text in source:
-            v = m.vector(text)
-            found = known.get(v)
-            if found is None:
-                if len(known) > MOST_KNOWN:
-                    known.clear()
-                near = index.nearest(v)
-                found = known[v] = (m.calibrated(m.raw(near)), [(m.examples[-i].doc_id, c, m.examples[-i].toxic / m.examples[-i].n) for c, i in near[:5]])
-            yield doc_id, found[0], int(found[0] >= toxic_at), [{"doc_id": a, "cosine": b, "toxic": c} for a, b, c in found[1]]
+        m, known = shared.value, {}
+        for some in several(source, QUERIES):
+            keys = [blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for _, text in some]
+            if len(known) > MOST_KNOWN:
+                known.clear()
+            fresh = {key: text for key, (_, text) in zip(keys, some, strict=True) if key not in known}
+            for key, near in zip(fresh, m.index.nearest_of([m.vector(text) for text in fresh.values()]), strict=True):
+                known[key] = (m.calibrated(m.raw(near)), [(m.examples[-i].doc_id, c, m.examples[-i].toxic / m.examples[-i].n) for c, i in near[:5]])
+            for key, (doc_id, _) in zip(keys, some, strict=True):
+                found = known[key]
+                yield doc_id, found[0], int(found[0] >= toxic_at), [{"doc_id": a, "cosine": b, "toxic": c} for a, b, c in found[1]]
 
     return map_rows(docs, rows, "doc_id bigint, score double, predicted int, evidence array<struct<doc_id:bigint,cosine:double,toxic:double>>")
 

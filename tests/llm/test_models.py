@@ -41,6 +41,29 @@ def test_toxicity_on_held_out_labels(spark, sf_dir, recall):
     assert hit >= recall * there
 
 
+def test_toxicity_sees_every_term(spark):
+    """Words that don't go with the label are in the vectors, too, and a clean text with a toxic word isn't the same as this word alone."""
+    words = [f"w{i}" for i in range(400)]
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.sample(words, 20) + ["insult"] * (i % 10 == 3)), int(i % 10 == 3)) for i in range(300)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    near = {r[0] for r in labels.where(~toxicity.is_held_out(labels.doc_id)).collect()}
+    twin = next(r for r in rows if r[0] in near and r[0] % 5 and not r[2])
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(1000, twin[1] + " new"), (1001, "insult"), (1002, " ".join(words) + " insult")], "doc_id bigint, text string")
+    model = toxicity.fit(docs, labels)
+    assert set(model.terms) == {w for i, text, _ in rows if i in near for w in text.split()}
+    assert model.vector("insult") != model.vector(" ".join(words) + " insult")
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    assert got[1000].evidence[0].doc_id == twin[0]
+    assert got[1000].evidence[0].cosine > 0.99
+    # the nearest five, by all cosines
+    for doc_id, text in docs.collect():
+        mine = dict(zip(*(a.tolist() for a in toxicity.arrays(model.vector(text))), strict=True))
+        every = [(sum(mine.get(t, 0) * w for t, w in zip(*(a.tolist() for a in toxicity.arrays(e.vector)), strict=True)), e.doc_id) for e in model.examples]
+        want = sorted((c for c, _ in every), reverse=True)[:5]
+        assert [e.cosine for e in got[doc_id].evidence] == pytest.approx([c for c in want if c > 0], abs=1e-9)
+
+
 def odd(spark):
     rows = [(1, "a b c", 1), (1, "a b c", 1), (2, None, None), (3, "", 3), (None, "x\ny\nx\n \n", 4), (5, "Häh    #* <b> é😀\r\n" * 40, 5), (6, "w " * 200_000, 6), (7, "a b c a b c a b c d", 7)]
     return spark.createDataFrame(rows, "doc_id bigint, text string, votes int").selectExpr("*", "'z' as n_words", "1 as score", "2 as toxic", "3 as kept")
