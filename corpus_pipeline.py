@@ -13,17 +13,17 @@ ORACLE_SQL = None
 
 
 def _only(docs: DataFrame, judged: DataFrame, keep) -> DataFrame:
-    """Rows whose id is kept. Rows that share an id are judged each; an id stays if none of its rows is rejected."""
-    bad = judged.where(~keep).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    """Rows that are kept. Verdicts go by the text alone, so a row's own verdict is found by its id (null, too) and its text's digest."""
+    bad = judged.where(~keep).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")) == F.col("_key")), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, toxicity.judged(docs, table(spark, sf_dir, "labels")), F.col("predicted") == 0)
+    return _only(docs, toxicity.judged(docs, table(spark, sf_dir, "labels"), with_key=True), F.col("predicted") == 0)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, quality_classifier.classify(docs)[0], F.col("kept"))
+    return _only(docs, quality_classifier.classify(docs, with_key=True)[0], F.col("kept"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

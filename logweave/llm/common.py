@@ -4,6 +4,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from hashlib import md5
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,11 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
+def text_key(text: str | None) -> str:
+    """The text's MD5; of a null text that of an empty one."""
+    return md5((text or "").encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
     """`rows` turns an iterator over the partition's rows (tuples) into one of result rows, in Arrow batches."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import durable, map_rows, texts
+from logweave.llm.common import durable, map_rows, text_key, texts
 from logweave.llm.text_stats import Stats, measure
 from logweave.llm.weak_labels import VoterModel, fit, parse, pattern_counts
 
@@ -94,9 +94,9 @@ def prepared(docs: DataFrame) -> DataFrame:
         for doc_id, text in source:
             s = measure(text)
             f = sorted(features(text, s, shapes).items())
-            yield doc_id, s.n_words, labels(s), [k for k, _ in f], [v for _, v in f]
+            yield doc_id, text_key(text), s.n_words, labels(s), [k for k, _ in f], [v for _, v in f]
 
-    return map_rows(docs, rows, "doc_id bigint, n_words bigint, votes string, buckets array<int>, weights array<float>")
+    return map_rows(docs, rows, "doc_id bigint, text_key string, n_words bigint, votes string, buckets array<int>, weights array<float>")
 
 
 @dataclass(frozen=True)
@@ -126,8 +126,8 @@ def train(sample: list[tuple[list[int], list[float]]], target: np.ndarray, steps
     return Scorer(w.astype(np.float32).tobytes(), float(b))
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_at: float = KEEP_AT, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, VoterModel, Scorer]:
-    """(doc_id, n_words, votes, score, kept) for every row, and the fitted models.
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_at: float = KEEP_AT, fit_rows: int = FIT_ROWS, with_key: bool = False) -> tuple[DataFrame, VoterModel, Scorer]:
+    """(doc_id, n_words, votes, score, kept; text_key if asked for) for every row, and the fitted models.
 
     Null and empty texts score 0 and aren't kept; repeated rows score alike; other columns are not read. The labels' model counts every row;
     the scorer is fitted on at most `fit_rows` texts.
@@ -141,9 +141,10 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
 
     def score(source):
         w = np.frombuffer(scorer.weights, np.float32)
-        for doc_id, n, votes, b, v in source:
+        for doc_id, key, n, votes, b, v in source:
             z = float(w[b] @ np.array(v, np.float32)) + scorer.bias if n else -50.0
             p = 1 / (1 + math.exp(-max(-50.0, min(50.0, z)))) if n else 0.0
-            yield doc_id, n, votes, p, p >= keep_at
+            yield doc_id, key, n, votes, p, p >= keep_at
 
-    return map_rows(rows, score, "doc_id bigint, n_words bigint, votes string, score double, kept boolean"), model, scorer
+    out = map_rows(rows, score, "doc_id bigint, text_key string, n_words bigint, votes string, score double, kept boolean")
+    return out if with_key else out.drop("text_key"), model, scorer

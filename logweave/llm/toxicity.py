@@ -14,7 +14,6 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import cached_property
-from hashlib import blake2b
 from itertools import islice
 from typing import NamedTuple
 
@@ -22,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import map_rows, texts
+from logweave.llm.common import map_rows, text_key, texts
 
 #: Bounds of what is fitted: labelled rows (those with the least hash of their id). Examples to a block, neighbours, queries at a time.
 FIT_ROWS, BLOCK, NEAREST, QUERIES = 6_000, 64, 25, 64
@@ -289,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
 
 def score(docs: DataFrame, model: Model, toxic_at: float = TOXIC_AT) -> DataFrame:
-    """(doc_id, score, predicted, evidence) for every row; docs: (doc_id, text).
+    """(doc_id, text_key, score, predicted, evidence) for every row; docs: (doc_id, text).
 
     A text with no term of the sample (empty and null ones, too) gets the calibrated base rate. Equal texts have equal scores. evidence: up
     to five nearest examples (doc_id, cosine, share of toxic ones among texts with its vector).
@@ -299,7 +298,7 @@ def score(docs: DataFrame, model: Model, toxic_at: float = TOXIC_AT) -> DataFram
     def rows(source):
         m, known = shared.value, {}
         for some in several(source, QUERIES):
-            keys = [blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for _, text in some]
+            keys = [text_key(text) for _, text in some]
             if len(known) > MOST_KNOWN:
                 known.clear()
             fresh = {key: text for key, (_, text) in zip(keys, some, strict=True) if key not in known}
@@ -307,13 +306,13 @@ def score(docs: DataFrame, model: Model, toxic_at: float = TOXIC_AT) -> DataFram
                 known[key] = (m.calibrated(m.raw(near)), [(m.examples[-i].doc_id, c, m.examples[-i].toxic / m.examples[-i].n) for c, i in near[:5]])
             for key, (doc_id, _) in zip(keys, some, strict=True):
                 found = known[key]
-                yield doc_id, found[0], int(found[0] >= toxic_at), [{"doc_id": a, "cosine": b, "toxic": c} for a, b, c in found[1]]
+                yield doc_id, key, found[0], int(found[0] >= toxic_at), [{"doc_id": a, "cosine": b, "toxic": c} for a, b, c in found[1]]
 
-    return map_rows(docs, rows, "doc_id bigint, score double, predicted int, evidence array<struct<doc_id:bigint,cosine:double,toxic:double>>")
+    return map_rows(docs, rows, "doc_id bigint, text_key string, score double, predicted int, evidence array<struct<doc_id:bigint,cosine:double,toxic:double>>")
 
 
-def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """Fits on the labelled documents and scores all: (doc_id, held_out, score, predicted, evidence). Other columns are not read."""
+def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, with_key: bool = False) -> DataFrame:
+    """Fits on the labelled documents and scores all: (doc_id, held_out, score, predicted, evidence; text_key if asked for). Other columns are not read."""
     clean = texts(docs, id_col, text_col)
     out = score(clean, fit(clean, labels, fit_rows))
-    return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
+    return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence", *["text_key"] * with_key)
