@@ -2,8 +2,10 @@
 
 Offsets are JSON: {path: [inode, position, seq]}. The engine commits them with the batch, so no byte is lost when a
 sink fails, and a batch can be read again from its offsets. Files present at the start are read from their end
-(startingOffsets=latest) or start (earliest); later files always from 0. Rotated and truncated files start again at 0,
-with numbers going on.
+(startingOffsets=latest) or start (earliest); later files always from 0. A rotated file is found by its inode in its folder and
+read to its end before the new one starts at 0; its inode stays in the offset until then. Truncated files start again at 0.
+Numbers go on. A read whose file is gone or too short fails. Not seen: a rotated file that was deleted, moved to another folder or
+followed by a second rotation before the next look, and bytes written to a rotated file after its end was reached.
 """
 
 import os
@@ -28,6 +30,18 @@ def identity(path: str) -> tuple[int, int] | None:
     return s.st_ino, s.st_size
 
 
+def located(path: str, inode: int) -> str | None:
+    """Where the file with this inode is: the path, or another name in its folder after a rotation."""
+    now = identity(path)
+    if now and now[0] == inode:
+        return path
+    try:
+        with os.scandir(os.path.dirname(path) or ".") as entries:
+            return next((e.path for e in entries if e.inode() == inode and e.is_file(follow_symlinks=False)), None)
+    except OSError:
+        return None
+
+
 class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.paths = [x.strip() for x in options["paths"].split(",") if x.strip()]
@@ -58,17 +72,20 @@ class TailReader(DataSourceStreamReader):
 
     def read(self, partition: Piece):
         id, seq = os.path.basename(partition.path), partition.seq
-        try:
-            f = open(partition.path, "rb")  # noqa: SIM115
-        except OSError:
-            return
-        with f:
+        there = located(partition.path, partition.inode)
+        if there is None:
+            raise OSError(f"{partition.path}: inode {partition.inode} is gone, bytes {partition.start} to {partition.end} can't be read")
+        with open(there, "rb") as f:
+            if os.fstat(f.fileno()).st_ino != partition.inode:
+                raise OSError(f"{partition.path}: rotated while it was opened")
             f.seek(partition.start)
             for at in range(partition.start, partition.end, partition.size):
-                data = f.read(min(partition.size, partition.end - at))
-                if data:
-                    seq += 1
-                    yield id, partition.session, seq, data
+                n = min(partition.size, partition.end - at)
+                data = f.read(n)
+                if len(data) < n:
+                    raise OSError(f"{partition.path}: truncated before bytes {at} to {at + n} were read")
+                seq += 1
+                yield id, partition.session, seq, data
 
 
 def advance(offsets: dict, paths: list[str], limit: int, size: int) -> dict:
@@ -76,6 +93,11 @@ def advance(offsets: dict, paths: list[str], limit: int, size: int) -> dict:
     out = {}
     for path in paths:
         found, known = identity(path), offsets.get(path)
+        if known and (not found or found[0] != known[0]):
+            there = located(path, known[0])
+            rest = identity(there) if there else None
+            if rest and rest[0] == known[0] and rest[1] > known[1]:
+                found = rest
         if not found:
             if known:
                 out[path] = known
