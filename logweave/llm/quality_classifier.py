@@ -5,11 +5,13 @@ their accuracies (`weak_labels`); the posterior labels of a bounded sample train
 every text. Gold labels are not used.
 
 The scorer sees what labellers don't vote on as such: word shapes (THAT!! is `A!`), word ends and levels of the measures, hashed.
+Every character counts: the shape is of the whole word, and a long shape goes in as its n-grams, which weigh together as one word.
 """
 
 import math
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +25,8 @@ from logweave.llm.weak_labels import VoterModel, fit, parse, pattern_counts
 #: Hash buckets, and the most texts that the scorer is fitted on (those with the least hash of their id).
 BUCKETS, FIT_ROWS = 1 << 14, 6000
 KEEP_AT = 0.5
+#: Longer words are not remembered; longer shapes are cut into n-grams of GRAM characters.
+LONG, GRAM = 64, 8
 _RUN = re.compile(r"[A-ZÀ-ÖØ-Þ]+|[a-zß-öø-ÿ]+|[0-9]+|(.)\1*", re.S)
 
 
@@ -57,7 +61,20 @@ def bucket(name: str) -> int:
 
 def shape(word: str) -> str:
     """Upper-case runs as A, lower-case as a, digits as 0, a run of anything else as its character."""
-    return "".join("A" if m[0][0].isupper() else "a" if m[0][0].islower() else "0" if m[0][0].isdigit() else m[0][0] for m in _RUN.finditer(word[:64]))
+    return "".join("A" if m[0][0].isupper() else "a" if m[0][0].islower() else "0" if m[0][0].isdigit() else m[0][0] for m in _RUN.finditer(word))
+
+
+def long_shape(word: str) -> dict[int, float]:
+    """Buckets of a long word's shape, with weights that sum to 1."""
+    s = shape(word)
+    if len(s) <= LONG:
+        return {bucket("shape:" + s): 1.0}
+    n = len(s) - GRAM + 1
+    out: dict[int, float] = {}
+    for gram, c in Counter(s[i : i + GRAM] for i in range(n)).items():
+        b = bucket("gram:" + gram)
+        out[b] = out.get(b, 0.0) + c / n
+    return out
 
 
 class Shapes(dict):
@@ -72,9 +89,14 @@ class Shapes(dict):
 def features(text: str | None, s: Stats, shapes: Shapes) -> dict[int, float]:
     n = max(s.n_words, 1)
     out: dict[int, float] = {}
-    counts: dict[int, int] = {}
-    for b in map(shapes.__getitem__, (text or "").split()):
-        counts[b] = counts.get(b, 0) + 1
+    counts: dict[int, float] = {}
+    for word in (text or "").split():
+        if len(word) <= LONG:
+            b = shapes[word]
+            counts[b] = counts.get(b, 0) + 1
+            continue
+        for b, c in long_shape(word).items():
+            counts[b] = counts.get(b, 0) + c
     for b, c in counts.items():
         out[b] = math.sqrt(c / n)
     for name, value in zip(Stats._fields, s, strict=True):

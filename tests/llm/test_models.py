@@ -64,6 +64,16 @@ def test_toxicity_sees_every_term(spark):
         assert [e.cosine for e in got[doc_id].evidence] == pytest.approx([c for c in want if c > 0], abs=1e-9)
 
 
+def test_quality_sees_every_character():
+    """Words that differ only past their 64th character."""
+    q = quality_classifier
+    for a, b in (("漢" * 64 + "字" * 9, "漢" * 64 + "語" * 9), ("漢字" * 5000 + "、字", "漢字" * 5000 + "。字"), ("+/" * 90 + "a", "+/" * 90 + "7")):
+        s = q.measure(a)
+        f, g = q.features(a, s, q.Shapes()), q.features(b, s, q.Shapes())
+        assert f != g
+    assert sum(q.long_shape("漢字語" * 500).values()) == pytest.approx(1)
+
+
 def odd(spark):
     rows = [(1, "a b c", 1), (1, "a b c", 1), (2, None, None), (3, "", 3), (None, "x\ny\nx\n \n", 4), (5, "Häh    #* <b> é😀\r\n" * 40, 5), (6, "w " * 200_000, 6), (7, "a b c a b c a b c d", 7)]
     return spark.createDataFrame(rows, "doc_id bigint, text string, votes int").selectExpr("*", "'z' as n_words", "1 as score", "2 as toxic", "3 as kept")
