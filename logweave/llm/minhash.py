@@ -6,15 +6,12 @@ the shared shingles of a large group of copies keep almost the weight of rare on
 BANDS * ROWS shingles of each text so that two texts draw the same with a chance of their weighted Jaccard similarity; equal
 bands make candidates, and each candidate is verified on whole texts.
 
-Of a bucket (the texts that share a band) no pairs are emitted at large. A leader is compared with the others; what proves
-similar is joined into components, and only buckets that still hold more than one component go on: with two leaders from their
-largest component for CENTRAL rounds, then with LEADERS from the smallest ones, eight times as many in each later round, until
-no two texts of different components are left uncompared.
-So no link between components is lost. Texts whose total weights differ too much to be similar never meet: buckets are split
-by classes of total weight, each text being in its class and the next. Nor do texts meet that can't be similar because of their
-own shingles, those in no other candidate text: what two texts share is at most what either has besides its own, and must be
-similar / (1 + similar) of their total weights. The first leader of a bucket is the text with the least share of own
-shingles, which is the middle of a group of near copies.
+Of a bucket (the texts that share a band) no pairs are emitted at large. A central text leads it and is compared with the others; what
+proves similar is joined into components. In a second such round buckets that still hold more than one component have two leaders, of
+their two largest components. Then the texts outside a bucket's largest component meet all texts of other components, so no link
+between components is lost. All comparisons pass two exact bounds first, which texts that can't be similar don't: what two texts share
+must be similar / (1 + similar) of their total weights, and a text shares neither its own shingles, those in no other candidate
+text, nor those whose bit in a bitmap of shingle hashes is not set for the other (each weighs 1 at least).
 """
 
 import math
@@ -22,17 +19,18 @@ import re
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm.common import durable, map_rows, texts
 
 SHINGLE, SIMILAR = 5, 0.8
-BANDS, ROWS = 24, 6
-DAMP, DF_BUCKETS, LEADERS = 0.25, 1 << 16, 32
-#: Rounds in which leaders come from a bucket's largest component.
-CENTRAL = 2
-MOST_WORDS = 300_000
+BANDS, ROWS = 20, 5
+DAMP, DF_BUCKETS = 0.25, 1 << 16
+#: 64-bit words of a text's bitmap of shingle hashes.
+SIGNS = 16
+#: Words and texts whose results a Python worker remembers.
+MOST_WORDS, MOST_TEXTS = 300_000, 20_000
 words = re.compile(r"\w+").findall
 _U = np.uint64
 
@@ -92,14 +90,16 @@ class Shingler:
         return names, count * (1 + weight[first] / k)
 
 
-_SEEDS = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
-#: Quantiles of the Gamma(2, 1) distribution, by Newton steps on its distribution function.
-_GAMMA_STEPS = 4096
+#: Two odd numbers a draw.
+_SEEDS = (_mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(32)).astype(np.uint32).reshape(2, -1, 1) | np.uint32(1)
+#: Shingles to a block of the sampling, which works in a core's cache.
+_SLICE = 160
 
 
-def _gamma_table() -> np.ndarray:
-    p = (np.arange(_GAMMA_STEPS) + 0.5) / _GAMMA_STEPS
-    low, high = np.zeros(_GAMMA_STEPS), np.full(_GAMMA_STEPS, 40.0)
+def _gamma_table(n: int) -> np.ndarray:
+    """Quantiles of the Gamma(2, 1) distribution, by bisection of its distribution function."""
+    p = (np.arange(n) + 0.5) / n
+    low, high = np.zeros(n), np.full(n, 40.0)
     for _ in range(60):
         mid = (low + high) / 2
         less = 1 - np.exp(-mid) * (1 + mid) < p
@@ -107,33 +107,65 @@ def _gamma_table() -> np.ndarray:
     return (low + high) / 2
 
 
-_GAMMA = _gamma_table().astype(np.float32)
+_R = _gamma_table(1 << 11).astype(np.float32)
+_PER_R = (1 / _gamma_table(1 << 11)).astype(np.float32)
+_LOG_C = np.log(_gamma_table(1 << 16)).astype(np.float32)
 
 
 def samples(names: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The drawn (shingle, level) of each of BANDS * ROWS draws, as 64-bit names."""
-    out = np.zeros(BANDS * ROWS, _U)
-    best = np.full(BANDS * ROWS, np.inf, np.float32)
+    """The drawn (shingle, level) of each of BANDS * ROWS draws, as 64-bit names.
+
+    A draw has for each shingle r and c of Gamma(2, 1) and beta of (0, 1), taken from tables by bits of its hash. The level is
+    t = floor(log(weight) / r + beta), and the least log(c) - r * (t - beta + 1) is drawn; ties go to the lower name.
+    """
+    n = BANDS * ROWS
+    out, best = np.zeros(n, _U), np.full(n, np.inf, np.float32)
     logs = np.log(weights).astype(np.float32)
-    for at in range(0, len(names), 2048):
-        part, lw = names[at : at + 2048], logs[at : at + 2048, None]
-        x = _mix(part[:, None] ^ _SEEDS[None, :])
-        r = _GAMMA[(x & _U(4095)).astype(np.int64)]
-        beta = (x >> _U(12) & _U(4095)).astype(np.float32) * np.float32(1 / 4096)
-        u = ((x >> _U(24) & _U(0xFFFFF)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-20)
-        v = ((x >> _U(44)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-20)
-        t = np.floor(lw / r + beta)
-        a = np.log(-np.log(u * v)) - r * (t - beta + 1)
-        least = a.argmin(0)
-        cols = np.arange(len(least))
-        value = a[least, cols]
+    short = _mix(names)
+    one, two = (short >> _U(32)).astype(np.uint32), short.astype(np.uint32)
+    draws = np.arange(n)
+    for at in range(0, len(names), _SLICE):
+        part = slice(at, at + _SLICE)
+        x = one[part] * _SEEDS[0]
+        y = x >> np.uint32(15)
+        x ^= y
+        x += two[part]
+        x *= _SEEDS[1]
+        np.right_shift(x, np.uint32(13), y)
+        x ^= y
+        x *= np.uint32(0x85EBCA6B)
+        np.right_shift(x, np.uint32(16), y)
+        x ^= y
+        k = (x & np.uint32(2047)).astype(np.int64)
+        np.right_shift(x, np.uint32(11), y)
+        y &= np.uint32(31)
+        value = y.astype(np.float32)
+        value *= np.float32(1 / 32)
+        t = _PER_R.take(k, mode="clip")
+        t *= logs[part]
+        t += value
+        np.floor(t, t)
+        value -= t
+        value -= np.float32(1)
+        value *= _R.take(k, mode="clip")
+        k[...] = x >> np.uint32(16)
+        value += _LOG_C.take(k, mode="clip")
+        least = value.argmin(1)
+        value = value[draws, least]
         better = value < best
-        drawn = _mix(part[least] + t[least, cols].astype(np.int64).astype(_U) * _U(0xD6E8FEB86659FD93))
+        drawn = _mix(names[part][least] + t[draws, least].astype(np.int64).astype(_U) * _U(0xD6E8FEB86659FD93))
         out[better] = drawn[better]
         best[better] = value[better]
     return out
 
 
+def bitmap(names: np.ndarray) -> list[int]:
+    """SIGNS words with a bit for each hash of a shingle."""
+    bits = np.zeros(64 * SIGNS, np.uint8)
+    bits[(names % _U(64 * SIGNS)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64).tolist()
+
+
 def bands(drawn: np.ndarray) -> np.ndarray:
     rows = drawn.reshape(BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
@@ -214,14 +246,24 @@ def own_weights(held: DataFrame, factor) -> DataFrame:
     return alone.groupBy("hi", "lo").agg(F.sum("weights").alias("own")).select(node.alias("node"), "own")
 
 
+#: What bounds and choices of leaders need of a text.
+ABOUT = ["node", "weight", "own", "signs"]
+
+
 def may_be_similar(similar: float) -> F.Column:
-    """Whether texts of total weights weight and weight_led, of which own and own_led are theirs alone, can be as similar as that."""
-    most = F.least(F.col("weight") - F.col("own"), F.col("weight_led") - F.col("own_led"))
-    return most * (1 + 1e-9) >= similar / (1 + similar) * (F.col("weight") + F.col("weight_led"))
+    """Whether a text (ABOUT) and a leading one (the same with `_led`) can be as similar as that, by exact bounds of what they share."""
+
+    def shared(a: str, b: str) -> F.Column:
+        missing = sum((F.bit_count(F.col(f"signs{a}")[i].bitwiseAND(F.bitwise_not(F.col(f"signs{b}")[i]))) for i in range(SIGNS)), F.lit(0))
+        return F.col(f"weight{a}") - F.greatest(F.col(f"own{a}"), missing.cast("double"))
+
+    needed = similar / (1 + similar) * (F.col("weight") + F.col("weight_led"))
+    # The cheap bound comes first.
+    return (F.least(F.col("weight") - F.col("own"), F.col("weight_led") - F.col("own_led")) * (1 + 1e-9) >= needed) & (F.least(shared("", "_led"), shared("_led", "")) * (1 + 1e-9) >= needed)
 
 
 def verified(pairs: DataFrame, by_node: DataFrame, factor, similar: float) -> DataFrame:
-    """pairs (a, b), each with its similarity; by_node: (node, text). Both whole texts meet in one row."""
+    """The pairs (a, b) that are as similar as that; by_node: (node, text). Both whole texts meet in one row."""
     rows = pairs.join(by_node.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(by_node.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def check(source):
@@ -235,6 +277,53 @@ def verified(pairs: DataFrame, by_node: DataFrame, factor, similar: float) -> Da
     return map_rows(rows.select("a", "b", "text_a", "text_b"), check, "a binary, b binary")
 
 
+def linked(members: DataFrame, held: DataFrame, factor, similar: float) -> DataFrame:
+    """(node, comp) of all texts that have a link. members: (key, ABOUT), a row for each text and bucket."""
+    possible = may_be_similar(similar)
+    led_by = lambda c: F.struct(*(c[x].alias(x) for x in ABOUT))
+    as_led = [F.col(f"led.{x}").alias(f"{x}_led") for x in ABOUT]
+    order = F.struct((F.col("own") / F.col("weight")).alias("share"), F.xxhash64("node").alias("order"), *ABOUT)
+    pair = [F.greatest("node", "node_led").alias("a"), F.least("node", "node_led").alias("b")]
+    # First round: a bucket's leader is the text with the least share of own shingles, the middle of a group of near copies.
+    first = members.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("led")).where("n > 1").select("key", *as_led)
+    tried = durable(members.join(first, "key").where((F.col("node") != F.col("node_led")) & possible).select(*pair).distinct())
+    comps = components(durable(verified(tried, held, factor, similar)))
+
+    def still_open(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of buckets with more than one component, with the largest one's name; and the components of such buckets."""
+        placed = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("size"), F.min(order).alias("best"))
+        most = sizes.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("size", "comp")).alias("top")).where("n > 1").select("key", F.col("top.comp").alias("top"))
+        return durable(placed.join(most, "key")), sizes.join(most, "key")
+
+    # Second round: leaders of the two largest components.
+    open_, sizes = still_open(members)
+    others = sizes.where("comp <> top").groupBy("key").agg(F.max(F.struct("size", "comp", "best")).alias("x"))
+    lead = others.select("key", F.col("x.comp").alias("comp_led"), led_by(F.col("x.best")).alias("led")).unionByName(sizes.where("comp = top").select("key", F.col("comp").alias("comp_led"), led_by(F.col("best")).alias("led")))
+    lead = durable(lead.select("key", "comp_led", *as_led))
+    pairs = open_.join(lead, "key").where((F.col("comp") != F.col("comp_led")) & possible).select(*pair).distinct()
+    pairs = durable(pairs.join(tried, ["a", "b"], "left_anti"))
+    comps = _joined(comps, pairs, held, factor, similar)
+    tried = tried.unionByName(pairs)
+    # Last: all texts outside a bucket's largest component meet the texts of other components.
+    open_, _ = still_open(open_.select("key", *ABOUT))
+    lone = open_.where("comp <> top").select("key", F.col("comp").alias("comp_led"), *(F.col(x).alias(f"{x}_led") for x in ABOUT))
+    once = (F.col("comp") == F.col("top")) | (F.col("node") < F.col("node_led"))
+    pairs = open_.join(lone, "key").where((F.col("comp") != F.col("comp_led")) & once & possible).select(*pair).distinct()
+    pairs = durable(pairs.join(tried, ["a", "b"], "left_anti"))
+    return _joined(comps, pairs, held, factor, similar)
+
+
+def _joined(comps: DataFrame, pairs: DataFrame, held: DataFrame, factor, similar: float) -> DataFrame:
+    """Components with those of more pairs that prove similar."""
+    if pairs.isEmpty():
+        return comps
+    links = durable(verified(pairs, held, factor, similar))
+    if links.isEmpty():
+        return comps
+    return components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(links))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """(doc_id, text_key, class_id, first): class_id is the least doc_id of the class; first is true for one row id of each class.
 
@@ -245,65 +334,30 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     clean = texts(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("node", F.unhex(F.md5(F.col("text").cast("binary"))))
     shared = spark.sparkContext.broadcast(word_factors(clean))
 
-    step = math.log(1 / similar)
-
     def sign(source):
-        s = Shingler(shared.value)
+        s, known = Shingler(shared.value), set()
         for node, text in source:
+            if node in known:  # copies are signed once a task
+                continue
+            if len(known) > MOST_TEXTS:
+                known.clear()
+            known.add(node)
             names, weights = s(text)
             if len(names):
-                weight = float(weights.sum())
-                yield node, weight, math.floor(math.log(weight) / step), bands(samples(names, weights)).tolist()
-
-    signed = map_rows(clean.select("node", "text"), sign, "node binary, weight double, class int, bands array<bigint>")
-    keys = durable(signed.select("node", "weight", "class", F.posexplode("bands").alias("band", "key")).distinct())
-    often = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
-    bucket = ["band", "key", "class"]
-    split = keys.join(often, ["band", "key"], "left_semi").select("band", "key", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), "node", "weight")
-    split = durable(split)
-    shared_buckets = split.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1").select(*bucket)
-    members = durable(split.join(shared_buckets, bucket, "left_semi"))
+                yield node, float(weights.sum()), bitmap(names), bands(samples(names, weights)).tolist()
+
+    signed = map_rows(clean.select("node", "text"), sign, "node binary, weight double, signs array<bigint>, bands array<bigint>")
+    signed = durable(signed.dropDuplicates(["node"]))
+    keys = signed.select("node", F.explode("bands").alias("key"))
+    often = signed.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    members = durable(keys.join(often, "key", "left_semi"))
     # One row for each text that is in a shared bucket: the only texts that are read again.
     by_node = clean.select("node", "text", "doc_id")
     one = by_node.groupBy("node").agg(F.min("doc_id").alias("_least")).join(members.select("node").distinct(), "node", "left_semi").withColumnRenamed("node", "_node")
     held = durable(by_node.join(one, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi").select("node", "text").dropDuplicates(["node"]))
-    members = members.join(own_weights(held, shared), "node", "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
-    members = durable(members.where((F.col("weight") - F.col("own")) * (1 + 1e-9) >= similar * F.col("weight")))
-    first = members.groupBy(*bucket).agg(F.count("*").alias("n"), F.min(F.struct((F.col("own") / F.col("weight")).alias("share"), F.xxhash64("node").alias("order"), "node", "weight", "own")).alias("leader")).where("n > 1")
-    led = first.select(*bucket, F.col("leader.node").alias("led"), F.col("leader.weight").alias("weight_led"), F.col("leader.own").alias("own_led"))
-    members = members.join(led.select(*bucket), bucket, "left_semi")
-    possible = may_be_similar(similar)
-    tried = members.join(led, bucket).where((F.col("node") != F.col("led")) & possible)
-    tried = durable(tried.select(F.greatest("node", "led").alias("a"), F.least("node", "led").alias("b")).distinct())
-    comps = components(durable(verified(tried, held, shared, similar)))
-    open_ = members
-    retired = led.select(*bucket, F.col("led").alias("node"))
-    tries = 0
-    while True:
-        # Buckets that hold more than one component, and their members that haven't led yet.
-        placed = open_.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = placed.groupBy(*bucket).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(*bucket)
-        open_ = durable(placed.join(mixed, bucket, "left_semi"))
-        if open_.isEmpty():
-            break
-        fresh = open_.join(retired, [*bucket, "node"], "left_anti")
-        sizes = open_.groupBy(*bucket, "comp").agg(F.count("*").alias("size"))
-        # At first from the largest component, which most others turn out to be linked to; later from the smallest.
-        size = F.desc("size") if tries < CENTRAL else F.asc("size")
-        order = Window.partitionBy(*bucket).orderBy(size, F.col("own") / F.col("weight"), F.xxhash64("node"), "node")
-        leaders = 2 if tries < CENTRAL else LEADERS * 8 ** (tries - CENTRAL)
-        tries += 1
-        lead = durable(fresh.join(sizes, [*bucket, "comp"]).withColumn("nr", F.row_number().over(order)).where(F.col("nr") <= leaders).select(*bucket, F.col("node").alias("led"), F.col("comp").alias("comp_led"), F.col("weight").alias("weight_led"), F.col("own").alias("own_led")))
-        if lead.isEmpty():
-            break
-        pairs = open_.join(lead, bucket).where((F.col("comp") != F.col("comp_led")) & possible).select(F.greatest("node", "led").alias("a"), F.least("node", "led").alias("b")).distinct()
-        pairs = durable(pairs.join(tried, ["a", "b"], "left_anti"))
-        more = durable(verified(pairs, held, shared, similar))
-        tried = durable(tried.unionByName(pairs))
-        retired = durable(retired.unionByName(lead.select(*bucket, F.col("led").alias("node"))))
-        open_ = open_.drop("comp")
-        if not more.isEmpty():
-            comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
+    about = signed.select("node", "weight", "signs").join(own_weights(held, shared), "node", "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
+    about = about.where((F.col("weight") - F.col("own")) * (1 + 1e-9) >= similar * F.col("weight"))
+    comps = linked(durable(members.join(about, "node").select("key", *ABOUT)), held, shared, similar)
     rows = clean.select("doc_id", "node")
     firsts = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
     firsts = durable(firsts.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
