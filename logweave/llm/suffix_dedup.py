@@ -15,8 +15,13 @@ global order:
 
 So only places where repeats begin or end are ever looked at closely, and copies of whole documents are done in the first
 round. Counts are pre-aggregated, and rows learn of them by joins that Spark splits where a rank is hot.
+
+Strings are of bytes, or of words: then a text is the 8-byte names of its words, one after another, and repeats are cut at words.
+All copies of a string may go, or all but the first: then a block goes if an equal one is at an earlier place, and the earliest of
+the equal ones stands for them in the next round.
 """
 
+import re
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -25,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import BATCH_ROWS, durable, texts
+from logweave.llm.common import BATCH_ROWS, durable, map_rows, texts
 
 SPAN = 400
-STEPS = (256, 16, 1)
 GRAM = 24
+#: Of strings of words: words to a string; and bytes of a word's name.
+WORDS, WORD_BYTES = 50, 8
+MOST_WORDS = 300_000
 #: Bytes of text that are hashed at once.
 SLAB = 1 << 19
 _PLACE = (1 << 21) - 1
@@ -37,6 +44,37 @@ _U = np.uint64
 _BASES = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
 
 
+def steps_of(span: int) -> tuple[int, ...]:
+    """The steps of the rounds: for 400 bytes 256, 16, 1. A core has a third of the span at least, and distances have ten bits."""
+    if not 32 <= span <= 1000:
+        raise ValueError(f"span: {span}, not from 32 to 1000")
+    step, out = 1 << (2 * span // 3).bit_length() - 1, []
+    while step > 1:
+        out.append(step)
+        step >>= 4
+    return (*out, 1)
+
+
+def of_bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+_NAMES: dict[str, bytes] = {}
+
+
+def of_words(text: str) -> bytes:
+    """8-byte names of the words, joined."""
+    import xxhash
+
+    words = text.split()
+    if len(_NAMES) > MOST_WORDS:
+        _NAMES.clear()
+    for w in words:
+        if w not in _NAMES:
+            _NAMES[w] = xxhash.xxh3_64_digest(w.encode("utf-8", "surrogatepass"))
+    return b"".join(map(_NAMES.__getitem__, words))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ x >> _U(31)) * _U(0x7FB5D329728EA185)
     x = (x ^ x >> _U(27)) * _U(0x81DADEF4BC2DD44D)
@@ -95,7 +133,7 @@ def _keys(names: Names, base: np.ndarray, anchor: np.ndarray, low: np.ndarray, h
     return core, names.of(start, end) ^ apart, names.of(start, end, 1) + apart
 
 
-def anchored(data: bytes, step: int = STEPS[0], span: int = SPAN):
+def anchored(data: bytes, step: int = 256, span: int = SPAN):
     """Slabs of blocks of one text: (anchor, low, high, core, hull, hull2) as arrays; anchor is a place in the text."""
     whole = np.frombuffer(data, np.uint8)
     for at in range(0, max(1, len(data) - span + 1), SLAB):
@@ -170,11 +208,11 @@ def _emit(df: DataFrame, f) -> DataFrame:
     return df.mapInArrow(run, ROWS)
 
 
-def _settle(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
-    """Of a round's blocks: (repeated whole, still open with their witnesses). Blocks with a unique core are gone.
+def _settle(rows: DataFrame, last: bool, keep_first: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Of a round's blocks: (those that go, those still open with their witnesses). Blocks with a unique core are done with.
 
-    Equal blocks that are done leave one of them behind as a witness where their core has open blocks too: those may
-    yet share shorter strings with it.
+    Where all copies go, equal blocks that are done leave one of them behind as a witness if their core has open blocks, too: those may
+    yet share shorter strings with it. Where the first stays, it is still open if its core has other blocks.
     """
     if not last:
         often = rows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
@@ -183,6 +221,11 @@ def _settle(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
         rows = durable(rows)
     own = F.struct("doc_key", "text_key", "place", "low", "high")
     hulls = durable(rows.groupBy("core", "hull", "hull2").agg(F.count("*").alias("n"), F.max("witness").alias("witness"), F.min(own).alias("one")))
+    if keep_first:
+        first = hulls.where("n > 1").select("hull", "hull2", "one")
+        done = rows.join(first, ["hull", "hull2"]).where(own != F.col("one")).select(*KEY, "place", "low", "high")
+        mixed = hulls.groupBy("core").agg(F.count("*").alias("m")).where("m > 1").select("core")
+        return done, None if last else hulls.join(mixed, "core", "left_semi").select("one.*", F.lit(False).alias("witness"))
     twice = hulls.where("n > 1").select("hull", "hull2")
     done = rows.where("not witness").join(twice, ["hull", "hull2"], "left_semi").select(*KEY, "place", "low", "high")
     if last:
@@ -201,7 +244,7 @@ def _blocks(found: DataFrame) -> DataFrame:
     """Blocks of each text as one array; a text has at most a few for each of its own `span` bytes."""
     marked = F.shiftleft(F.col("witness").cast("bigint"), 20) if "witness" in found.columns else F.lit(0)
     packed = F.shiftleft("place", 21).bitwiseOR(marked).bitwiseOR(F.shiftleft(F.col("low").cast("bigint"), 10)).bitwiseOR(F.col("high").cast("bigint"))
-    return found.groupBy(*KEY).agg(F.collect_list(packed).alias("found"))
+    return found.groupBy(*KEY).agg(F.collect_set(packed).alias("found"))  # of repeated rows each block once
 
 
 def unpack(found) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -215,15 +258,17 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("doc_key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("text_key", F.xxhash64("text"))
 
 
-def repeats(docs: DataFrame, span: int = SPAN, steps: tuple[int, ...] = STEPS) -> DataFrame:
-    """(doc_key, text_key, found): packed blocks of starts whose `span`-byte strings occur elsewhere. docs as `keyed` gives them."""
-    long = docs.where(F.octet_length("text") >= span).select(*KEY, "text")
-    rows = _emit(long, lambda text: anchored(text.encode("utf-8", "surrogatepass"), steps[0], span))
-    done, open_ = _settle(rows, last=len(steps) == 1)
+def repeats(docs: DataFrame, span: int = SPAN, units=of_bytes, keep_first: bool = False) -> DataFrame:
+    """(doc_key, text_key, found): packed blocks of starts whose strings of `span` bytes of units(text) go. docs as `keyed` gives them."""
+    steps = steps_of(span)
+    least = span if units is of_bytes else 2 * (span // WORD_BYTES) - 1
+    long = docs.where(F.octet_length("text") >= least).select(*KEY, "text")
+    rows = _emit(long, lambda text: anchored(units(text), steps[0], span))
+    done, open_ = _settle(rows, len(steps) == 1, keep_first)
     for i, step in enumerate(steps[1:], 2):
         again = long.join(_blocks(open_), KEY, "inner").select(*KEY, "text", "found")
-        rows = _emit(again, lambda text, found, step=step: rekeyed(text.encode("utf-8", "surrogatepass"), *unpack(found), step, span))
-        more, open_ = _settle(rows, last=i == len(steps))
+        rows = _emit(again, lambda text, found, step=step: rekeyed(units(text), *unpack(found), step, span))
+        more, open_ = _settle(rows, i == len(steps), keep_first)
         done = done.unionByName(more)
     return _blocks(done)
 
@@ -248,48 +293,68 @@ def cut(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join((*out, data[at:])) if runs else data
 
 
-def with_runs(docs: DataFrame, shape, schema: str, extra: list[str] = (), span: int = SPAN) -> DataFrame:
-    """Applies shape(doc_id, text bytes, runs, *extra) to every row; each row meets the blocks of its text."""
-    from logweave.llm.common import map_rows
+_WORD = re.compile(r"\S+")
+
+
+def cut_words(text: str, runs: list[tuple[int, int]]) -> str:
+    """text without the words that lie in the runs as a whole; the white space behind a removed word goes, too."""
+    if not runs:
+        return text
+    at = [m.start() for m in _WORD.finditer(text)] + [len(text)]
+    out, done = [], 0
+    for a, b in runs:
+        a, b = -(-a // WORD_BYTES), b // WORD_BYTES
+        if a < b:
+            out.append(text[done : at[a]])
+            done = at[b]
+    return "".join((*out, text[done:]))
+
 
+def with_runs(docs: DataFrame, shape, schema: str, extra: list[str] = (), span: int = SPAN, units=of_bytes, keep_first: bool = False) -> DataFrame:
+    """Applies shape(doc_id, text, runs, *extra) to every row; each row meets the blocks of its text."""
     docs = keyed(docs)
-    found = repeats(docs, span)
+    found = repeats(docs, span, units, keep_first)
     both = docs.join(found, KEY, "left").select("doc_id", "text", "found", *extra)
 
     def rows(source):
         for doc_id, text, blocks, *more in source:
-            data = text.encode("utf-8", "surrogatepass")
-            yield shape(doc_id, data, removed_runs(blocks or (), span), *more)
+            yield shape(doc_id, text, removed_runs(blocks or (), span), *more)
 
     return map_rows(both, rows, schema)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, keep_first: bool = False) -> DataFrame:
     """(doc_id, kept, spans) for every row: the text without repeats (bytes, for a cut may fall inside a character), and the removed [start, end) pairs.
 
-    Null counts as the empty text; texts under `span` bytes stay whole; repeated rows count as repeats of each other.
+    Null counts as the empty text; texts under `span` bytes stay whole; repeated rows count as repeats of each other, but where the
+    first copy stays, that of a repeated row is the first in each of them. span: from 32 to 1000.
     """
-    shape = lambda doc_id, data, runs: (doc_id, cut(data, runs), [list(r) for r in runs])
-    return with_runs(texts(docs, id_col, text_col), shape, "doc_id bigint, kept binary, spans array<array<bigint>>", span=span)
+    shape = lambda doc_id, text, runs: (doc_id, cut(of_bytes(text), runs), [list(r) for r in runs])
+    return with_runs(texts(docs, id_col, text_col), shape, "doc_id bigint, kept binary, spans array<array<bigint>>", span=span, keep_first=keep_first)
 
 
 def digests(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """The query's columns; long ones never leave the worker."""
 
-    def shape(doc_id, data, runs):
+    def shape(doc_id, text, runs):
+        data = of_bytes(text)
         kept = cut(data, runs)
         return doc_id, len(data), len(data) - len(kept), len(runs), sha256(kept).hexdigest()
 
     return with_runs(texts(docs), shape, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", span=span)
 
 
-def cleaned(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """docs with `text` cut (characters that a cut halves go too) and n_chars to match; other columns as they were. Rows whose whole text goes stay, with an empty text."""
+def cleaned(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """docs with `text` cut, and n_chars to match; other columns as they were.
+
+    Of each passage of at least `words` words (from 4 to 125) that is there more than once, all but the first place (least doc_id, null
+    ids before all, then place) go. A row stays even if its whole text goes; repeated rows stay alike; a null text becomes empty.
+    """
     names = docs.columns
     hold = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in names if c != "text"]).alias("rest"))
     schema = f"text string, rest {hold.schema['rest'].dataType.simpleString()}"
-    shape = lambda doc_id, data, runs, rest: (cut(data, runs).decode("utf-8", "ignore"), rest)
-    out = with_runs(hold, shape, schema, ["rest"], span)
+    shape = lambda doc_id, text, runs, rest: (cut_words(text, runs), rest)
+    out = with_runs(hold, shape, schema, ["rest"], words * WORD_BYTES, of_words, keep_first=True)
     kinds = dict(docs.dtypes)
     cols = [F.col("text") if c == "text" else F.length("text").cast(kinds[c]).alias(c) if c == "n_chars" else F.col(f"rest.`{c}`").alias(c) for c in names]
     return out.select(*cols)

@@ -6,7 +6,7 @@ from collections import Counter
 from typing import NamedTuple
 
 # Characters that count as symbols.
-SYMBOLS = "[#*$%&|<>]"
+SYMBOLS = "#*$%&|<>"
 _NOT_SYMBOLS = str.maketrans("", "", SYMBOLS)
 _ONE_SYMBOL = str.maketrans(SYMBOLS, "#" * len(SYMBOLS))
 

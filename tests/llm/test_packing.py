@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from logweave.llm.best_fit import pack, pack_documents
 
 
@@ -48,3 +50,16 @@ def test_bins(spark):
     assert pieces[1000] == 13 and pieces[1001] == 2 and pieces[None] == 1 and pieces[2**62 + 1] == 1
     assert all(pieces[i] == 1 for i in range(300))
     assert pack_documents(df.limit(0)).count() == 0
+
+
+def test_repeated_rows_have_bins_of_their_own(spark):
+    """Full pieces of equal rows, with ids and without, and huge texts among the copies."""
+    rows = [(i, "w " * n) for i in (5, 5, None, None) for n in (200, 250)] + [(6, "w " * 100)] * 3
+    got = pack_documents(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("source", F.lit("s")), capacity=100).collect()
+    assert len(got) == 4 * 2 + 4 * 3 + 3
+    words = defaultdict(int)
+    for r in got:
+        words[r.bin_id] += r.n_words
+    assert max(words.values()) == 100
+    assert all(r.n_bin_words == words[r.bin_id] for r in got)
+    assert sum(n == 100 for n in words.values()) == 8 + 8 + 3

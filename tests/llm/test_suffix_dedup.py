@@ -1,4 +1,5 @@
 import random
+from hashlib import sha256
 
 import pytest
 from brute import removed
@@ -38,6 +39,63 @@ def test_equals_brute_force(spark, seed):
     assert [got[i] for i in range(len(texts))] == removed(texts, 400)
 
 
+@pytest.mark.parametrize("span", [32, 47, 200, 640])
+def test_other_spans(spark, span):
+    texts = fixture(span)
+    got = {r.doc_id: r for r in dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), span=span).collect()}
+    want = removed(texts, span)
+    for i, (size, gone, spans, digest) in enumerate(want):
+        assert (len(got[i].kept), len(got[i].spans), sha256(bytes(got[i].kept)).hexdigest()) == (size - gone, spans, digest)
+
+
+def test_spans_out_of_range(spark):
+    for span in (31, 1001):
+        with pytest.raises(ValueError, match="span"):
+            dedup(spark.createDataFrame([(1, "x")], "doc_id bigint, text string"), span=span)
+
+
+def first_kept(texts, n):
+    """What is left of each text if a word goes that lies in a string of n words with an earlier copy."""
+    seen, out = set(), []
+    for t in texts:
+        ws = (t or "").split()
+        gone = [False] * len(ws)
+        for i in range(len(ws) - n + 1):
+            g = tuple(ws[i : i + n])
+            if g in seen:
+                gone[i : i + n] = [True] * n
+            seen.add(g)
+        out.append([w for w, g in zip(ws, gone, strict=True) if not g])
+    return out
+
+
+@pytest.mark.parametrize(("seed", "n"), [(1, 50), (2, 50), (3, 12), (4, 4)])
+def test_first_copy_of_words_stays(spark, seed, n):
+    rng = random.Random(seed)
+    prose = lambda k: [rng.choice("abcdefgh") * rng.randrange(1, 4) + str(rng.randrange(400)) for _ in range(k)]
+    shared = [prose(rng.choice([n - 1, n, n + 1, 2 * n, 5 * n])) for _ in range(5)]
+    texts = ["", None, "a " * 5 * n, " ".join(["x", "y"] * n)]
+    for _ in range(40):
+        parts = prose(rng.randrange(3 * n))
+        for _ in range(rng.randrange(4)):
+            p = list(rng.choice(shared))
+            if rng.random() < 0.5:
+                p[rng.randrange(len(p))] = "new"
+            parts += p + prose(rng.randrange(2 * n))
+        texts.append(rng.choice([" ", "\n", "  "]).join(parts))
+    near = prose(30 * n)
+    for _ in range(6):
+        near[rng.randrange(len(near))] = "edit"
+        texts.append(" ".join(near))
+    texts += texts[9:12]
+    df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id bigint, text string, found string")
+    rows = {r.doc_id: r.text for r in cleaned(df, n).collect()}
+    for i, want in enumerate(first_kept(texts, n)):
+        assert rows[i].split() == want
+        if want == (texts[i] or "").split():
+            assert rows[i] == (texts[i] or "")
+
+
 def test_slabs(spark, monkeypatch):
     import logweave.llm.suffix_dedup as s
 
@@ -60,6 +118,8 @@ def test_edges(spark):
     twice = spark.createDataFrame([(1, "q" * 500), (1, "q" * 500), (None, "r" * 399)], "doc_id bigint, text string")
     assert sorted((r.doc_id or 0, r.n_removed) for r in digests(twice).collect()) == [(0, 0), (1, 500), (1, 500)]
     assert {bytes(r.kept) for r in dedup(twice).collect()} == {b"", b"r" * 399}
-    rich = spark.createDataFrame([(1, "é" * 300, "x", 300, 5), (2, "é" * 300, None, 300, 6)], "doc_id bigint, text string, found string, n_chars bigint, doc_key int")
-    rows = sorted(tuple(r) for r in cleaned(rich).collect())
-    assert rows == [(1, "", "x", 0, 5), (2, "", None, 0, 6)]
+    words = " ".join(f"é{i}" for i in range(60))
+    rich = spark.createDataFrame([(1, words, "x", 300, 5), (2, "own\n" + words + "  end", None, 300, 6), (2, "own\n" + words + "  end", "z", 300, 7), (None, None, "y", None, 8)], "doc_id bigint, text string, found string, n_chars bigint, doc_key int")
+    rows = sorted(cleaned(rich).collect(), key=lambda r: r.doc_key)
+    assert [tuple(r) for r in rows] == [(1, words, "x", len(words), 5), (2, "own\nend", None, 7, 6), (2, "own\nend", "z", 7, 7), (None, "", "y", 0, 8)]
+    assert cleaned(rich.limit(0)).count() == 0
