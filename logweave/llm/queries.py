@@ -61,4 +61,14 @@ r AS (SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net
   WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM h)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
   WHEN contains(host, 'spam') OR contains(host, 'cheap-') OR contains(host, 'casino') OR regexp_matches('.' || host, '\.adserver\.') OR contains(path, '/ads/') THEN 'block' ELSE 'allow' END AS verdict FROM r""",
+    "op2_suffix_array_dedup": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+g AS (SELECT r, p, md5(substr(h, 2 * p + 1, 800)) AS k FROM (SELECT r, h, unnest(range(0, n - 399)) AS p FROM d WHERE n >= 400)),
+s AS (SELECT r, p FROM g QUALIFY count(*) OVER (PARTITION BY k) > 1),
+e AS (SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= 400 THEN 0 ELSE 1 END AS fresh FROM s),
+i AS (SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS nr FROM e),
+runs AS (SELECT r, min(p) AS a, max(p) + 400 AS b FROM i GROUP BY r, nr),
+b AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before FROM runs),
+t AS (SELECT b.r, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, max(b) AS done, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM b JOIN d USING (r) GROUP BY b.r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(done, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN t USING (r)""",
 }

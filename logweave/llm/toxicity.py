@@ -28,7 +28,7 @@ FIT_ROWS, BLOCK, NEAREST, QUERIES = 6_000, 64, 25, 64
 #: Relevance is half at this many standard errors over the rate of toxic texts.
 HALF_Z = 3.5
 #: Terms in more than this share of examples are multiplied as a dense matrix, the others by their postings.
-COMMON = 1 / 32
+COMMON = 1 / 16
 TOXIC_AT = 0.7
 #: Texts whose result a Python worker remembers.
 MOST_KNOWN = 100_000
@@ -119,12 +119,16 @@ class Index:
             top[go] = np.partition(np.concatenate([top[go], found], axis=1), -k, axis=1)[:, -k:]
         least, out, mine = top.min(axis=1), [], np.zeros(self.size)
         for r, (ids, w) in enumerate(known):
-            mine[ids] = w
+            found = np.flatnonzero(seen[r] & (sums[r] > 0) & (sums[r] >= least[r] - room[r])).tolist()
             near = []
-            for i in np.flatnonzero(seen[r] & (sums[r] > 0) & (sums[r] >= least[r] - room[r])).tolist():
-                t, v = self.vectors[i]
-                near.append((round(min(1.0, math.fsum((mine[t] * v).tolist())), 12), -i))
-            mine[ids] = 0.0
+            if found:
+                mine[ids] = w
+                parts = [self.vectors[i] for i in found]
+                ends = np.cumsum([len(t) for t, _ in parts])
+                each = mine[np.concatenate([t for t, _ in parts])] * np.concatenate([v for _, v in parts])
+                mine[ids] = 0.0
+                cosines = np.add.reduceat(each, np.concatenate(([0], ends[:-1])))
+                near = [(round(min(1.0, c), 12), -i) for c, i in zip(cosines.tolist(), found, strict=True)]
             out.append(sorted((x for x in near if x[0] > 0), reverse=True)[:k])
         return out
 

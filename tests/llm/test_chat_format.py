@@ -1,8 +1,9 @@
+import random
 from hashlib import sha256
 
 from pyspark.sql import functions as F
 
-from logweave.llm.chat_format import BUDGET, PROBE, digests, escape, unescape, windows, with_probe
+from logweave.llm.chat_format import BUDGET, HISTORY, HISTORY_TURNS, MARKS, PART, PROBE, digests, escape, unescape, windows, with_probe
 
 SCHEMA = "conv_id bigint, turn bigint, role string, text string"
 
@@ -57,3 +58,46 @@ def test_probe_and_edges(spark):
     assert df.select(unescape(escape(F.col("t")))).first()[0] == "\\l<#\\\\h"
     clash = spark.createDataFrame([(1, 0, "assistant", "a", 7, 8, 9)], SCHEMA + ", tokens int, before int, conv int")
     assert digests(clash).count() == 1
+
+
+def plain(turns, budget, history, history_turns):
+    """Windows of one conversation, turn after turn: (first own turn, own turns, repeated turns, tokens)."""
+    tokens = [len(x.split()) + MARKS for _, x in turns]
+    system = tokens[0] if turns[0][0] == "system" else 0
+    out, begin = [], 0
+    for i in range(1, len(turns) + 1):
+        room = budget if begin == 0 else budget - history - system
+        if i < len(turns) and i % PART and sum(tokens[begin : i + 1]) <= room:
+            continue
+        back = 0
+        while begin and back < min(history_turns, begin) and sum(tokens[begin - back - 1 : begin]) <= history:
+            back += 1
+        # history ends where the window before it begins, and never holds the system turn
+        back = min(back, begin - out[-1][0] if out else 0, begin - bool(system) if begin else 0)
+        lead = bool(system and begin)
+        out.append((begin, i - begin, back + lead, sum(tokens[begin - back : i]) + lead * system))
+        begin = i
+    return out
+
+
+def test_windows_are_as_full_as_whole_turns_let_them_be(spark):
+    rng = random.Random(4)
+    convs = {
+        1: [("user", "w " * 40)] * 2000,
+        2: [("system", "s " * 900)] + [("assistant", "w " * rng.randrange(300)) for _ in range(700)],
+        3: [("user", "w " * rng.choice([1, 5, 900, 1500, 2044, 2500])) for _ in range(150)],
+        4: [("system", "s " * 3000), ("user", "x"), ("assistant", "y")],
+        5: [("assistant", "one")],
+    }
+    rows = [(c, i, r, x) for c, turns in convs.items() for i, (r, x) in enumerate(turns)]
+    got = windows(spark.createDataFrame(rows, SCHEMA)).orderBy("conv_id", "window").collect()
+    for c, turns in convs.items():
+        mine = [(w.window, w.turns - w.context_turns, w.context_turns, w.tokens) for w in got if w.conv_id == c]
+        assert mine == plain(turns, BUDGET, HISTORY, HISTORY_TURNS)
+    full = [w.tokens for w in got if w.conv_id == 1]
+    assert sum(full) / len(full) > 0.85 * BUDGET
+    assert max(full) <= BUDGET
+    for w in got:
+        long = w.conv_id == 4 or w.conv_id == 3 and "w " * 1700 in w.formatted
+        assert w.over_budget == (w.tokens > BUDGET)
+        assert long or not w.over_budget
