@@ -16,7 +16,7 @@ global order:
 So only places where repeats begin or end are ever looked at closely, and copies of whole documents are done in the first
 round. Counts are pre-aggregated, and rows learn of them by joins that Spark splits where a rank is hot.
 
-Strings are of bytes, or of words: then a text is the 8-byte names of its words, one after another, and repeats are cut at words.
+Strings are of bytes, or of words: then a text is an array of 64-bit names of its words, and all lengths are in words.
 All copies of a string may go, or all but the first: then a block goes if an equal one is at an earlier place, and the earliest of
 the equal ones stands for them in the next round.
 """
@@ -32,10 +32,9 @@ from pyspark.sql import functions as F
 
 from logweave.llm.common import BATCH_ROWS, durable, map_rows, texts
 
-SPAN = 400
-GRAM = 24
-#: Of strings of words: words to a string; and bytes of a word's name.
-WORDS, WORD_BYTES = 50, 8
+SPAN, WORDS = 400, 50
+#: Bytes and words to a gram.
+GRAM, WORD_GRAM = 24, 3
 MOST_WORDS = 300_000
 #: Bytes of text that are hashed at once.
 SLAB = 1 << 19
@@ -45,9 +44,9 @@ _BASES = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
 
 
 def steps_of(span: int) -> tuple[int, ...]:
-    """The steps of the rounds: for 400 bytes 256, 16, 1. A core has a third of the span at least, and distances have ten bits."""
-    if not 32 <= span <= 1000:
-        raise ValueError(f"span: {span}, not from 32 to 1000")
+    """The steps of the rounds: for 400 bytes 256, 16, 1, for 50 words 32, 2, 1. A core has a third of the span at least, and distances have ten bits."""
+    if not 4 <= span <= 1000:
+        raise ValueError(f"span: {span}, not from 4 to 1000")
     step, out = 1 << (2 * span // 3).bit_length() - 1, []
     while step > 1:
         out.append(step)
@@ -55,15 +54,19 @@ def steps_of(span: int) -> tuple[int, ...]:
     return (*out, 1)
 
 
-def of_bytes(text: str) -> bytes:
+def encoded(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
+def of_bytes(text: str) -> np.ndarray:
+    return np.frombuffer(encoded(text), np.uint8)
+
+
 _NAMES: dict[str, bytes] = {}
 
 
-def of_words(text: str) -> bytes:
-    """8-byte names of the words, joined."""
+def of_words(text: str) -> np.ndarray:
+    """64-bit names of the words."""
     import xxhash
 
     words = text.split()
@@ -72,7 +75,7 @@ def of_words(text: str) -> bytes:
     for w in words:
         if w not in _NAMES:
             _NAMES[w] = xxhash.xxh3_64_digest(w.encode("utf-8", "surrogatepass"))
-    return b"".join(map(_NAMES.__getitem__, words))
+    return np.frombuffer(b"".join(map(_NAMES.__getitem__, words)), _U)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -96,11 +99,12 @@ def _tables(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 class Names:
-    """64-bit names of any substring of at least 8 bytes, from sums over mixed 8-byte groups."""
+    """64-bit names of any substring of at least 8 bytes, from sums over mixed 8-byte groups; of words, of any substring."""
 
     def __init__(self, data: np.ndarray, both: bool = True):
-        n = len(data) - 7
-        groups = np.ndarray((n,), "<u8", data.tobytes(), strides=(1,)) if n > 0 else np.zeros(0, _U)
+        self.reach = 7 if data.dtype == np.uint8 else 0
+        n = max(0, len(data) - self.reach)
+        groups = data if not self.reach else np.ndarray((n,), "<u8", data.tobytes(), strides=(1,)) if n else np.zeros(0, _U)
         mixed = _mix(groups.astype(_U))
         self.sums, self.back = [], []
         for powers, inverse in _tables(len(data) + 1)[: 2 if both else 1]:
@@ -108,7 +112,7 @@ class Names:
             self.back.append(inverse)
 
     def of(self, start: np.ndarray, end: np.ndarray, k: int = 0) -> np.ndarray:
-        return _mix((self.sums[k][end - 7] - self.sums[k][start]) * self.back[k][start])
+        return _mix((self.sums[k][end - self.reach] - self.sums[k][start]) * self.back[k][start])
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -126,24 +130,24 @@ def _keys(names: Names, base: np.ndarray, anchor: np.ndarray, low: np.ndarray, h
     """Ranks of blocks: of the core, a pair named anew; of the hull, two names. anchor is a place in the slab."""
     block = low // step
     start, end = anchor - block * step, anchor - (block * step + step - 1) + span
-    half = np.maximum((end - start) // 2, 8)
+    half = np.maximum((end - start + 1) // 2, names.reach + 1)
     core = _mix(names.of(start, start + half) * _U(3) + names.of(end - half, end) + block.astype(_U))
     start, end = anchor - high, anchor - low + span
     apart = _mix(low.astype(_U) << _U(20) | high.astype(_U))
     return core, names.of(start, end) ^ apart, names.of(start, end, 1) + apart
 
 
-def anchored(data: bytes, step: int = 256, span: int = SPAN):
+def anchored(whole: np.ndarray, step: int = 256, span: int = SPAN):
     """Slabs of blocks of one text: (anchor, low, high, core, hull, hull2) as arrays; anchor is a place in the text."""
-    whole = np.frombuffer(data, np.uint8)
-    for at in range(0, max(1, len(data) - span + 1), SLAB):
+    gram = GRAM if whole.dtype == np.uint8 else WORD_GRAM
+    for at in range(0, max(1, len(whole) - span + 1), SLAB):
         part = whole[at : at + SLAB + span - 1]
         if len(part) < span:
             return
         names = Names(part)
-        places = np.arange(len(part) - GRAM + 1)
-        order = names.of(places, places + GRAM) & ~_U(_PLACE) | places.astype(_U)
-        anchor = (_least(order, span - GRAM + 1) & _U(_PLACE)).astype(np.int64)
+        places = np.arange(len(part) - gram + 1)
+        order = names.of(places, places + gram) & ~_U(_PLACE) | places.astype(_U)
+        anchor = (_least(order, span - gram + 1) & _U(_PLACE)).astype(np.int64)
         first = np.concatenate(([0], np.flatnonzero(np.diff(anchor)) + 1))
         last = np.concatenate((first[1:] - 1, [len(anchor) - 1]))
         anchor = anchor[first]
@@ -161,9 +165,8 @@ def split(anchor: np.ndarray, low: np.ndarray, high: np.ndarray, step: int):
     return anchor[at], np.maximum(low[at], begin), np.minimum(high[at], begin + step - 1)
 
 
-def rekeyed(data: bytes, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, witness: np.ndarray, step: int, span: int = SPAN):
+def rekeyed(whole: np.ndarray, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, witness: np.ndarray, step: int, span: int = SPAN):
     """Ranks of the split blocks of one text, slab by slab."""
-    whole = np.frombuffer(data, np.uint8)
     witness = np.repeat(witness, high // step - low // step + 1)
     anchor, low, high = split(anchor, low, high, step)
     slab = (anchor - high) // SLAB
@@ -259,9 +262,11 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, span: int = SPAN, units=of_bytes, keep_first: bool = False) -> DataFrame:
-    """(doc_key, text_key, found): packed blocks of starts whose strings of `span` bytes of units(text) go. docs as `keyed` gives them."""
+    """(doc_key, text_key, found): packed blocks of starts whose strings of `span` units of the text go. docs as `keyed` gives them."""
     steps = steps_of(span)
-    least = span if units is of_bytes else 2 * (span // WORD_BYTES) - 1
+    if units is of_bytes and span < 32:
+        raise ValueError(f"span: {span} bytes, under 32")
+    least = span if units is of_bytes else 2 * span - 1
     long = docs.where(F.octet_length("text") >= least).select(*KEY, "text")
     rows = _emit(long, lambda text: anchored(units(text), steps[0], span))
     done, open_ = _settle(rows, len(steps) == 1, keep_first)
@@ -297,16 +302,14 @@ _WORD = re.compile(r"\S+")
 
 
 def cut_words(text: str, runs: list[tuple[int, int]]) -> str:
-    """text without the words that lie in the runs as a whole; the white space behind a removed word goes, too."""
+    """text without the runs of words; the white space behind a removed word goes, too."""
     if not runs:
         return text
     at = [m.start() for m in _WORD.finditer(text)] + [len(text)]
     out, done = [], 0
     for a, b in runs:
-        a, b = -(-a // WORD_BYTES), b // WORD_BYTES
-        if a < b:
-            out.append(text[done : at[a]])
-            done = at[b]
+        out.append(text[done : at[a]])
+        done = at[b]
     return "".join((*out, text[done:]))
 
 
@@ -329,7 +332,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
     Null counts as the empty text; texts under `span` bytes stay whole; repeated rows count as repeats of each other, but where the
     first copy stays, that of a repeated row is the first in each of them. span: from 32 to 1000.
     """
-    shape = lambda doc_id, text, runs: (doc_id, cut(of_bytes(text), runs), [list(r) for r in runs])
+    shape = lambda doc_id, text, runs: (doc_id, cut(encoded(text), runs), [list(r) for r in runs])
     return with_runs(texts(docs, id_col, text_col), shape, "doc_id bigint, kept binary, spans array<array<bigint>>", span=span, keep_first=keep_first)
 
 
@@ -337,7 +340,7 @@ def digests(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """The query's columns; long ones never leave the worker."""
 
     def shape(doc_id, text, runs):
-        data = of_bytes(text)
+        data = encoded(text)
         kept = cut(data, runs)
         return doc_id, len(data), len(data) - len(kept), len(runs), sha256(kept).hexdigest()
 
@@ -347,14 +350,14 @@ def digests(docs: DataFrame, span: int = SPAN) -> DataFrame:
 def cleaned(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """docs with `text` cut, and n_chars to match; other columns as they were.
 
-    Of each passage of at least `words` words (from 4 to 125) that is there more than once, all but the first place (least doc_id, null
+    Of each passage of at least `words` words (from 4 to 1000) that is there more than once, all but the first place (least doc_id, null
     ids before all, then place) go. A row stays even if its whole text goes; repeated rows stay alike; a null text becomes empty.
     """
     names = docs.columns
     hold = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in names if c != "text"]).alias("rest"))
     schema = f"text string, rest {hold.schema['rest'].dataType.simpleString()}"
     shape = lambda doc_id, text, runs, rest: (cut_words(text, runs), rest)
-    out = with_runs(hold, shape, schema, ["rest"], words * WORD_BYTES, of_words, keep_first=True)
+    out = with_runs(hold, shape, schema, ["rest"], words, of_words, keep_first=True)
     kinds = dict(docs.dtypes)
     cols = [F.col("text") if c == "text" else F.length("text").cast(kinds[c]).alias(c) if c == "n_chars" else F.col(f"rest.`{c}`").alias(c) for c in names]
     return out.select(*cols)

@@ -104,7 +104,7 @@ def test_slabs(spark, monkeypatch):
     for t in texts:
         data = t.encode()
         starts = set()
-        for anchor, low, high, *_ in s.anchored(data):
+        for anchor, low, high, *_ in s.anchored(s.of_bytes(t)):
             for a, lo, hi in zip(anchor, low, high, strict=True):
                 mine = set(range(a - hi, a - lo + 1))
                 assert not mine & starts
