@@ -1,15 +1,19 @@
-"""Lossless WebP (VP8L): a full decoder to pixel arrays, and a writer of literal-coded images.
+"""Lossless WebP (VP8L): a full decoder to pixel arrays, and a writer.
 
 The decoder reads prefix codes (simple and normal, one group or many by an entropy image), back-references and the
-colour cache, and undoes the predictor, cross-colour, subtract-green and palette transforms. Images whose channels have
-prefix codes of one length each (as the writer below makes) are unpacked by vector operations; all others pixel by pixel.
+colour cache, and undoes the predictor, cross-colour, subtract-green and palette transforms. Of images with one group of codes and
+no cache it looks up what a pixel at each bit of a stretch of the stream would be, by vector operations, and then follows the chain
+from pixel to pixel; cached and grouped ones are read pixel by pixel.
 
-The writer stores bytes as pixels, four to a pixel in the order alpha, red, green, blue, with eight-bit codes. Payloads
-beyond one image's height become several images, one after another.
+The writer stores bytes as green pixels by a palette, bundled where there are few, or four to a pixel (alpha, red, green, blue) after the
+predictor, cross-colour or subtract-green transform, whichever it expects to be smaller; with prefix codes fitted to the image,
+back-references, and the colour cache for images of few colours. Payloads beyond one image's height become several images, one after another.
 """
 
+import heapq
 import struct
 import zlib
+from functools import cached_property
 from hashlib import sha256
 
 import numpy as np
@@ -22,8 +26,7 @@ LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = 0, 1, 2, 3
 HASH = 0x1E35A7BD
 SIGNATURE = 0x2F
-#: The 120 short distances: (dx, dy), sorted by the format's rule of nearness.
-# Fixed values of the format: plane codes as yoffset * 16 + 8 - xoffset.
+# Fixed values of the format: the 120 short distances by nearness, as yoffset * 16 + 8 - xoffset.
 PLANE = (
     0x18, 0x07, 0x17, 0x19, 0x28, 0x06, 0x27, 0x29, 0x16, 0x1A, 0x26, 0x2A, 0x38, 0x05, 0x37, 0x39, 0x15, 0x1B, 0x36, 0x3A,
     0x25, 0x2B, 0x48, 0x04, 0x47, 0x49, 0x14, 0x1C, 0x35, 0x3B, 0x46, 0x4A, 0x24, 0x2C, 0x58, 0x45, 0x4B, 0x34, 0x3C, 0x03,
@@ -34,6 +37,12 @@ PLANE = (
 )
 
 
+#: Pixels of an image that is read; a small file can claim to be larger, and is an error.
+MOST_PIXELS = 1 << 26
+#: Images of so few pixels are read one by one, which is quicker for them.
+SMALL = 128
+
+
 class Bits:
     """Bits from the least significant on; beyond the end it is an error."""
 
@@ -52,6 +61,17 @@ class Bits:
         return value
 
 
+def turned_codes(sizes: list[int]) -> list[int]:
+    """Canonical codes of rising sizes, their first bit lowest."""
+    out, code, before = [], 0, 0
+    for n in sizes:
+        code <<= n - before
+        before = n
+        out.append(int(f"{code:0{n}b}"[::-1], 2))
+        code += 1
+    return out
+
+
 class Prefix:
     """A canonical prefix code; `table` maps the next `most` bits to (symbol, length)."""
 
@@ -60,7 +80,6 @@ class Prefix:
         self.single = used[0][1] if len(used) == 1 else None
         self.symbols = [s for _, s in used]
         same = {n for n, _ in used}
-        self.uniform = 0 if self.single is not None else used[0][0] if len(same) == 1 else None
         if not used:
             raise ValueError("a prefix code without symbols")
         if self.single is None and sum(1 << 15 - n for n, _ in used) != 1 << 15:
@@ -70,16 +89,20 @@ class Prefix:
     @property
     def table(self) -> list[tuple[int, int]]:
         if self._table is None:
-            table, code, before = [(0, 0)] * (1 << self.most), 0, 0
-            for n, s in sorted(self._used):
-                code <<= n - before
-                before = n
-                turned = int(f"{code:0{n}b}"[::-1], 2)
-                table[turned :: 1 << n] = [(s, n)] * (1 << self.most - n)
-                code += 1
-            self._table = table
+            self._table = [(x >> 4, x & 15) for x in self.array.tolist()]
         return self._table
 
+    @cached_property
+    def array(self) -> np.ndarray:
+        """symbol * 16 + length for each of the next `most` bits; a single symbol takes none."""
+        if self.single is not None:
+            return np.array([self.single << 4])
+        out = np.zeros(1 << self.most, np.int64)
+        used = sorted(self._used)
+        for (n, s), code in zip(used, turned_codes([n for n, _ in used]), strict=True):
+            out[code :: 1 << n] = s << 4 | n
+        return out
+
     def read(self, bits: Bits) -> int:
         if self.single is not None:
             return self.single
@@ -140,9 +163,11 @@ def read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.nd
         many = max(groups) + 1
     codes = [[read_prefix(bits, n) for n in (280 + len(cache), 256, 256, 256, 40)] for _ in range(many)]
     total = width * height
-    if many == 1 and not cache and all(c.uniform is not None for c in codes[0][:4]) and max(codes[0][0].symbols) < 256:
-        return _uniform(bits, total, codes[0])
-    out, at = [0] * total, 0
+    if total > MOST_PIXELS:
+        raise ValueError("the image is too large")
+    if many == 1 and not cache and total > SMALL:
+        return _vector(bits, width, total, codes[0])
+    out, at = [], 0
     green, red, blue, alpha, far = codes[0]
     while at < total:
         if groups is not None:
@@ -151,7 +176,8 @@ def read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.nd
         s = green.read(bits)
         if s < 256:
             r, b, a = red.read(bits), blue.read(bits), alpha.read(bits)
-            out[at] = p = a << 24 | r << 16 | s << 8 | b
+            p = a << 24 | r << 16 | s << 8 | b
+            out.append(p)
             at += 1
             if cache:
                 cache[(HASH * p & 0xFFFFFFFF) >> 32 - cache_bits] = p
@@ -165,62 +191,113 @@ def read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.nd
             if d > at or at + n > total:
                 raise ValueError("a back-reference leaves the image")
             for i in range(at, at + n):
-                out[i] = p = out[i - d]
+                p = out[i - d]
+                out.append(p)
                 if cache:
                     cache[(HASH * p & 0xFFFFFFFF) >> 32 - cache_bits] = p
             at += n
         else:
-            out[at] = p = cache[s - 280]
+            p = cache[s - 280]
+            out.append(p)
             at += 1
             cache[(HASH * p & 0xFFFFFFFF) >> 32 - cache_bits] = p
     return np.array(out, np.uint32)
 
 
-def _uniform(bits: Bits, total: int, codes: list[Prefix]) -> np.ndarray:
-    """Pixels whose channels have codes of one length each: every pixel has the same number of bits."""
-    sizes = [c.uniform for c in codes[:4]]
-    per = sum(sizes)
-    if bits.at + per * total > 8 * len(bits.data):
+#: Bits of a stretch that is looked up at once.
+_STRETCH = 1 << 15
+# Fixed values of the format: for each prefix symbol of lengths and distances, its extra bits and its least value.
+_MORE = np.array([0, 0, 0, 0, *(k - 2 >> 1 for k in range(4, 40))])
+_LEAST = np.array([1, 2, 3, 4, *((2 + (k & 1) << (k - 2 >> 1)) + 1 for k in range(4, 40))])
+_NEAR = np.array([0, *PLANE])
+
+
+def _vector(bits: Bits, width: int, total: int, codes: list[Prefix]) -> np.ndarray:
+    """Pixels of an image with one group of codes and no cache."""
+    green, red, blue, alpha, far = codes
+    if all(c.single is not None for c in codes[:4]) and green.single < 256:
+        return np.full(total, alpha.single << 24 | red.single << 16 | green.single << 8 | blue.single, np.uint32)
+    data = bits.data[bits.at >> 3 :]
+    ends, data = 8 * len(data), np.frombuffer(data + bytes(32), np.uint8)
+    words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    per = sum(c.most for c in codes[:4] if c.single is None)
+    at, done, last = bits.at & 7, 0, bits.at & 7
+    kinds, values, sizes = [], [], []
+
+    def fetch(where):
+        where = np.minimum(where, ends + 64)
+        return (words[where >> 3] >> (where & 7).astype(np.uint64)).view(np.int64)
+
+    def look(code, where):
+        """symbol * 16 + length at each place."""
+        return code.array.take(fetch(where) & (1 << code.most) - 1) if code.single is None else code.array[0]
+
+    while done < total:
+        if at >= ends:
+            raise ValueError("the stream ends early")
+        begin = at & ~7
+        here = np.arange(begin, min(begin + 64 + min(_STRETCH, (total - done) * per), ends))
+        if green.single is None:
+            # Each byte with its seven shifts: places one after another need no gather.
+            near = (words[begin >> 3 : len(here) + 7 + begin >> 3, None] >> np.arange(8, dtype=np.uint64)).reshape(-1)[: len(here)]
+            first = green.array.take(near.view(np.int64) & (1 << green.most) - 1)
+        else:
+            first = np.full(len(here), green.array[0])
+        s, after = first >> 4, here + (first & 15)
+        refs = np.flatnonzero(s >= 256)
+        value = s << 8
+        for code, place in ((red, 16), (blue, 0), (alpha, 24)):
+            c = look(code, after)
+            value, after = value | (c >> 4) << place, after + (c & 15) if code.single is None else after
+        count = np.ones(len(here), np.int64)
+        if len(refs):
+            where = here[refs] + (first[refs] & 15)
+            k = s[refs] - 256
+            count[refs] = _LEAST[k] + (fetch(where) & (1 << _MORE[k]) - 1)
+            where = where + _MORE[k]
+            c = look(far, where)
+            k, where = np.broadcast_to(c >> 4, where.shape), where + (c & 15) * (far.single is None)
+            d = _LEAST[k] + (fetch(where) & (1 << _MORE[k]) - 1)
+            near = _NEAR[np.minimum(d, 120)]
+            value[refs] = np.where(d > 120, d - 120, np.maximum(1, (near >> 4) * width + 8 - (near & 15)))
+            after[refs] = where + _MORE[k]
+        # The chain: from every 16th pixel on by doubled steps. Places behind the stretch stay where they are.
+        stop = len(here)
+        steps = [np.concatenate((after - begin, np.arange(stop, stop + 128)))]
+        for _ in range(4):
+            steps.append(steps[-1][steps[-1]])
+        far_on, now, found = steps.pop(), at - begin, []
+        while now < stop:
+            found.append(now)
+            now = far_on.item(now)
+        found = np.array(found)
+        for f in reversed(steps):
+            found = np.stack((found, f[found]), 1).reshape(-1)
+        at, found = begin + now, found[found < stop]
+        passed = done + np.cumsum(count[found])
+        m = int(np.searchsorted(passed, total)) + 1
+        if m <= len(found):
+            found, passed, at = found[:m], passed[:m], int(after[found[m - 1]])
+        done, last = int(passed[-1]), at
+        kinds.append(s[found] >= 256)
+        values.append(value[found])
+        sizes.append(count[found])
+    if done > total:
+        raise ValueError("a back-reference leaves the image")
+    if last > ends:
         raise ValueError("the stream ends early")
-    first, shift = bits.at >> 3, bits.at & 7
-    raw = np.frombuffer(bits.data, np.uint8)[first : first + (shift + per * total + 7 >> 3)]
-    if sizes == [8] * 4:
-        if shift:
-            nxt = np.append(raw[1:], np.uint8(0))
-            raw = raw >> np.uint8(shift) | nxt << np.uint8(8 - shift)
-        parts = raw[: 4 * total].reshape(total, 4).T
-    else:
-        loose = np.unpackbits(raw, bitorder="little")[shift : shift + per * total].reshape(total, per)
-        parts, at = [], 0
-        for n in sizes:
-            parts.append(loose[:, at : at + n] @ (1 << np.arange(n, dtype=np.int64)) if n else np.zeros(total, np.int64))
-            at += n
-    bits.at += per * total
+    bits.at += last - (bits.at & 7)
+    kinds, values, sizes = map(np.concatenate, (kinds, values, sizes))
+    begins = np.cumsum(sizes) - sizes
     out = np.zeros(total, np.uint32)
-    for c, part, place in zip(codes, parts, (8, 16, 0, 24), strict=False):
-        if c.single is not None:
-            out |= np.uint32(c.single << place)
-        else:
-            table = _turned(c.uniform, tuple(c.symbols))
-            out |= table[part] << np.uint32(place)
+    out[begins[~kinds]] = values[~kinds]
+    for i, n, d in zip(begins[kinds].tolist(), sizes[kinds].tolist(), values[kinds].tolist(), strict=True):
+        if d > i:
+            raise ValueError("a back-reference leaves the image")
+        out[i : i + n] = out[i - d : i - d + n] if d >= n else np.resize(out[i - d : i], n)
     return out
 
 
-_TURNED: dict[tuple, np.ndarray] = {}
-
-
-def _turned(n: int, symbols: tuple[int, ...]) -> np.ndarray:
-    """Symbol for each n bits as they are read (the code's last bit on top)."""
-    if (n, symbols) not in _TURNED:
-        if len(_TURNED) > 64:
-            _TURNED.clear()
-        table = np.zeros(1 << n, np.uint32)
-        for code, s in enumerate(symbols):
-            table[int(f"{code:0{n}b}"[::-1], 2)] = s
-        _TURNED[n, symbols] = table
-    return _TURNED[n, symbols]
-
-
 # -- transforms ------------------------------------------------------------------------------------------------------
 
 
@@ -389,89 +466,300 @@ def pixel_arrays(data: bytes) -> list[tuple[int, int, np.ndarray]]:
 
 # -- writing ---------------------------------------------------------------------------------------------------------
 
-#: Pixels to a row (64 bytes), and the most rows of an image.
-ROW, MOST_ROWS = 16, 16_383
+#: Pixels to a row of green images and of those with four bytes to a pixel, and the most rows of an image.
+ONE, ROW, MOST_ROWS = 64, 16, 16_383
+#: Bytes that make a back-reference, the longest one, and the farthest.
+MATCH, LONGEST, FARTHEST = 8, 4096, (1 << 20) - 120
+#: Bits that a symbol takes in the table of a code, about; and multipliers that are tried, in 32nds.
+_PER_SYMBOL = 6
+_FACTORS = (8, 16, 24, 40, 48)
 
 
 class Writer:
+    """Values and their numbers of bits, the lowest bit first."""
+
     def __init__(self):
-        self.value = self.n = 0
+        self.values, self.sizes, self.parts = [], [], []
 
     def put(self, value: int, n: int) -> None:
-        self.value |= value << self.n
-        self.n += n
+        self.values.append(value)
+        self.sizes.append(n)
+
+    def put_all(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.parts += [(np.array(self.values, np.int64), np.array(self.sizes, np.int64)), (values, sizes)]
+        self.values, self.sizes = [], []
+
+    def done(self) -> bytes:
+        self.put_all(np.zeros(0, np.int64), np.zeros(0, np.int64))
+        values, sizes = map(np.concatenate, zip(*self.parts, strict=True))
+        ends = np.cumsum(sizes)
+        place = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+        return np.packbits((np.repeat(values, sizes) >> place & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def fitted(counts: list[int], most: int) -> list[int]:
+    """Code lengths of at most `most` bits, by joining the rarest; a single symbol has length 1."""
+    while True:
+        out = [0] * len(counts)
+        heap = [(c, i, (i,)) for i, c in enumerate(counts) if c]
+        if len(heap) == 1:
+            out[heap[0][1]] = 1
+            return out
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            a, b = heapq.heappop(heap), heapq.heappop(heap)
+            for i in a[2] + b[2]:
+                out[i] += 1
+            heapq.heappush(heap, (a[0] + b[0], a[1], a[2] + b[2]))
+        if max(out) <= most:
+            return out
+        counts = [c + 1 >> 1 for c in counts]
+
+
+def table_of(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Code and number of bits for each symbol; a single symbol takes none."""
+    codes, sizes = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    used = sorted((n, s) for s, n in enumerate(lengths) if n)
+    if len(used) > 1:
+        for (n, s), code in zip(used, turned_codes([n for n, _ in used]), strict=True):
+            codes[s], sizes[s] = code, n
+    return codes, sizes
+
+
+def write_prefix(w: Writer, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    used = [s for s, n in enumerate(lengths) if n]
+    if len(used) < 2 and (not used or used[0] < 256):
+        s = used[0] if used else 0
+        w.put(1, 1)
+        w.put(0, 1)
+        w.put(int(s > 1), 1)
+        w.put(s, 8 if s > 1 else 1)
+        return table_of(lengths)
+    w.put(0, 1)
+    said, at = [], 0  # (symbol, extra, its bits)
+    for s in (*used, len(lengths)):
+        zeros = s - at
+        while zeros >= 3:
+            n = min(zeros, 138)
+            said.append((17, n - 3, 3) if n < 11 else (18, n - 11, 7))
+            zeros -= n
+        said += [(0, 0, 0)] * zeros
+        if s < len(lengths):
+            said.append((lengths[s], 0, 0))
+        at = s + 1
+    counts = [0] * 19
+    for s, _, _ in said:
+        counts[s] += 1
+    small = fitted(counts, 7)
+    n = max(4, 1 + max(i for i, s in enumerate(LENGTH_ORDER) if small[s]))
+    w.put(n - 4, 4)
+    for s in LENGTH_ORDER[:n]:
+        w.put(small[s], 3)
+    w.put(0, 1)
+    codes, sizes = table_of(small)
+    for s, extra, more in said:
+        w.put(int(codes[s]), int(sizes[s]))
+        w.put(extra, more)
+    return table_of(lengths)
+
+
+def repeats(keys: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """Back-references (start, length, distance) by the last earlier place of equal keys, each of k pixels; none overlaps another."""
+    if len(keys) < 2:
+        return []
+    order = np.argsort(keys, kind="stable")
+    same = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
+    far = np.zeros(len(keys), np.int64)
+    far[order[same + 1]] = order[same + 1] - order[same]
+    far[far > FARTHEST] = 0
+    edge = np.concatenate(([0], np.flatnonzero(np.diff(far)) + 1, [len(far)]))
+    out, done = [], 0
+    for a, b, d in zip(edge[:-1].tolist(), edge[1:].tolist(), far[edge[:-1]].tolist(), strict=True):
+        end = b - 1 + k
+        a = max(a, done)
+        while d and end - a >= k:
+            n = min(end - a, LONGEST)
+            out.append((a, n, d))
+            a = done = a + n
+    return out
 
 
-def _flat_code(w: Writer) -> None:
-    """256 symbols of eight bits each: one length 8, then repeats of it."""
-    w.put(0, 1)
-    w.put(9 - 4, 4)
-    wide = {16: 1}
-    for s in LENGTH_ORDER[:9]:
-        w.put(wide.get(s, 0), 3)
+def _coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbol, extra value and its bits for numbers from 1 on."""
+    s = np.searchsorted(_LEAST, x, side="right") - 1
+    return s, x - _LEAST[s], _MORE[s]
+
+
+def write_image(w: Writer, channels: list[np.ndarray | None], refs: list[tuple[int, int, int]], main: bool = False, cache_bits: int = 0) -> None:
+    """channels: green, red, blue and alpha of each pixel; None: all 0."""
+    green, n = channels[0], len(channels[0])
+    w.put(int(cache_bits > 0), 1)
+    if cache_bits:
+        w.put(cache_bits, 4)
+    if main:
+        w.put(0, 1)
+    alphabet = 280 + (1 << cache_bits if cache_bits else 0)
+    single = np.arange(n)
+    if refs:
+        free = np.ones(n, bool)
+        for a, k, _ in refs:
+            free[a : a + k] = False
+        single = np.flatnonzero(free)
+        green = green[single]
+    green, cached = green.astype(np.int64), None
+    if cache_bits:
+        green, cached = _cached(channels, single, refs, cache_bits)
+    said, far = green, [0] * 40
+    if refs:
+        start, length, back = np.array(refs, np.int64).T
+        ls, lx, lb = _coded(length)
+        ds, dx, db = _coded(back + 120)
+        said, far = np.concatenate((green, 256 + ls)), np.bincount(ds, minlength=40).tolist()
+    codes, sizes = write_prefix(w, fitted(np.bincount(said, minlength=alphabet).tolist(), 15))
+    values, bits = [codes[green]], [sizes[green]]
+    for c in channels[1:]:
+        if c is None:
+            write_prefix(w, [0] * 256)
+            continue
+        c = c[single]
+        counted = c if cached is None else c[~cached]
+        mine = write_prefix(w, fitted(np.bincount(counted, minlength=256).tolist(), 15) if len(counted) else [0] * 256)
+        values.append(mine[0][c])
+        bits.append(mine[1][c] if cached is None else np.where(cached, 0, mine[1][c]))
+    values, bits = np.stack(values, 1), np.stack(bits, 1)
+    last = write_prefix(w, fitted(far, 15) if refs else far)
+    if refs:
+        # As many columns for pixels as for references.
+        more = np.zeros((len(single), 4 - values.shape[1]), np.int64)
+        values = np.concatenate((np.concatenate((values, more), 1), np.stack((codes[256 + ls], lx, last[0][ds], dx), 1)))
+        bits = np.concatenate((np.concatenate((bits, more), 1), np.stack((sizes[256 + ls], lb, last[1][ds], db), 1)))
+        order = np.argsort(np.concatenate((single, start)), kind="stable")
+        values, bits = values[order], bits[order]
+    w.put_all(values.reshape(-1), bits.reshape(-1))
+
+
+def _cached(channels: list[np.ndarray], single: np.ndarray, refs: list[tuple[int, int, int]], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Green symbols of the pixels outside references, with cache symbols where the cache has the pixel; and which those are."""
+    g, r, b, a = (np.zeros(len(channels[0]), np.int64) if c is None else c.astype(np.int64) for c in channels)
+    pixels = (a << 24 | r << 16 | g << 8 | b).tolist()
+    cache, out, at = [0] * (1 << bits), [], 0
+    own = set(single.tolist())
+    for at, p in enumerate(pixels):
+        k = (HASH * p & 0xFFFFFFFF) >> 32 - bits
+        if at in own:
+            out.append(280 + k if cache[k] == p else p >> 8 & 255)
+        cache[k] = p
+    out = np.array(out, np.int64)
+    return out, out >= 280
+
+
+def _expected(channels: list[np.ndarray]) -> float:
+    """Bits that an image takes, about, without references."""
+    total = 0.0
+    for c in channels:
+        n = np.bincount(c, minlength=256)
+        n = n[n > 0]
+        if len(n) > 1:
+            total += float(len(c) * np.log2(len(c)) - n @ np.log2(n)) + _PER_SYMBOL * len(n)
+    return total
+
+
+def _parts(p: np.ndarray) -> list[np.ndarray]:
+    return [(p >> np.uint32(k) & np.uint32(255)).astype(np.uint8) for k in (8, 16, 0, 24)]
+
+
+def _signed(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.int8).astype(np.int32)
+
+
+def _four(p: np.ndarray) -> tuple[float, tuple, list[np.ndarray]]:
+    """The best of the transforms for an image of four bytes to a pixel: expected bits, (kind, what it needs), channels."""
+    plain = _parts(p)
+    g, r, b, a = plain
+    ways = [(_expected(plain), (None, 0), plain)]
+    less = [g, r - g, b - g, a]
+    ways.append((_expected(less), (SUBTRACT_GREEN, 0), less))
+    left, top = np.concatenate(([0xFF000000], p[:-1])).astype(np.uint32), np.concatenate((p[:0], p[:-ROW]))
+    for mode in (1, 2):
+        guess = left.copy()
+        guess[ROW::ROW] = p[: len(p) - ROW : ROW]
+        if mode == 2:
+            guess[ROW:] = top
+        rest = [x - y for x, y in zip(plain, _parts(guess), strict=True)]
+        ways.append((_expected(rest), (PREDICTOR, mode), rest))
+    for e in _FACTORS:
+        by = (_signed(np.array([e])) * _signed(g) >> 5).astype(np.uint8)
+        rest = [g, r - by, b - by, a]
+        ways.append((_expected(rest), (CROSS_COLOUR, e), rest))
+    return min(ways, key=lambda x: x[0])
+
+
+def _few(p: np.ndarray) -> bool:
+    """Whether an image of four bytes to a pixel has few colours, or few steps from pixel to pixel; others aren't tried."""
+    return 3 * min(len(set(p.tolist())), len(set(np.diff(p).tolist()))) < len(p)
 
 
-def _header(height: int) -> tuple[bytes, int, int]:
-    """Everything before the pixels; returns the whole bytes, and the bits over with their number."""
-    w = Writer()
+def _write_image(part: np.ndarray) -> bytes:
+    """A WebP file of a positive multiple of 64 bytes."""
+    w, n = Writer(), len(part)
+    values = np.flatnonzero(np.bincount(part, minlength=256)).astype(np.uint8)
+    numbers = np.zeros(256, np.uint8)
+    numbers[values] = np.arange(len(values))
+    index = numbers[part]
+    four = part.view(">u4").astype(np.uint32)
+    best = _four(four) if _few(four) else None
+    one = best is None or best[0] >= _expected([index])
+    width = ONE if one else ROW
     w.put(SIGNATURE, 8)
-    w.put(ROW - 1, 14)
-    w.put(height - 1, 14)
+    w.put(width - 1, 14)
+    w.put(n // (ONE if one else 4 * ROW) - 1, 14)
     w.put(1, 1)
     w.put(0, 3)
-    w.put(0, 1)  # no transform
-    w.put(0, 1)  # no colour cache
-    w.put(0, 1)  # one group of codes
-    for _ in range(4):
-        # Normal code; the only length symbol is 16 (repeat the length before, 8 at first), so each takes two bits.
-        _flat_code(w)
+    if one:
         w.put(1, 1)
-        w.put(2, 3)  # six bits for the number of symbols
-        w.put(43 - 2, 6)
-        for _ in range(42):
-            w.put(3, 2)  # six more
-        w.put(1, 2)  # and four: 256 in all
-    w.put(1, 1)  # distances: a simple code with the one symbol 0
-    w.put(0, 2)
-    w.put(0, 1)
-    whole = w.n >> 3
-    return (w.value & (1 << 8 * whole) - 1).to_bytes(whole, "little"), w.value >> 8 * whole, w.n & 7
-
-
-_HEADERS: dict[int, tuple[bytes, int, int]] = {}
-_TURN = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.uint8)
-
-
-def _write_image(part: np.ndarray) -> bytes:
-    height = len(part) // (4 * ROW)
-    if height not in _HEADERS:
-        if len(_HEADERS) > 4096:
-            _HEADERS.clear()
-        _HEADERS[height] = _header(height)
-    head, left, shift = _HEADERS[height]
-    # A pixel's bytes are alpha, red, green, blue; on disk its codes are green, red, blue, alpha.
-    body = _TURN[part.reshape(-1, 4)[:, [2, 1, 3, 0]].reshape(-1)]
-    if shift:
-        wide = np.zeros(len(body) + 1, np.uint8)
-        wide[:-1] = body << np.uint8(shift)
-        wide[1:] |= body >> np.uint8(8 - shift)
-        wide[0] |= left
-        body = wide
-    data = head + body.tobytes()
+        w.put(PALETTE, 2)
+        w.put(len(values) - 1, 8)
+        steps = np.diff(values, prepend=np.uint8(0))
+        write_image(w, [steps, None, None, None], [])
+        packed = 3 if len(values) <= 2 else 2 if len(values) <= 4 else 1 if len(values) <= 16 else 0
+        if packed:
+            shifts = np.arange(1 << packed, dtype=np.uint8) * np.uint8(8 >> packed)
+            index = np.bitwise_or.reduce(index.reshape(-1, 1 << packed) << shifts, axis=1)
+        keys = np.ndarray((max(0, len(index) - MATCH + 1),), "<u8", index.tobytes(), strides=(1,))
+        w.put(0, 1)
+        write_image(w, [index, None, None, None], repeats(keys, MATCH), main=True)
+    else:
+        _, (kind, what), channels = best
+        if kind is not None:
+            w.put(1, 1)
+            w.put(kind, 2)
+        if kind in (PREDICTOR, CROSS_COLOUR):
+            w.put(7, 3)  # blocks of 512 pixels a side
+            blocks = -(-(n // (4 * ROW)) >> 9)
+            same = lambda x: np.full(blocks, x, np.uint8)
+            # The mode is in green; of multipliers, green to red is in blue and green to blue in green.
+            write_image(w, [same(what), same(0), same(what if kind == CROSS_COLOUR else 0), same(255)], [])
+        w.put(0, 1)
+        g, r, b, a = (c.astype(np.uint64) for c in channels)
+        p = a << np.uint64(24) | r << np.uint64(16) | g << np.uint64(8) | b
+        colours = len(np.unique(p))
+        write_image(w, channels, repeats(p[:-1] << np.uint64(32) | p[1:], 2), main=True, cache_bits=min(10, max(1, colours.bit_length())) if 4 * colours < len(p) else 0)
+    data = w.done()
     pad = b"\0" * (len(data) & 1)
     return b"RIFF" + struct.pack("<I", 4 + 8 + len(data) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data + pad
 
 
 def store(payload: bytes) -> bytes:
     """payload: a positive multiple of 64 bytes."""
-    data, step = np.frombuffer(payload, np.uint8), 4 * ROW * MOST_ROWS
+    data, step = np.frombuffer(payload, np.uint8), ONE * MOST_ROWS
     return b"".join(_write_image(data[i : i + step]) for i in range(0, len(data), step))
 
 
 def read_back(media: bytes) -> tuple[bytes, str]:
     """The payload in the pixels of stored images, and the sizes of the images."""
     found = pixel_arrays(media)
-    return b"".join(p.astype(">u4").tobytes() for _, _, p in found), ",".join(f"{w}x{h}" for w, h, _ in found)
+    parts = [(p >> np.uint32(8)).astype(np.uint8) if w == ONE else p.astype(">u4") for w, _, p in found]
+    return b"".join(x.tobytes() for x in parts), ",".join(f"{w}x{h}" for w, h, _ in found)
 
 
 def feature(payload: bytes, sizes: str) -> str:
