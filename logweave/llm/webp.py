@@ -13,7 +13,7 @@ back-references, and the colour cache for images of few colours. Payloads beyond
 import heapq
 import struct
 import zlib
-from functools import cached_property
+from functools import cached_property, lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -111,13 +111,22 @@ class Prefix:
         return symbol
 
 
+@lru_cache(4096)
+def alone(symbol: int, alphabet: int) -> Prefix:
+    """The code of one symbol."""
+    if symbol >= alphabet:
+        raise ValueError("a symbol beyond the alphabet")
+    return Prefix([int(s == symbol) for s in range(alphabet)])
+
+
 def read_prefix(bits: Bits, alphabet: int) -> Prefix:
     lengths = [0] * alphabet
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
-        symbols = [bits.read(8 if wide else 1)] + ([bits.read(8)] if two else [])
-        for s in symbols:
-            lengths[s] = 1
+        first = bits.read(8 if wide else 1)
+        if not two:
+            return alone(first, alphabet)
+        lengths[first] = lengths[bits.read(8)] = 1
         return Prefix(lengths)
     code = [0] * 19
     for i in range(4 + bits.read(4)):
@@ -221,6 +230,8 @@ def _vector(bits: Bits, width: int, total: int, codes: list[Prefix]) -> np.ndarr
     ends, data = 8 * len(data), np.frombuffer(data + bytes(32), np.uint8)
     words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
     per = sum(c.most for c in codes[:4] if c.single is None)
+    channels = ((red, 16), (blue, 0), (alpha, 24))
+    several, rest = [x for x in channels if x[0].single is None], sum(c.single << place for c, place in channels if c.single is not None)
     at, done, last = bits.at & 7, 0, bits.at & 7
     kinds, values, sizes = [], [], []
 
@@ -243,23 +254,22 @@ def _vector(bits: Bits, width: int, total: int, codes: list[Prefix]) -> np.ndarr
             first = green.array.take(near.view(np.int64) & (1 << green.most) - 1)
         else:
             first = np.full(len(here), green.array[0])
-        s, after = first >> 4, here + (first & 15)
-        refs = np.flatnonzero(s >= 256)
-        value = s << 8
-        for code, place in ((red, 16), (blue, 0), (alpha, 24)):
+        after = here + (first & 15)
+        refs = np.flatnonzero(first >= 256 << 4)
+        value = None
+        for code, place in several:
             c = look(code, after)
-            value, after = value | (c >> 4) << place, after + (c & 15) if code.single is None else after
-        count = np.ones(len(here), np.int64)
+            value, after = (c >> 4) << place if value is None else value | (c >> 4) << place, after + (c & 15)
         if len(refs):
             where = here[refs] + (first[refs] & 15)
-            k = s[refs] - 256
-            count[refs] = _LEAST[k] + (fetch(where) & (1 << _MORE[k]) - 1)
+            k = (first[refs] >> 4) - 256
+            lengths = _LEAST[k] + (fetch(where) & (1 << _MORE[k]) - 1)
             where = where + _MORE[k]
             c = look(far, where)
             k, where = np.broadcast_to(c >> 4, where.shape), where + (c & 15) * (far.single is None)
             d = _LEAST[k] + (fetch(where) & (1 << _MORE[k]) - 1)
             near = _NEAR[np.minimum(d, 120)]
-            value[refs] = np.where(d > 120, d - 120, np.maximum(1, (near >> 4) * width + 8 - (near & 15)))
+            back = np.where(d > 120, d - 120, np.maximum(1, (near >> 4) * width + 8 - (near & 15)))
             after[refs] = where + _MORE[k]
         # The chain: from every 16th pixel on by doubled steps. Places behind the stretch stay where they are.
         stop = len(here)
@@ -274,14 +284,23 @@ def _vector(bits: Bits, width: int, total: int, codes: list[Prefix]) -> np.ndarr
         for f in reversed(steps):
             found = np.stack((found, f[found]), 1).reshape(-1)
         at, found = begin + now, found[found < stop]
-        passed = done + np.cumsum(count[found])
+        said = first[found] >> 4
+        kind = said >= 256
+        mine, pixel = np.ones(len(found), np.int64), (said << 8) + rest
+        if value is not None:
+            pixel |= value[found]
+        if kind.any():
+            of = np.searchsorted(refs, found[kind])
+            mine[kind], pixel[kind] = lengths[of], back[of]
+        passed = done + np.cumsum(mine)
         m = int(np.searchsorted(passed, total)) + 1
         if m <= len(found):
-            found, passed, at = found[:m], passed[:m], int(after[found[m - 1]])
+            at = int(after[found[m - 1]])
+            kind, pixel, mine, passed = kind[:m], pixel[:m], mine[:m], passed[:m]
         done, last = int(passed[-1]), at
-        kinds.append(s[found] >= 256)
-        values.append(value[found])
-        sizes.append(count[found])
+        kinds.append(kind)
+        values.append(pixel)
+        sizes.append(mine)
     if done > total:
         raise ValueError("a back-reference leaves the image")
     if last > ends:
@@ -493,8 +512,12 @@ class Writer:
         self.put_all(np.zeros(0, np.int64), np.zeros(0, np.int64))
         values, sizes = map(np.concatenate, zip(*self.parts, strict=True))
         ends = np.cumsum(sizes)
-        place = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
-        return np.packbits((np.repeat(values, sizes) >> place & 1).astype(np.uint8), bitorder="little").tobytes()
+        place = ends - sizes
+        # Each value lies in one or two 32-bit words; sums of what doesn't overlap are exact in doubles.
+        word, values = place >> 5, np.where(sizes > 0, values, 0) << (place & 31)
+        n = int(ends[-1] >> 5) + 2
+        whole = np.bincount(word, values & 0xFFFFFFFF, n) + np.bincount(word + 1, values >> 32, n)
+        return whole.astype("<u4").tobytes()[: int(ends[-1] + 7 >> 3)]
 
 
 def fitted(counts: list[int], most: int) -> list[int]:
@@ -526,6 +549,10 @@ def table_of(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return codes, sizes
 
 
+#: The four bits of a simple code of the one symbol 0.
+ZERO = 1
+
+
 def write_prefix(w: Writer, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
     used = [s for s, n in enumerate(lengths) if n]
     if len(used) < 2 and (not used or used[0] < 256):
@@ -567,7 +594,8 @@ def repeats(keys: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """Back-references (start, length, distance) by the last earlier place of equal keys, each of k pixels; none overlaps another."""
     if len(keys) < 2:
         return []
-    order = np.argsort(keys, kind="stable")
+    # By 16 bits of a hash: quick to sort, and where another key comes between two equal ones, that reference is not found.
+    order = np.argsort((keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16), kind="stable")
     same = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
     far = np.zeros(len(keys), np.int64)
     far[order[same + 1]] = order[same + 1] - order[same]
@@ -609,17 +637,17 @@ def write_image(w: Writer, channels: list[np.ndarray | None], refs: list[tuple[i
     green, cached = green.astype(np.int64), None
     if cache_bits:
         green, cached = _cached(channels, single, refs, cache_bits)
-    said, far = green, [0] * 40
+    said = green
     if refs:
         start, length, back = np.array(refs, np.int64).T
         ls, lx, lb = _coded(length)
         ds, dx, db = _coded(back + 120)
-        said, far = np.concatenate((green, 256 + ls)), np.bincount(ds, minlength=40).tolist()
+        said = np.concatenate((green, 256 + ls))
     codes, sizes = write_prefix(w, fitted(np.bincount(said, minlength=alphabet).tolist(), 15))
     values, bits = [codes[green]], [sizes[green]]
     for c in channels[1:]:
         if c is None:
-            write_prefix(w, [0] * 256)
+            w.put(ZERO, 4)
             continue
         c = c[single]
         counted = c if cached is None else c[~cached]
@@ -627,8 +655,10 @@ def write_image(w: Writer, channels: list[np.ndarray | None], refs: list[tuple[i
         values.append(mine[0][c])
         bits.append(mine[1][c] if cached is None else np.where(cached, 0, mine[1][c]))
     values, bits = np.stack(values, 1), np.stack(bits, 1)
-    last = write_prefix(w, fitted(far, 15) if refs else far)
-    if refs:
+    if not refs:
+        w.put(ZERO, 4)
+    else:
+        last = write_prefix(w, fitted(np.bincount(ds, minlength=40).tolist(), 15))
         # As many columns for pixels as for references.
         more = np.zeros((len(single), 4 - values.shape[1]), np.int64)
         values = np.concatenate((np.concatenate((values, more), 1), np.stack((codes[256 + ls], lx, last[0][ds], dx), 1)))
