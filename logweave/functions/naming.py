@@ -58,5 +58,20 @@ def describe_chunk(id: Column, session: Column, seq: Column, size: Column) -> Co
     return F.format_string("Name: %s Session: %d Seq: %d Payload: %d", id, session, seq, size)
 
 
+def normal_path(path: Column) -> Column:
+    """Without empty and `.` steps, and with `..` steps undone; a leading `/` stays, and `..` above it goes."""
+    rooted = path.startswith("/")
+    parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    none = F.array().cast("array<string>")
+
+    def step(done, x):
+        up = (x == "..") & (F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("")) != "..")
+        above = (x == "..") & rooted & (F.size(done) == 0)
+        return F.when(up, F.slice(done, F.lit(1), F.size(done) - 1)).when(above, done).otherwise(F.concat(done, F.array(x)))
+
+    out = F.array_join(F.aggregate(parts, none, step), "/")
+    return F.when(rooted, F.concat(F.lit("/"), out)).when(out == "", ".").otherwise(out)
+
+
 def last_token(line: Column) -> Column:
     return F.element_at(F.split(F.trim(line), r"\s+"), -1)

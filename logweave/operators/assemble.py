@@ -11,8 +11,7 @@ LOG = ["id", "session"]
 
 def bodies(chunks: DataFrame) -> DataFrame:
     """One row for each log with its bytes in order, cut by nothing. A body must fit in a row (2 GiB); see `export` for others."""
-    pairs = F.array_sort(F.collect_list(F.struct("seq", F.coalesce("payload", F.lit(b"")).alias("payload"))))
-    whole = F.aggregate(pairs, F.lit(b""), lambda body, x: F.concat(body, x["payload"]))
+    whole = F.coalesce(F.expr("listagg(payload) WITHIN GROUP (ORDER BY seq)"), F.lit(b""))
     return chunks.groupBy(*LOG).agg(whole.alias("body"), F.max("seq").alias("last_seq"), F.count("*").alias("chunks")).withColumn("name", rebuilt_name(F.col("id"), F.col("session")))
 
 

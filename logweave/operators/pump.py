@@ -39,6 +39,19 @@ def slots(queue: DataFrame, workers: int = WORKERS) -> DataFrame:
     return queue.withColumn("slot", F.ntile(workers).over(Window.orderBy(F.col("mtime").asc_nulls_last(), "path")))
 
 
+def present(queue: DataFrame, listing: DataFrame, key: str = "path") -> DataFrame:
+    """What is still there: a queued file that has gone since counts as delivered and isn't pushed."""
+    return queue.join(listing.select(key), key, "left_semi")
+
+
+def in_flight(*busy: DataFrame, key: str = "path") -> DataFrame:
+    """One row: how many different files are being worked on."""
+    rows = busy[0].select(key)
+    for x in busy[1:]:
+        rows = rows.unionByName(x.select(key))
+    return rows.agg(F.count_distinct(key).alias("in_flight"))
+
+
 def outcome(code: Column) -> Column:
     """Only 200 counts as delivered; all else is kept for another try."""
     return F.when(code == 200, "delete").otherwise("retry")

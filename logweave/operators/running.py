@@ -17,8 +17,8 @@ def ranged(df: DataFrame, keys: list[str], position: str, span: int = SPAN) -> D
     return df.withColumn("_range", F.floor(F.col(position) / span)).repartition(*keys, "_range")
 
 
-def running_totals(df: DataFrame, keys: list[str], position: str, values: dict[str, Column], order: list[str] = (), span: int = SPAN) -> DataFrame:
-    """Adds for each (name, value) the sum of the value over the key's earlier rows, this one left out.
+def running_totals(df: DataFrame, keys: list[str], position: str, values: dict[str, Column], order: list[str] = (), span: int = SPAN, least: dict[str, Column] | None = None) -> DataFrame:
+    """Adds for each (name, value) the sum of the value over the key's earlier rows, this one left out; for each of `least` the key's minimum.
 
     Rows are ordered by `position` (a long; nulls first), and where that ties by `order`; rows that tie in both get
     their places in any order. Null keys form a key of their own.
@@ -28,9 +28,10 @@ def running_totals(df: DataFrame, keys: list[str], position: str, values: dict[s
     within = Window.partitionBy(*keys, "_range")
     before = within.orderBy(position, *order).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumns({f"_value_{n}": v.cast("bigint") for n, v in values.items()})
-    totals = df.groupBy(*keys, "_range").agg(*(F.sum(f"_value_{n}").alias(n) for n in values))
+    least = least or {}
+    totals = df.groupBy(*keys, "_range").agg(*(F.sum(f"_value_{n}").alias(n) for n in values), *(F.min(c).alias(n) for n, c in least.items()))
     ahead = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_range").alias("_kr"), *(F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"_ahead_{n}") for n in values))
+    totals = totals.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_range").alias("_kr"), *(F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"_ahead_{n}") for n in values), *(F.min(n).over(Window.partitionBy(*keys)).alias(n) for n in least))
     same = F.col("_range").eqNullSafe(F.col("_kr"))
     for i, k in enumerate(keys):
         same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.naming import tracker_file_name
-from logweave.operators.running import ranged, running_total
+from logweave.operators.running import ranged, running_totals
 
 LOG = ["id", "session"]
 
@@ -15,7 +15,7 @@ def decide(chunks: DataFrame, tracker: DataFrame | None = None, start: str = "fi
     append: continues the run; init: starts it (only where last = 0); stale: at or before `last`; gap: waits
     behind a missing chunk. start="first_seen" lets a session begin at its least seq, start="one" only at 1.
     With last = 0 a chunk 0 is taken and leaves `last` at 0. A row's place in its session comes from
-    `running_total`, so that one huge session is worked on by many tasks.
+    `running_totals`, so that one huge session is worked on by many tasks.
     """
     if start not in ("first_seen", "one"):
         raise ValueError(f"start: {start}")
@@ -25,10 +25,9 @@ def decide(chunks: DataFrame, tracker: DataFrame | None = None, start: str = "fi
         known = chunks.join(tracker.select(*LOG, F.col("last_seq").alias("last")), LOG, "left").withColumn("last", F.coalesce("last", F.lit(0).cast("bigint")))
     rows = ranged(known, LOG, "seq")
     fresh = F.col("seq") > F.col("last")
-    placed = running_total(rows, LOG, "seq", F.when(fresh, 1).otherwise(0), "_place")
+    # The least fresh number comes with the totals of ranges, so that chunks meet one small table only.
+    placed = running_totals(rows, LOG, "seq", {"_place": F.when(fresh, 1).otherwise(0)}, least={"_least": F.when(fresh, F.col("seq"))})
     if start == "first_seen":
-        least = known.where(fresh).groupBy(*LOG).agg(F.min("seq").alias("_least"))
-        placed = placed.join(least, LOG, "left")
         base = F.when(F.col("last") == 0, F.col("_least") - 1).otherwise(F.col("last"))
     else:
         base = F.col("last")

@@ -26,6 +26,11 @@ def classify(snapshots: DataFrame) -> DataFrame:
     return df.withColumn("status", status(F.col("exists"), F.col("inode"), F.col("size"), F.col("known_inode"), F.col("total_read")))
 
 
+def stamped(polls: DataFrame, at: Column | None = None) -> DataFrame:
+    """Polls with the time at which they were made, in milliseconds (`at`; else now)."""
+    return polls.withColumn("ts_ms", F.unix_millis(F.current_timestamp() if at is None else at))
+
+
 def polls_with_data(polls: DataFrame) -> DataFrame:
     return polls.where(F.col("nread") > 0)
 

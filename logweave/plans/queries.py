@@ -92,10 +92,14 @@ def tracker_next(spark, sf_dir):
     return rebuild(orders(spark, sf_dir), *ARRIVAL).tracker
 
 
-@query("WITH t AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'x' || event_id WHEN event_id % 7 = 0 THEN event_id || '.0' ELSE event_id::VARCHAR END AS line FROM events) SELECT event_id, line::BIGINT AS last_seq FROM t WHERE regexp_full_match(line, '[+-]?\\d+')")
+@query(f"WITH {CONV} SELECT id, session, max(seq) AS last_seq FROM conv GROUP BY ALL")
 def tracker_load(spark, sf_dir):
-    line = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("x"), "event_id")).when(F.col("event_id") % 7 == 0, F.concat("event_id", F.lit(".0"))).otherwise(F.col("event_id").cast("string"))
-    return table(spark, sf_dir, "events").select("event_id", line.try_cast("bigint").alias("last_seq")).where("last_seq is not null")
+    """Tracker files of all logs, written and read back."""
+    from logweave.sources.files import write_tracker_files
+
+    folder = f"{shared_folder(spark)}/tracker"
+    write_tracker_files(rebuild(conversations(spark, sf_dir)).tracker, folder)
+    return chunk_files.load_tracker(spark, folder)
 
 
 @query(f"WITH {EVT} SELECT id, session, event_id, seq FROM evt")
@@ -291,16 +295,22 @@ def logcheck(spark, sf_dir):
     return assemble.check_counter(assemble.lines(assemble.bodies(marked)))
 
 
-@query("SELECT event_id, '<' || strftime(ts, '%A %B %d, %Y %H:%M:%S.%f') || '> Hello, World! ' || event_id AS line FROM events")
+@query("SELECT n, '<' || strftime(TIMESTAMP '2024-01-01' + to_milliseconds(8 * n), '%A %B %d, %Y %H:%M:%S.%f') || '> Hello, World! ' || n AS line FROM (SELECT unnest(range(1, count(*) + 1)) AS n FROM events)")
 def loggen_lines(spark, sf_dir):
-    day = F.date_format("ts", "EEEE MMMM dd, yyyy HH:mm:ss.SSSSSS")
-    return table(spark, sf_dir, "events").select("event_id", F.format_string("<%s> Hello, World! %d", day, "event_id").alias("line"))
+    return chunk_files.generated_lines(spark, table(spark, sf_dir, "events").count())
 
 
-@query("SELECT p_partkey, generate_subscripts(string_split(p_name || ',' || p_brand, ','), 1) - 1 AS n, trim(unnest(string_split(p_name || ',' || p_brand, ','))) AS path FROM part")
+@query("SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS n, r_name AS path FROM region")
 def config_split_paths(spark, sf_dir):
-    df = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split(F.concat_ws(",", "p_name", "p_brand"), ",")).alias("n", "path"))
-    return df.select("p_partkey", F.col("n").cast("bigint").alias("n"), F.trim("path").alias("path"))
+    """The regions' names, of which there are five, as a setting."""
+    names = [r.r_name for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect()]
+    return spark.createDataFrame(list(enumerate(chunk_files.split_paths(" , ".join(names) + ","))), "n bigint, path string")
+
+
+@query("SELECT event_id, '/logs/' || user_id || '/' || event_type AS path FROM events")
+def path_normal(spark, sf_dir):
+    step = F.when(F.col("event_id") % 2 == 0, "/./x/..//").otherwise("/a/../")
+    return table(spark, sf_dir, "events").select("event_id", naming.normal_path(F.concat(F.lit("/../logs/./"), "user_id", step, "event_type", F.lit("/"))).alias("path"))
 
 
 # -- tailing ---------------------------------------------------------------------------------------------------------
@@ -326,6 +336,23 @@ def tail_poll_chunks(spark, sf_dir):
     return tail.polls_with_data(polls)
 
 
+@query("SELECT event_id, epoch_us(ts) // 1000 AS ts_ms FROM events")
+def poll_timestamp(spark, sf_dir):
+    return tail.stamped(table(spark, sf_dir, "events").select("event_id", "ts"), F.col("ts").cast("timestamp")).select("event_id", "ts_ms")
+
+
+@query(f"WITH {LIST} SELECT count(*) AS in_flight FROM listing WHERE event_id % 5 < 2 OR event_id % 3 = 0")
+def in_flight(spark, sf_dir):
+    files = _listing(spark, sf_dir)
+    return pump.in_flight(files.where("event_id % 5 < 2"), files.where("event_id % 3 = 0"))
+
+
+@query(f"WITH {LIST} SELECT path FROM listing WHERE event_id % 4 = 0 AND event_id % 3 > 0")
+def push_present(spark, sf_dir):
+    files = _listing(spark, sf_dir)
+    return pump.present(files.where("event_id % 4 = 0"), files.where("event_id % 3 > 0")).select("path")
+
+
 @query("SELECT user_id, count(*) AS polls, NOT bool_or(event_id % 5 - 1 > 0) AS idle FROM events GROUP BY user_id")
 def poll_idle(spark, sf_dir):
     polls = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 5 - 1).alias("nread"))
@@ -372,6 +399,8 @@ def _streamed(spark, sf_dir) -> DataFrame:
     run_available(spark, stream(), f"{base}/out", f"{base}/state")
     rows.where("seq % 2 = 1 or seq = 2").write.mode("append").parquet(f"{base}/in")
     run_available(spark, stream(), f"{base}/out", f"{base}/state")
+    rows.where("seq = 1").write.mode("append").parquet(f"{base}/in")
+    run_available(spark, stream(), f"{base}/out", f"{base}/state")
     out = spark.read.parquet(f"{base}/out")
     shutil.rmtree(f"{base}/state", ignore_errors=True)
     return out
@@ -379,12 +408,12 @@ def _streamed(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {CONV} SELECT id || '.' || session AS name, md5(string_agg(payload, '' ORDER BY seq)) AS body_md5, count(*) AS chunks FROM conv GROUP BY id, session")
 def stream_reassemble(spark, sf_dir):
-    """Even chunks first, then the odd ones and chunk 2 again, in two runs of one checkpointed stream."""
+    """Even chunks first, then the odd ones and chunk 2 again, then chunk 1 again, in three runs of one checkpointed stream."""
     taken = _streamed(spark, sf_dir).where("decision = 'append'").select("id", "session", "seq", "payload")
     return assemble.bodies(taken).select("name", F.md5("body").alias("body_md5"), "chunks")
 
 
-@query(f"WITH {CONV} SELECT id, session, seq FROM conv WHERE seq = -1")
+@query(f"WITH {CONV} SELECT id, session, seq FROM conv WHERE seq = 1")
 def stream_stale(spark, sf_dir):
-    """Chunk 2 came again while it waited for chunk 1: it replaced the waiting copy, so nothing is stale."""
+    """Chunk 2 came again while it waited for chunk 1 and replaced the waiting copy; chunk 1 came again after it was appended."""
     return _streamed(spark, sf_dir).where("decision = 'stale'").select("id", "session", "seq")

@@ -19,7 +19,10 @@ OUTPUT = T.StructType([*CHUNK.fields, T.StructField("decision", T.StringType())]
 
 
 class Sequencer(StatefulProcessor):
-    """Appends 1, 2, 3, ...; arrival order doesn't matter. start="first_seen" begins at the least number of the first batch."""
+    """Appends 1, 2, 3, ...; arrival order doesn't matter. start="first_seen" begins at the least number of the first batch.
+
+    As in batches, a chunk 0 that comes before all others are appended is taken, once, and the session goes on as if at its start.
+    """
 
     def __init__(self, start: str = "one"):
         self.start = start
@@ -31,16 +34,22 @@ class Sequencer(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         known = self.last.exists()
-        last, out = (self.last.get()[0] if known else 0), []
+        last, out, zero = (self.last.get()[0] if known else 0), [], None
         fresh: dict[int, bytes] = {}
         for pdf in rows:
             for seq, payload in zip(pdf["seq"], pdf["payload"], strict=True):
                 seq, payload = int(seq), b"" if payload is None else bytes(payload)
-                if seq <= last:
+                if not seq and not known and not last:
+                    known, zero = True, payload
+                elif not seq and zero is not None:
+                    zero = payload  # a redelivery in the same batch: the last one counts
+                elif seq <= last:
                     out.append((seq, payload, "stale"))
                 else:
                     fresh[seq] = payload
-        if not known and fresh and self.start == "first_seen":
+        if zero is not None:
+            out.append((0, zero, "append"))
+        if not last and fresh and self.start == "first_seen":
             last = min(fresh) - 1
         while True:
             if last + 1 in fresh:
@@ -66,11 +75,18 @@ class Sequencer(StatefulProcessor):
         pass
 
 
-def chunk_file_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """New chunk files as decoded chunks; malformed bodies and names are left out (batch reads report them)."""
+def chunk_file_stream(spark: SparkSession, path: str, files_per_batch: int | None = None, consumed: str = "off", archive: str | None = None) -> DataFrame:
+    """New chunk files as decoded chunks; malformed bodies and names are left out (batch reads report them).
+
+    consumed: what becomes of files whose batch is committed: off, delete or archive (into the folder `archive`).
+    """
     stream = spark.readStream.format("binaryFile").schema(CHUNK_FILE).option("pathGlobFilter", "*.pbData")
     if files_per_batch:
         stream = stream.option("maxFilesPerTrigger", files_per_batch)
+    if consumed != "off":
+        stream = stream.option("cleanSource", consumed)
+    if archive:
+        stream = stream.option("sourceArchiveDir", archive)
     rows = stream.load(path).select(parse_chunk_name(base_name(F.col("path"))).alias("k"), decode_chunk("content").alias("b"))
     return rows.where("k is not null and b.error is null").select("k.*", "b.payload")
 
@@ -85,3 +101,13 @@ def run_available(spark: SparkSession, stream: DataFrame, out: str, checkpoint:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def process_available(spark: SparkSession, stream: DataFrame, process, checkpoint: str) -> None:
+    """The same with a sink of the caller's: process(batch, batch_id), whose normal return means that the batch is kept.
+
+    A batch may come again after a failure, under the same batch_id.
+    """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    query = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
