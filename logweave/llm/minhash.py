@@ -63,23 +63,34 @@ class Shingler:
     """Weighted shingles of a text: sorted 64-bit names and weights."""
 
     def __init__(self, factor: np.ndarray):
-        self.factor, self.known = factor, {}
-
-    def _word(self, w: str) -> tuple[int, float]:
-        if len(self.known) > MOST_WORDS:
-            self.known.clear()
-        h = word_hash(w)
-        out = self.known[w] = (h, float(self.factor[h % DF_BUCKETS]))
-        return out
+        self.factor = factor
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known words have numbers, by which their hashes and factors are taken."""
+        self.known: dict[str, int] = {}
+        self.hashes, self.factors = np.zeros(1024, _U), np.zeros(1024)
+
+    def _learn(self, new: set[str]) -> None:
+        if len(self.known) + len(new) > len(self.hashes):
+            n = 2 * (len(self.known) + len(new))
+            self.hashes, self.factors = np.resize(self.hashes, n), np.resize(self.factors, n)
+        for w in new:
+            at, h = len(self.known), word_hash(w)
+            self.known[w], self.hashes[at], self.factors[at] = at, h, self.factor[h % DF_BUCKETS]
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         ws = terms(text)
         if not ws:
             return np.zeros(0, _U), np.zeros(0)
-        get, make = self.known.get, self._word
-        found = [get(w) or make(w) for w in ws]
-        h = np.array([a for a, _ in found], _U)
-        f = np.array([b for _, b in found])
+        if len(self.known) > MOST_WORDS:
+            self._forget()
+        found = list(map(self.known.get, ws))
+        if None in found:
+            self._learn({w for w, at in zip(ws, found, strict=True) if at is None})
+            found = list(map(self.known.get, ws))
+        at = np.array(found)
+        h, f = self.hashes[at], self.factors[at]
         k = min(SHINGLE, len(ws))  # a shorter text is one shingle
         n = len(ws) - k + 1
         name, weight = np.zeros(n, _U), np.zeros(n)
@@ -93,7 +104,7 @@ class Shingler:
 #: Two odd numbers a draw.
 _SEEDS = (_mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(32)).astype(np.uint32).reshape(2, -1, 1) | np.uint32(1)
 #: Shingles to a block of the sampling, which works in a core's cache.
-_SLICE = 160
+_SLICE = 512
 
 
 def _gamma_table(n: int) -> np.ndarray:
