@@ -61,13 +61,17 @@ class Bits:
         return value
 
 
+#: 16 bits the other way round.
+_BACKWARDS = np.packbits(np.unpackbits(np.arange(1 << 16, dtype=">u2").view(np.uint8).reshape(-1, 2), axis=1)[:, ::-1], axis=1).view(">u2").reshape(-1).tolist()
+
+
 def turned_codes(sizes: list[int]) -> list[int]:
     """Canonical codes of rising sizes, their first bit lowest."""
     out, code, before = [], 0, 0
     for n in sizes:
         code <<= n - before
         before = n
-        out.append(int(f"{code:0{n}b}"[::-1], 2))
+        out.append(_BACKWARDS[code] >> 16 - n)
         code += 1
     return out
 
@@ -84,13 +88,7 @@ class Prefix:
             raise ValueError("a prefix code without symbols")
         if self.single is None and sum(1 << 15 - n for n, _ in used) != 1 << 15:
             raise ValueError("a prefix code that isn't complete")
-        self._used, self._table, self.most = used, None, max(same)
-
-    @property
-    def table(self) -> list[tuple[int, int]]:
-        if self._table is None:
-            self._table = [(x >> 4, x & 15) for x in self.array.tolist()]
-        return self._table
+        self._used, self.most = used, max(same)
 
     @cached_property
     def array(self) -> np.ndarray:
@@ -103,11 +101,17 @@ class Prefix:
             out[code :: 1 << n] = s << 4 | n
         return out
 
+    @cached_property
+    def table(self) -> list[tuple[int, int]]:
+        return [(x >> 4, x & 15) for x in self.array.tolist()]
+
     def read(self, bits: Bits) -> int:
         if self.single is not None:
             return self.single
         symbol, n = self.table[bits.peek(self.most)]
-        bits.read(n)
+        bits.at += n
+        if bits.at > 8 * len(bits.data):
+            raise ValueError("the stream ends early")
         return symbol
 
 
@@ -241,7 +245,7 @@ def _vector(bits: Bits, width: int, total: int, codes: list[Prefix]) -> np.ndarr
 
     def look(code, where):
         """symbol * 16 + length at each place."""
-        return code.array.take(fetch(where) & (1 << code.most) - 1) if code.single is None else code.array[0]
+        return code.array.take(fetch(where) & (1 << code.most) - 1, mode="clip") if code.single is None else code.array[0]
 
     while done < total:
         if at >= ends:
@@ -251,7 +255,7 @@ def _vector(bits: Bits, width: int, total: int, codes: list[Prefix]) -> np.ndarr
         if green.single is None:
             # Each byte with its seven shifts: places one after another need no gather.
             near = (words[begin >> 3 : len(here) + 7 + begin >> 3, None] >> np.arange(8, dtype=np.uint64)).reshape(-1)[: len(here)]
-            first = green.array.take(near.view(np.int64) & (1 << green.most) - 1)
+            first = green.array.take(near.view(np.int64) & (1 << green.most) - 1, mode="clip")
         else:
             first = np.full(len(here), green.array[0])
         after = here + (first & 15)
@@ -275,7 +279,7 @@ def _vector(bits: Bits, width: int, total: int, codes: list[Prefix]) -> np.ndarr
         stop = len(here)
         steps = [np.concatenate((after - begin, np.arange(stop, stop + 128)))]
         for _ in range(4):
-            steps.append(steps[-1][steps[-1]])
+            steps.append(steps[-1].take(steps[-1], mode="clip"))
         far_on, now, found = steps.pop(), at - begin, []
         while now < stop:
             found.append(now)
@@ -583,10 +587,10 @@ def write_prefix(w: Writer, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]
     for s in LENGTH_ORDER[:n]:
         w.put(small[s], 3)
     w.put(0, 1)
-    codes, sizes = table_of(small)
+    codes, sizes = (x.tolist() for x in table_of(small))
     for s, extra, more in said:
-        w.put(int(codes[s]), int(sizes[s]))
-        w.put(extra, more)
+        w.values += (codes[s], extra)
+        w.sizes += (sizes[s], more)
     return table_of(lengths)
 
 
@@ -726,7 +730,13 @@ def _four(p: np.ndarray) -> tuple[float, tuple, list[np.ndarray]]:
 
 def _few(p: np.ndarray) -> bool:
     """Whether an image of four bytes to a pixel has few colours, or few steps from pixel to pixel; others aren't tried."""
-    return 3 * min(len(set(p.tolist())), len(set(np.diff(p).tolist()))) < len(p)
+
+    def few(x):
+        # By hashes first, of which there are no more than values.
+        some = np.count_nonzero(np.bincount(x * np.uint32(0x9E3779B1) >> np.uint32(20)))
+        return 3 * some < len(p) and 3 * len(set(x.tolist())) < len(p)
+
+    return few(p) or few(np.diff(p))
 
 
 def _write_image(part: np.ndarray) -> bytes:
