@@ -17,6 +17,7 @@ text, nor those whose bit in a bitmap of shingle hashes is not set for the other
 import math
 import re
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -71,13 +72,13 @@ class Shingler:
         self.known: dict[str, int] = {}
         self.hashes, self.factors = np.zeros(1024, _U), np.zeros(1024)
 
-    def _learn(self, new: set[str]) -> None:
-        if len(self.known) + len(new) > len(self.hashes):
-            n = 2 * (len(self.known) + len(new))
-            self.hashes, self.factors = np.resize(self.hashes, n), np.resize(self.factors, n)
-        for w in new:
-            at, h = len(self.known), word_hash(w)
-            self.known[w], self.hashes[at], self.factors[at] = at, h, self.factor[h % DF_BUCKETS]
+    def _learn(self, new: list[str]) -> None:
+        at, n = len(self.known), len(self.known) + len(new)
+        if n > len(self.hashes):
+            self.hashes, self.factors = np.resize(self.hashes, 2 * n), np.resize(self.factors, 2 * n)
+        self.known.update(zip(new, range(at, n), strict=True))
+        self.hashes[at:n] = list(map(word_hash, new))
+        self.factors[at:n] = self.factor[self.hashes[at:n] % _U(DF_BUCKETS)]
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         ws = terms(text)
@@ -85,11 +86,12 @@ class Shingler:
             return np.zeros(0, _U), np.zeros(0)
         if len(self.known) > MOST_WORDS:
             self._forget()
-        found = list(map(self.known.get, ws))
-        if None in found:
-            self._learn({w for w, at in zip(ws, found, strict=True) if at is None})
-            found = list(map(self.known.get, ws))
-        at = np.array(found)
+        at = np.fromiter(map(self.known.get, ws, repeat(-1)), np.int64, len(ws))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [ws[i] for i in missing.tolist()]
+            self._learn(list(dict.fromkeys(new)))
+            at[missing] = list(map(self.known.__getitem__, new))
         h, f = self.hashes[at], self.factors[at]
         k = min(SHINGLE, len(ws))  # a shorter text is one shingle
         n = len(ws) - k + 1
@@ -97,77 +99,88 @@ class Shingler:
         for i in range(k):
             name = _mix(name + h[i : i + n] + _U(i + 1))
             weight += f[i : i + n]
-        names, first, count = np.unique(name, return_index=True, return_counts=True)
-        return names, count * (1 + weight[first] / k)
+        order = np.argsort(name)  # equal names have equal weights, so their order doesn't matter
+        names, weights = name[order], 1 + weight[order] / k
+        first = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+        if len(first) == n:
+            return names, weights
+        return names[first], np.diff(first, append=n) * weights[first]
 
 
-#: Two odd numbers a draw.
-_SEEDS = (_mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(32)).astype(np.uint32).reshape(2, -1, 1) | np.uint32(1)
-#: Shingles to a block of the sampling, which works in a core's cache.
-_SLICE = 512
+#: The weight of a whole piece, and how many times the mean of a draw's least quantity is looked at first.
+_PIECE, _MARGIN = 1 + DAMP, 7
 
 
-def _gamma_table(n: int) -> np.ndarray:
-    """Quantiles of the Gamma(2, 1) distribution, by bisection of its distribution function."""
-    p = (np.arange(n) + 0.5) / n
-    low, high = np.zeros(n), np.full(n, 40.0)
-    for _ in range(60):
-        mid = (low + high) / 2
-        less = 1 - np.exp(-mid) * (1 + mid) < p
-        low, high = np.where(less, mid, low), np.where(less, high, mid)
-    return (low + high) / 2
-
-
-_R = _gamma_table(1 << 11).astype(np.float32)
-_PER_R = (1 / _gamma_table(1 << 11)).astype(np.float32)
-_LOG_C = np.log(_gamma_table(1 << 16)).astype(np.float32)
+def _exponential(bits: np.ndarray) -> np.ndarray:
+    """Of the exponential distribution, by the upper 44 bits."""
+    return -np.log(((bits >> _U(20)) + 0.5) * 2.0**-44)
 
 
 def samples(names: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The drawn (shingle, level) of each of BANDS * ROWS draws, as 64-bit names.
 
-    A draw has for each shingle r and c of Gamma(2, 1) and beta of (0, 1), taken from tables by bits of its hash. The level is
-    t = floor(log(weight) / r + beta), and the least log(c) - r * (t - beta + 1) is drawn; ties go to the lower name.
+    Improved consistent weighted sampling: for each shingle and draw there are levels y < z = y * exp(r) about the weight, log(z / weight) and
+    log(weight / y) of the exponential distribution (so r is of Gamma(2, 1)), and c of Gamma(2, 1); the least a = c / z is drawn.
+    a is of the exponential distribution of rate weight, and falls as the weight rises.
+
+    So a shingle's weight is dealt into pieces of _PIECE and a rest, each sampled as a shingle of its own (the sum of minima stays), and of
+    a piece its a for the weight _PIECE are made first, as first arrivals of all draws in one Poisson process, no further than a limit
+    that a draw's least a hardly passes. Given a, c and z have the law of z = _PIECE + e / a, e exponential, c = a * z. Each is then carried
+    to the piece's weight along its levels, where a can only be larger. If a draw's least does pass the limit, the limit is raised.
     """
+    n, limit = BANDS * ROWS, _MARGIN / weights.sum()
+    if weights.max() > _PIECE:
+        pieces = np.maximum(1, np.ceil(weights / _PIECE)).astype(np.int64)
+        at = np.repeat(np.arange(len(names)), pieces)
+        k = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        names, weights = np.where(k, _mix(names[at] + k.astype(_U) * _U(0xA0761D6478BD642F)), names[at]), np.minimum(weights[at] - k * _PIECE, _PIECE)
+    seeds = _mix(names ^ _U(0xE7037ED1A0B428DB))
+    first = _exponential(seeds) / (n * _PIECE)
+    while True:
+        piece = np.flatnonzero(first <= limit)
+        least = _arrived(names, weights, seeds, first, piece, limit) if len(piece) else None
+        if least is not None:
+            return least
+        limit *= 2
+
+
+def _arrived(names: np.ndarray, weights: np.ndarray, seeds: np.ndarray, first: np.ndarray, piece: np.ndarray, limit: float) -> np.ndarray | None:
+    """What is drawn, if each draw has an a within the limit."""
     n = BANDS * ROWS
-    out, best = np.zeros(n, _U), np.full(n, np.inf, np.float32)
-    logs = np.log(weights).astype(np.float32)
-    short = _mix(names)
-    one, two = (short >> _U(32)).astype(np.uint32), short.astype(np.uint32)
-    draws = np.arange(n)
-    for at in range(0, len(names), _SLICE):
-        part = slice(at, at + _SLICE)
-        x = one[part] * _SEEDS[0]
-        y = x >> np.uint32(15)
-        x ^= y
-        x += two[part]
-        x *= _SEEDS[1]
-        np.right_shift(x, np.uint32(13), y)
-        x ^= y
-        x *= np.uint32(0x85EBCA6B)
-        np.right_shift(x, np.uint32(16), y)
-        x ^= y
-        k = (x & np.uint32(2047)).astype(np.int64)
-        np.right_shift(x, np.uint32(11), y)
-        y &= np.uint32(31)
-        value = y.astype(np.float32)
-        value *= np.float32(1 / 32)
-        t = _PER_R.take(k, mode="clip")
-        t *= logs[part]
-        t += value
-        np.floor(t, t)
-        value -= t
-        value -= np.float32(1)
-        value *= _R.take(k, mode="clip")
-        k[...] = x >> np.uint32(16)
-        value += _LOG_C.take(k, mode="clip")
-        least = value.argmin(1)
-        value = value[draws, least]
-        better = value < best
-        drawn = _mix(names[part][least] + t[draws, least].astype(np.int64).astype(_U) * _U(0xD6E8FEB86659FD93))
-        out[better] = drawn[better]
-        best[better] = value[better]
-    return out
+    mean = limit * n * _PIECE
+    many = int(mean + 4 * math.sqrt(mean) + 4)
+    while True:
+        bits = _mix(seeds[piece, None] + np.arange(1, many + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
+        when = _exponential(bits) / (n * _PIECE)
+        when[:, 0] = first[piece]
+        np.cumsum(when, 1, out=when)
+        if when[:, -1].min() > limit:
+            break
+        many *= 2
+    row, col = np.divmod(np.flatnonzero(when <= limit), many)
+    # By draw, piece and time; of a piece and draw only the first arrival counts.
+    order = np.sort((bits[row, col] & _U(0xFFFFF)).astype(np.int64) * n >> 20 << 52 | row << 26 | col)
+    group = order >> 26
+    order = order[np.concatenate(([True], group[1:] != group[:-1]))]
+    draw, row, col = order >> 52, order >> 26 & 0x3FFFFFF, order & 0x3FFFFFF
+    at = piece[row]
+    more = _mix(seeds[at] ^ (draw + 1).astype(_U) * _U(0x8EBC6AF09C88C6E3))
+    a = when[row, col]
+    log_z = np.log(_PIECE + _exponential(_mix(more)) / a)
+    log_y = math.log(_PIECE) - _exponential(more)
+    r = log_z - log_y
+    level = np.floor((np.log(weights[at]) - log_y) / r)
+    a = a * np.exp(log_z - log_y - (level + 1) * r)
+    begins = np.flatnonzero(np.concatenate(([True], draw[1:] != draw[:-1])))
+    if len(begins) < n:
+        return None
+    least = np.minimum.reduceat(a, begins)
+    if least.max() > limit:
+        return None
+    is_least = np.flatnonzero(a == np.repeat(least, np.diff(begins, append=len(draw))))
+    own = draw[is_least]
+    is_least = is_least[np.concatenate(([True], own[1:] != own[:-1]))]
+    return _mix(names[at[is_least]] + level[is_least].astype(np.int64).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
 def bitmap(names: np.ndarray) -> list[int]:

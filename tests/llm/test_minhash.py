@@ -78,3 +78,29 @@ def test_edges(spark):
     assert sorted((r.doc_id or -1, r.class_id) for r in m.classes(df).collect()) == [(-1, 4), (4, 4), (4, 4), (5, 5), (6, 5), (7, 7), (8, 7)]
     assert sorted(r.doc_id for r in m.keep_first(df).collect()) == [4, 5, 7]
     assert m.keep_first(df).columns == df.columns
+
+
+def test_draws_are_alike_with_the_weighted_jaccard_similarity():
+    """Single and repeated shingles, equal and unlike weights, few and many of them."""
+    rng = np.random.default_rng(7)
+    for most, n in [(1, 200), (1, 12), (3, 200), (3, 4), (1, 2000)]:
+        off = []
+        for _ in range(150):
+            names = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            a, b = (rng.integers(1, most + 1, n) * (1 + m.DAMP * rng.random(n)) for _ in range(2))
+            b = np.where(rng.random(n) < 0.5, a, b)
+            x, y = rng.random((2, n)) < 0.9
+            x[0] = y[0] = True
+            one, two = (names[x], a[x]), (names[y], b[y])
+            off.append((m.samples(*one) == m.samples(*two)).mean() - m.jaccard(one, two))
+        assert abs(np.mean(off)) < 3.7 * np.std(off) / len(off) ** 0.5
+
+
+def test_sampling_does_not_look_at_each_draw_of_each_shingle(monkeypatch):
+    made, plain = [], m._exponential
+    monkeypatch.setattr(m, "_exponential", lambda x: made.append(x.size) or plain(x))
+    rng = np.random.default_rng(8)
+    for n in (300, 5000):
+        made.clear()
+        m.samples(np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)), 1 + m.DAMP * rng.random(n))
+        assert m.BANDS * m.ROWS < sum(made) < 0.5 * n * m.BANDS * m.ROWS
