@@ -10,7 +10,6 @@ predictor, cross-colour or subtract-green transform, whichever it expects to be
 back-references, and the colour cache for images of few colours. Payloads beyond one image's height become several images, one after another.
 """
 
-import heapq
 import struct
 import zlib
 from functools import cached_property, lru_cache
@@ -103,7 +102,13 @@ class Prefix:
 
     @cached_property
     def table(self) -> list[tuple[int, int]]:
-        return [(x >> 4, x & 15) for x in self.array.tolist()]
+        if self.single is not None:
+            return [(self.single, 0)]
+        out = [(0, 0)] * (1 << self.most)
+        used = sorted(self._used)
+        for (n, s), code in zip(used, turned_codes([n for n, _ in used]), strict=True):
+            out[code :: 1 << n] = [(s, n)] * (1 << self.most - n)
+        return out
 
     def read(self, bits: Bits) -> int:
         if self.single is not None:
@@ -132,26 +137,38 @@ def read_prefix(bits: Bits, alphabet: int) -> Prefix:
             return alone(first, alphabet)
         lengths[first] = lengths[bits.read(8)] = 1
         return Prefix(lengths)
-    code = [0] * 19
-    for i in range(4 + bits.read(4)):
-        code[LENGTH_ORDER[i]] = bits.read(3)
+    # From here on by plain numbers; bits beyond the end are 0 until the end is checked.
+    data, place, code = bits.data, bits.at, [0] * 19
+    x = int.from_bytes(data[place >> 3 : (place >> 3) + 9], "little") >> (place & 7)
+    n = 4 + (x & 15)
+    for i in range(n):
+        code[LENGTH_ORDER[i]] = x >> 4 + 3 * i & 7
+    bits.at = place + 4 + 3 * n
     code, left = Prefix(code), alphabet
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
+    place, table, mask = bits.at, code.table, (1 << code.most) - 1 if code.single is None else 0
     at, before = 0, 8
     while at < alphabet and left:
         left -= 1
-        s = code.read(bits)
+        x = int.from_bytes(data[place >> 3 : (place >> 3) + 4], "little") >> (place & 7)
+        s, n = table[x & mask]
+        place += n
         if s < 16:
             lengths[at] = s
             at += 1
             before = s or before
             continue
-        value, n = (before, 3 + bits.read(2)) if s == 16 else (0, 3 + bits.read(3)) if s == 17 else (0, 11 + bits.read(7))
+        x >>= n
+        value, n, more = (before, 3 + (x & 3), 2) if s == 16 else (0, 3 + (x & 7), 3) if s == 17 else (0, 11 + (x & 127), 7)
+        place += more
         if at + n > alphabet:
             raise ValueError("too many code lengths")
         lengths[at : at + n] = [value] * n
         at += n
+    bits.at = place
+    if place > 8 * len(data):
+        raise ValueError("the stream ends early")
     return Prefix(lengths)
 
 
@@ -182,6 +199,20 @@ def read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.nd
         return _vector(bits, width, total, codes[0])
     out, at = [], 0
     green, red, blue, alpha, far = codes[0]
+    if groups is None and not cache and green.single is None and all(c.single is not None for c in (red, blue, alpha)):
+        # Single pixels of one coded channel, up to the first back-reference.
+        rest = alpha.single << 24 | red.single << 16 | blue.single
+        data, place, table, mask = bits.data, bits.at, green.table, (1 << green.most) - 1
+        while at < total:
+            s, n = table[int.from_bytes(data[place >> 3 : (place >> 3) + 3], "little") >> (place & 7) & mask]
+            if s >= 256:
+                break
+            place += n
+            out.append(rest | s << 8)
+            at += 1
+        bits.at = place
+        if place > 8 * len(data):
+            raise ValueError("the stream ends early")
     while at < total:
         if groups is not None:
             y, x = divmod(at, width)
@@ -219,6 +250,7 @@ def read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.nd
 
 #: Bits of a stretch that is looked up at once.
 _STRETCH = 1 << 15
+_PLACES, _SHIFTS = np.arange(_STRETCH + 256), np.arange(8, dtype=np.uint64)
 # Fixed values of the format: for each prefix symbol of lengths and distances, its extra bits and its least value.
 _MORE = np.array([0, 0, 0, 0, *(k - 2 >> 1 for k in range(4, 40))])
 _LEAST = np.array([1, 2, 3, 4, *((2 + (k & 1) << (k - 2 >> 1)) + 1 for k in range(4, 40))])
@@ -251,13 +283,14 @@ def _vector(bits: Bits, width: int, total: int, codes: list[Prefix]) -> np.ndarr
         if at >= ends:
             raise ValueError("the stream ends early")
         begin = at & ~7
-        here = np.arange(begin, min(begin + 64 + min(_STRETCH, (total - done) * per), ends))
+        stop = min(64 + min(_STRETCH, (total - done) * per), ends - begin)
+        here = _PLACES[:stop] + begin
         if green.single is None:
             # Each byte with its seven shifts: places one after another need no gather.
-            near = (words[begin >> 3 : len(here) + 7 + begin >> 3, None] >> np.arange(8, dtype=np.uint64)).reshape(-1)[: len(here)]
+            near = (words[begin >> 3 : stop + 7 + begin >> 3, None] >> _SHIFTS).reshape(-1)[:stop]
             first = green.array.take(near.view(np.int64) & (1 << green.most) - 1, mode="clip")
         else:
-            first = np.full(len(here), green.array[0])
+            first = np.full(stop, green.array[0])
         after = here + (first & 15)
         refs = np.flatnonzero(first >= 256 << 4)
         value = None
@@ -276,8 +309,7 @@ def _vector(bits: Bits, width: int, total: int, codes: list[Prefix]) -> np.ndarr
             back = np.where(d > 120, d - 120, np.maximum(1, (near >> 4) * width + 8 - (near & 15)))
             after[refs] = where + _MORE[k]
         # The chain: from every 16th pixel on by doubled steps. Places behind the stretch stay where they are.
-        stop = len(here)
-        steps = [np.concatenate((after - begin, np.arange(stop, stop + 128)))]
+        steps = [np.concatenate((after - begin, _PLACES[stop : stop + 128]))]
         for _ in range(4):
             steps.append(steps[-1].take(steps[-1], mode="clip"))
         far_on, now, found = steps.pop(), at - begin, []
@@ -286,7 +318,9 @@ def _vector(bits: Bits, width: int, total: int, codes: list[Prefix]) -> np.ndarr
             now = far_on.item(now)
         found = np.array(found)
         for f in reversed(steps):
-            found = np.stack((found, f[found]), 1).reshape(-1)
+            both = np.empty(2 * len(found), np.int64)
+            both[::2], both[1::2] = found, f.take(found, mode="clip")
+            found = both
         at, found = begin + now, found[found < stop]
         said = first[found] >> 4
         kind = said >= 256
@@ -499,7 +533,7 @@ _FACTORS = (8, 16, 24, 40, 48)
 
 
 class Writer:
-    """Values and their numbers of bits, the lowest bit first."""
+    """Values of at most 32 bits and their numbers of bits, the lowest bit first; a value of no bits is 0."""
 
     def __init__(self):
         self.values, self.sizes, self.parts = [], [], []
@@ -517,30 +551,47 @@ class Writer:
         values, sizes = map(np.concatenate, zip(*self.parts, strict=True))
         ends = np.cumsum(sizes)
         place = ends - sizes
-        # Each value lies in one or two 32-bit words; sums of what doesn't overlap are exact in doubles.
-        word, values = place >> 5, np.where(sizes > 0, values, 0) << (place & 31)
-        n = int(ends[-1] >> 5) + 2
-        whole = np.bincount(word, values & 0xFFFFFFFF, n) + np.bincount(word + 1, values >> 32, n)
+        # What begins in one 32-bit word reaches into the next one at most.
+        word, values = place >> 5, values << (place & 31)
+        begins = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        sums = np.add.reduceat(values.view(np.uint64), begins)
+        word, whole = word[begins], np.zeros(int(ends[-1] >> 5) + 2, np.uint64)
+        whole[word] = sums & np.uint64(0xFFFFFFFF)
+        whole[word + 1] |= sums >> np.uint64(32)
         return whole.astype("<u4").tobytes()[: int(ends[-1] + 7 >> 3)]
 
 
 def fitted(counts: list[int], most: int) -> list[int]:
     """Code lengths of at most `most` bits, by joining the rarest; a single symbol has length 1."""
+    used = sorted((c, i) for i, c in enumerate(counts) if c)
+    out, n = [0] * len(counts), len(used)
+    if n < 2:
+        for _, i in used:
+            out[i] = 1
+        return out
+    weights = [c for c, _ in used]
     while True:
-        out = [0] * len(counts)
-        heap = [(c, i, (i,)) for i, c in enumerate(counts) if c]
-        if len(heap) == 1:
-            out[heap[0][1]] = 1
-            return out
-        heapq.heapify(heap)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for i in a[2] + b[2]:
-                out[i] += 1
-            heapq.heappush(heap, (a[0] + b[0], a[1], a[2] + b[2]))
-        if max(out) <= most:
+        # Symbols and joined ones are two rising queues, one behind the other in `all_`.
+        all_, above, leaf, joined = weights.copy(), [0] * (2 * n - 1), 0, n
+        for k in range(n, 2 * n - 1):
+            if leaf < n and (joined >= k or all_[leaf] <= all_[joined]):
+                a, leaf = leaf, leaf + 1
+            else:
+                a, joined = joined, joined + 1
+            if leaf < n and (joined >= k or all_[leaf] <= all_[joined]):
+                b, leaf = leaf, leaf + 1
+            else:
+                b, joined = joined, joined + 1
+            above[a] = above[b] = k
+            all_.append(all_[a] + all_[b])
+        above[-1] = 0
+        for k in range(2 * n - 3, -1, -1):  # from a place above to a depth
+            above[k] = above[above[k]] + 1
+        if above[0] <= most:
+            for (_, i), depth in zip(used, above, strict=False):
+                out[i] = depth
             return out
-        counts = [c + 1 >> 1 for c in counts]
+        weights = [c + 1 >> 1 for c in weights]
 
 
 def table_of(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -548,8 +599,8 @@ def table_of(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
     codes, sizes = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     used = sorted((n, s) for s, n in enumerate(lengths) if n)
     if len(used) > 1:
-        for (n, s), code in zip(used, turned_codes([n for n, _ in used]), strict=True):
-            codes[s], sizes[s] = code, n
+        bits, symbols = map(list, zip(*used, strict=True))
+        codes[symbols], sizes[symbols] = turned_codes(bits), bits
     return codes, sizes
 
 
@@ -604,12 +655,14 @@ def repeats(keys: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     far = np.zeros(len(keys), np.int64)
     far[order[same + 1]] = order[same + 1] - order[same]
     far[far > FARTHEST] = 0
-    edge = np.concatenate(([0], np.flatnonzero(np.diff(far)) + 1, [len(far)]))
+    edge = np.concatenate(([0], np.flatnonzero(far[1:] != far[:-1]) + 1, [len(far)]))
+    begin, end, back = edge[:-1], edge[1:], far[edge[:-1]]
+    any_ = np.flatnonzero(back)
     out, done = [], 0
-    for a, b, d in zip(edge[:-1].tolist(), edge[1:].tolist(), far[edge[:-1]].tolist(), strict=True):
+    for a, b, d in zip(begin[any_].tolist(), end[any_].tolist(), back[any_].tolist(), strict=True):
         end = b - 1 + k
         a = max(a, done)
-        while d and end - a >= k:
+        while end - a >= k:
             n = min(end - a, LONGEST)
             out.append((a, n, d))
             a = done = a + n
@@ -656,20 +709,25 @@ def write_image(w: Writer, channels: list[np.ndarray | None], refs: list[tuple[i
         c = c[single]
         counted = c if cached is None else c[~cached]
         mine = write_prefix(w, fitted(np.bincount(counted, minlength=256).tolist(), 15) if len(counted) else [0] * 256)
-        values.append(mine[0][c])
+        values.append(mine[0][c] if cached is None else np.where(cached, 0, mine[0][c]))
         bits.append(mine[1][c] if cached is None else np.where(cached, 0, mine[1][c]))
-    values, bits = np.stack(values, 1), np.stack(bits, 1)
+    per = len(values)
+    values, bits = (x[0] if per == 1 else np.stack(x, 1).reshape(-1) for x in (values, bits))
     if not refs:
         w.put(ZERO, 4)
     else:
         last = write_prefix(w, fitted(np.bincount(ds, minlength=40).tolist(), 15))
-        # As many columns for pixels as for references.
-        more = np.zeros((len(single), 4 - values.shape[1]), np.int64)
-        values = np.concatenate((np.concatenate((values, more), 1), np.stack((codes[256 + ls], lx, last[0][ds], dx), 1)))
-        bits = np.concatenate((np.concatenate((bits, more), 1), np.stack((sizes[256 + ls], lb, last[1][ds], db), 1)))
-        order = np.argsort(np.concatenate((single, start)), kind="stable")
-        values, bits = values[order], bits[order]
-    w.put_all(values.reshape(-1), bits.reshape(-1))
+        # A reference's four values stand behind those of the pixels before it.
+        place = per * np.searchsorted(single, start) + 4 * np.arange(len(refs))
+        theirs = np.zeros(len(values) + 4 * len(refs), bool)
+        theirs[place[:, None] + np.arange(4)] = True
+        both = []
+        for mine, other in ((values, (codes[256 + ls], lx, last[0][ds], dx)), (bits, (sizes[256 + ls], lb, last[1][ds], db))):
+            x = np.empty(len(theirs), np.int64)
+            x[~theirs], x[theirs] = mine, np.stack(other, 1).reshape(-1)
+            both.append(x)
+        values, bits = both
+    w.put_all(values, bits)
 
 
 def _cached(channels: list[np.ndarray], single: np.ndarray, refs: list[tuple[int, int, int]], bits: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,6 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
+from logweave.llm import webp
 from logweave.llm.webp import HASH, LENGTH_ORDER, SIGNATURE, decode_vp8l
 
 
@@ -253,3 +254,31 @@ def test_bad_references_and_bad_signatures_are_errors():
             decode_vp8l(w.data())
     with pytest.raises(ValueError):
         decode_vp8l(b"\0" * 20)
+
+
+def test_references_take_no_room_beside_single_pixels():
+    """The writer's list has one value a pixel of one channel and four a reference; values of no bits aren't stored beside each pixel."""
+    rng = np.random.default_rng(5)
+    data = rng.integers(0, 60, 4096).astype(np.uint8)
+    data[2048:2148] = data[:100]
+    w = webp.Writer()
+    webp.write_image(w, [data, None, None, None], [(2048, 100, 2048)], main=True)
+    assert len(w.parts[-1][0]) == len(data) - 100 + 4
+    bits = webp.Bits(w.done() + bytes(8))
+    assert (webp.read_image(bits, 64, 64, main=True) >> 8 & 255).astype(np.uint8).tobytes() == data.tobytes()
+
+
+def test_code_lengths_are_the_best_ones_within_the_limit():
+    rng = np.random.default_rng(6)
+    for n in (2, 3, 17, 200):
+        counts = (rng.integers(0, 3, n) * rng.integers(0, 1000, n)).tolist() + [1, 5]
+        lengths, heap = webp.fitted(counts, 15), sorted(c for c in counts if c)
+        cost = 0
+        while len(heap) > 1:
+            a, b, *heap = heap
+            cost += a + b
+            heap = sorted([*heap, a + b])
+        assert sum(c * k for c, k in zip(counts, lengths, strict=True)) == cost
+        assert all((k > 0) == (c > 0) for c, k in zip(counts, lengths, strict=True))
+    steep = webp.fitted([1 << k for k in range(30)], 15)
+    assert max(steep) == 15 and sum(2.0**-k for k in steep) == 1
