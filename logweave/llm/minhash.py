@@ -46,11 +46,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> _U(31)
 
 
-def word_hash(word: str) -> int:
+def word_hash(word: str | bytes) -> int:
     """64 bits, alike in every process."""
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+    return xxhash.xxh3_64_intdigest(word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass"))
 
 
 def factors(df: np.ndarray, total: int) -> np.ndarray:
