@@ -114,7 +114,7 @@ def _best(ids: list, values: np.ndarray, at: np.ndarray, k: int) -> list[tuple[i
     """The k best (id, score) of the entries `at`: higher scores first, ties by id; an entry stands for its ids, and has the score of its own."""
     if len(at) > k:  # an entry has an id at least, so only those as good as the k-th count
         at = at[values[at] >= np.partition(values[at], len(at) - k)[len(at) - k]]
-    return sorted({(-int(values[i]), int(x)) for i in at.tolist() for x in ids[i]})[:k]
+    return sorted((-int(values[i]), int(x)) for i in at.tolist() for x in ids[i])[:k]
 
 
 def _of_own_label(k: int):

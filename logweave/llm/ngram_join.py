@@ -13,7 +13,7 @@ part names a tree. A document that would be left with h parts or fewer that aren
 Trees over more than BLOCK documents are cut into blocks of about that size, which are traversed against each other in tasks of their own. To keep a large group of
 near copies from giving all its pairs, traversals run in turns, and what proves linked is joined into components before the next:
 1. every document in its largest tree, in blocks, each giving a spanning forest of its best pairs; then again with a document for each component,
-   until each tree is one block;
+   until each tree is one block or no links are found;
 2. all trees that still hold more than one component: the best pairs between components;
 3. the same, all pairs between components that the bounds leave.
 All pairs are checked on whole sets, so no link between components is lost. What remains costly are very many documents of a
@@ -319,14 +319,17 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def placed(rows: DataFrame) -> DataFrame:
         return rows.join(comps.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
 
-    def turn(rows: DataFrame, find, crossed: bool) -> None:
+    def turn(rows: DataFrame, find, crossed: bool) -> bool:
+        """Whether it has found links."""
         nonlocal comps, tried
         full = rows.join(about, "uid").select("key", *MEMBER)
         pairs = durable(traversed(full, find, crossed).join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(pairs)
         good = durable(checked(pairs, held))
-        if not good.isEmpty():
-            comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(good))
+        if good.isEmpty():
+            return False
+        comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(good))
+        return True
 
     # First turn: each set in its largest tree, a set a component.
     own = members.groupBy("uid").agg(F.max(F.struct("n", (-F.xxhash64("key")).alias("h"), "key")).alias("t")).select("uid", F.col("t.key").alias("key"))
@@ -335,10 +338,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         rows = placed(own).groupBy("key", "comp").agg(F.min(F.struct(F.xxhash64("uid").alias("h"), "uid")).alias("m")).select("key", "comp", F.col("m.uid").alias("uid"))
         rows = durable(rows)
         widest = rows.groupBy("key").count().agg(F.max("count")).first()[0] or 0
-        if widest > 1:
-            turn(rows, forest, False)
-        if widest <= BLOCK:
-            break
+        if widest < 2 or not turn(rows, forest, False) or widest <= BLOCK:
+            break  # what blocks of a tree have with each other is left to the turns below
     # Then all trees with more than one component, best pairs first.
     for find in (forest, everything):
         rows = placed(members.select("key", "uid"))
