@@ -14,8 +14,9 @@ Trees over more than BLOCK documents are cut into blocks of about that size, whi
 near copies from giving all its pairs, traversals run in turns, and what proves linked is joined into components before the next:
 1. every document in its largest tree, in blocks, each giving a spanning forest of its best pairs; then again with a document for each component,
    until each tree is one block or no links are found;
-2. all trees that still hold more than one component: the best pairs between components;
-3. the same, all pairs between components that the bounds leave.
+2. all trees that still hold more than one component: the pairs between components that the bounds leave, if they are not many more than
+   the documents, else the best ones;
+3. the trees of which pairs are left: all of them.
 All pairs are checked on whole sets, so no link between components is lost. What remains costly are very many documents of a
 tree that are nearly, but not quite, similar enough.
 """
@@ -33,8 +34,10 @@ SHINGLE = 4
 #: 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: Documents to a block of a tree, and children to a node.
-BLOCK, FANOUT = 128, 8
-LEAST_BITS, MOST_BITS = 512, 1 << 16
+BLOCK, FANOUT = 1024, 8
+LEAST_BITS, MOST_BITS = 256, 1 << 16
+#: A tree that has no more surviving pairs than so many a document gives all of them at once.
+AT_ONCE = 4
 #: Words and texts whose results a Python worker remembers.
 MOST_WORDS, MOST_TEXTS = 300_000, 20_000
 _U = np.uint64
@@ -96,8 +99,8 @@ def differing(kind: int) -> int:
 
 
 def bits_of(kind: int) -> int:
-    """Bits of bitmaps in trees of this class and the next: eight a shingle."""
-    return min(MOST_BITS, max(LEAST_BITS, 1 << (8 * LEAST[kind + 2] - 1).bit_length()))
+    """Bits of bitmaps in trees of this class and the next: three to six a shingle of the largest."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (3 * LEAST[kind + 2] - 1).bit_length()))
 
 
 def keys(names: np.ndarray) -> np.ndarray:
@@ -193,9 +196,8 @@ def between(a: Tree, b: Tree) -> tuple[np.ndarray, np.ndarray]:
     return i[order], j[order]
 
 
-def forest(a: Tree, b: Tree) -> list[tuple[int, int]]:
-    """A spanning forest of the components by their likeliest pairs."""
-    i, j = between(a, b)
+def forest(a: Tree, b: Tree, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Of pairs in order of likelihood those that make a spanning forest of the components."""
     above: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -208,39 +210,45 @@ def forest(a: Tree, b: Tree) -> list[tuple[int, int]]:
         r, s = root(x), root(y)
         if r != s:
             above[r] = s
-            out.append((min(p, q), max(p, q)))
+            out.append((p, q))
     return out
 
 
-def everything(a: Tree, b: Tree) -> list[tuple[int, int]]:
+def found(a: Tree, b: Tree, whole: bool) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of uids to look at, and whether that is all: the forest only, if it isn't, unless whole."""
     i, j = between(a, b)
-    return [(min(p, q), max(p, q)) for p, q in zip(a.uid[i].tolist(), b.uid[j].tolist(), strict=True)]
+    if whole or len(i) <= AT_ONCE * (len(a.uid) + len(b.uid)):
+        return list(zip(a.uid[i].tolist(), b.uid[j].tolist(), strict=True)), True
+    return forest(a, b, i, j), False
 
 
 MEMBER = ["uid", "comp", "size", "code", "bits"]
 
 
-def traversed(members: DataFrame, find, crossed: bool) -> DataFrame:
-    """Distinct pairs (a, b) that `find` has in the trees of members (key, MEMBER), cut into blocks; crossed: blocks meet each other, too."""
-    many = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.count("*").alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most"))
-    many = many.where("n > 1 and least <> most").select("key", "parts")
+def traversed(members: DataFrame, whole: bool, crossed: bool) -> DataFrame:
+    """(a, b) of pairs to look at in the trees of members (key, MEMBER), cut into blocks, a < b, and (key, null) of trees that have more; crossed: blocks meet each other, too."""
+    many = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1").select("key", "parts")
     rows = members.join(many, "key").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
     blocks = rows.groupBy("key", "parts", "block").agg(F.collect_list(F.struct(*MEMBER)).alias("held"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("size").alias("s0"), F.max("size").alias("s1"))
-    own = blocks.where("c0 <> c1").select("held", F.lit(None).cast(blocks.schema["held"].dataType).alias("other"))
+    own = blocks.where("c0 <> c1").select("key", "held", F.lit(None).cast(blocks.schema["held"].dataType).alias("other"))
     if crossed:
         wide = durable(blocks.where("parts > 1"))
-        roots = wide.drop("held", "parts")
-        left, right = roots.select("key", *(F.col(c).alias(f"{c}_l") for c in ("block", "c0", "c1", "s0", "s1"))), roots
-        met = left.join(right, "key").where("block_l < block and not (c0 = c1 and c0_l = c1_l and c0 = c0_l)").where(f"100 * s1 >= {PERCENT} * s0_l and 100 * s1_l >= {PERCENT} * s0").select("key", "block_l", "block")
-        one = met.join(wide.select("key", F.col("block").alias("block_l"), "held"), ["key", "block_l"]).join(wide.select("key", "block", F.col("held").alias("other")), ["key", "block"])
-        own = own.unionByName(one.select("held", "other"))
+        if not wide.isEmpty():
+            roots = wide.drop("held", "parts")
+            left = roots.select("key", *(F.col(c).alias(f"{c}_l") for c in ("block", "c0", "c1", "s0", "s1")))
+            met = left.join(roots, "key").where("block_l < block and not (c0 = c1 and c0_l = c1_l and c0 = c0_l)").where(f"100 * s1 >= {PERCENT} * s0_l and 100 * s1_l >= {PERCENT} * s0").select("key", "block_l", "block")
+            two = met.join(wide.select("key", F.col("block").alias("block_l"), "held"), ["key", "block_l"]).join(wide.select("key", "block", F.col("held").alias("other")), ["key", "block"])
+            own = own.unionByName(two.select("key", "held", "other"))
 
     def run(source):
-        for held, other in source:
+        for key, held, other in source:
             sides = [[tuple(m[c] for c in MEMBER) for m in x] for x in (held, other) if x is not None]
             width = min(len(m[4]) for x in sides for m in x)
             made = [Tree(x, width) for x in sides]
-            yield from find(made[0], made[-1])
+            pairs, all_ = found(made[0], made[-1], whole)
+            yield from ((min(p), max(p)) for p in pairs)
+            if not all_:
+                yield key, None
 
     return map_rows(own, run, "a bigint, b bigint").distinct()
 
@@ -319,32 +327,34 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def placed(rows: DataFrame) -> DataFrame:
         return rows.join(comps.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
 
-    def turn(rows: DataFrame, find, crossed: bool) -> bool:
-        """Whether it has found links."""
+    def turn(rows: DataFrame, whole: bool, crossed: bool) -> tuple[bool, DataFrame]:
+        """Looks at pairs in the trees of rows (key, uid, comp). Whether it has found links, and the trees (key) that have more pairs."""
         nonlocal comps, tried
-        full = rows.join(about, "uid").select("key", *MEMBER)
-        pairs = durable(traversed(full, find, crossed).join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionByName(pairs)
+        told = durable(traversed(rows.join(about, "uid").select("key", *MEMBER), whole, crossed))
+        pairs = told.where("b is not null").join(tried, ["a", "b"], "left_anti")
         good = durable(checked(pairs, held))
-        if good.isEmpty():
-            return False
-        comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(good))
-        return True
+        tried = tried.unionByName(told.where("b is not null"))
+        some = not good.isEmpty()
+        if some:
+            comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(good))
+        return some, told.where("b is null").select(F.col("a").alias("key"))
 
-    # First turn: each set in its largest tree, a set a component.
+    # First each set in its largest tree, a set a component.
     own = members.groupBy("uid").agg(F.max(F.struct("n", (-F.xxhash64("key")).alias("h"), "key")).alias("t")).select("uid", F.col("t.key").alias("key"))
     own = durable(own)
     while True:
-        rows = placed(own).groupBy("key", "comp").agg(F.min(F.struct(F.xxhash64("uid").alias("h"), "uid")).alias("m")).select("key", "comp", F.col("m.uid").alias("uid"))
-        rows = durable(rows)
+        rows = durable(placed(own).groupBy("key", "comp").agg(F.min(F.struct(F.xxhash64("uid").alias("h"), "uid")).alias("m")).select("key", "comp", F.col("m.uid").alias("uid")))
         widest = rows.groupBy("key").count().agg(F.max("count")).first()[0] or 0
-        if widest < 2 or not turn(rows, forest, False) or widest <= BLOCK:
+        if widest < 2 or not turn(rows, False, False)[0] or widest <= BLOCK:
             break  # what blocks of a tree have with each other is left to the turns below
-    # Then all trees with more than one component, best pairs first.
-    for find in (forest, everything):
-        rows = placed(members.select("key", "uid"))
-        open_ = rows.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-        turn(durable(rows.join(open_, "key", "left_semi")), find, True)
+    # Then all trees with more than one component, the likeliest pairs first; then those that have more.
+    rows = placed(members.select("key", "uid").join(about.select("uid", "size"), "uid"))
+    apart = f"c0 <> c1 and (n > 2 or 100 * s0 >= {PERCENT} * s1)"
+    open_ = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("size").alias("s0"), F.max("size").alias("s1")).where(apart).select("key")
+    rows = durable(rows.join(open_, "key", "left_semi").select("key", "uid", "comp"))
+    _, more = turn(rows, False, True)
+    if not more.isEmpty():
+        turn(placed(rows.join(more.distinct(), "key", "left_semi").select("key", "uid")), True, True)
 
     ids = clean.select("doc_id", "text_key")
     least = ids.groupBy("text_key").agg(F.min("doc_id").alias("least"))
