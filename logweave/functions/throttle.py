@@ -1,8 +1,10 @@
 """Back-pressure: replies, waiting times and the throttle setting."""
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweave.operators.running import LAST, SPAN, scan
+
 # Fixed value of the protocol.
 PREFIX = "Throttle: "
 
@@ -25,7 +27,7 @@ def remaining_sleep(until_ms: Column, now_ms: Column) -> Column:
     return F.greatest(F.lit(0).cast("bigint"), until_ms - now_ms)
 
 
-def setting(seconds: Column, at: Column, *scope: Column) -> Column:
-    """The value in force after each command: a negative one only reads; 0 before the first."""
-    over = Window.partitionBy(*scope).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    return F.coalesce(F.last(F.when(seconds >= 0, seconds), ignorenulls=True).over(over), F.lit(0))
+def settings(commands: DataFrame, seconds: str, at: str, scope: list[str], name: str = "in_force", span: int = SPAN) -> DataFrame:
+    """Adds the value in force after each command of its scope, in order of `at` (a long): a negative one only reads; 0 before the first."""
+    asked = F.when(F.col(seconds) >= 0, F.col(seconds))
+    return scan(commands, scope, at, {name: (LAST, asked)}, span=span, inclusive=True).withColumn(name, F.coalesce(name, F.lit(0)))

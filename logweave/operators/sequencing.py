@@ -1,10 +1,10 @@
 """Which chunks may be appended: the next contiguous run of each session."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.naming import tracker_file_name
-from logweave.operators.running import ranged, running_totals
+from logweave.operators.intervals import gaps_of, prefix_end, runs_of
 
 LOG = ["id", "session"]
 
@@ -14,28 +14,29 @@ def decide(chunks: DataFrame, tracker: DataFrame | None = None, start: str = "fi
 
     append: continues the run; init: starts it (only where last = 0); stale: at or before `last`; gap: waits
     behind a missing chunk. start="first_seen" lets a session begin at its least seq, start="one" only at 1.
-    With last = 0 a chunk 0 is taken and leaves `last` at 0. A row's place in its session comes from
-    `running_totals`, so that one huge session is worked on by many tasks.
+    With last = 0 a chunk 0 is taken and leaves `last` at 0. How far a session goes follows from the runs of its numbers
+    (`intervals`), of which payloads know nothing: chunks meet one row a session.
     """
     if start not in ("first_seen", "one"):
         raise ValueError(f"start: {start}")
-    if tracker is None:
-        known = chunks.withColumn("last", F.lit(0).cast("bigint"))
+    zero = F.lit(0).cast("bigint")
+    known = tracker.select(*LOG, F.col("last_seq").alias("last")) if tracker is not None else None
+    runs = runs_of(chunks, LOG)
+    if known is not None:
+        runs = runs.join(known, LOG, "left").withColumn("last", F.coalesce("last", zero))
     else:
-        known = chunks.join(tracker.select(*LOG, F.col("last_seq").alias("last")), LOG, "left").withColumn("last", F.coalesce("last", F.lit(0).cast("bigint")))
-    rows = ranged(known, LOG, "seq")
-    fresh = F.col("seq") > F.col("last")
-    # The least fresh number comes with the totals of ranges, so that chunks meet one small table only.
-    placed = running_totals(rows, LOG, "seq", {"_place": F.when(fresh, 1).otherwise(0)}, least={"_least": F.when(fresh, F.col("seq"))})
-    if start == "first_seen":
-        base = F.when(F.col("last") == 0, F.col("_least") - 1).otherwise(F.col("last"))
-    else:
-        base = F.col("last")
-    runs = F.col("seq") - F.col("_place") - 1 == base
-    zero = (F.col("last") == 0) & (F.col("seq") == 0)
-    first = (F.col("last") == 0) & (F.col("_place") == 0)
-    word = F.when(zero, "init").when(~fresh, "stale").when(runs & first, "init").when(runs, "append").otherwise("gap")
-    return placed.withColumn("decision", word).drop("_place", "_least")
+        runs = runs.withColumn("last", zero)
+    # The first number of the session that is not stale, which a session without a tracker may begin at.
+    least = F.min(F.when(F.col("high") > F.col("last"), F.greatest(F.col("low"), F.col("last") + 1)))
+    first = runs.groupBy(*LOG).agg(F.max("last").alias("last"), least.alias("_least"))
+    begin = F.when(F.col("last") == 0, F.col("_least")).otherwise(F.col("last") + 1) if start == "first_seen" else F.col("last") + 1
+    first = first.withColumn("_begin", begin)
+    ends = prefix_end(runs.drop("last").join(first.select(*LOG, "_begin"), LOG), LOG, "_begin")
+    about = first.join(ends, LOG, "left")
+    placed = chunks.join(about, LOG, "left").withColumn("last", F.coalesce("last", zero))
+    at = F.col("seq")
+    word = F.when((F.col("last") == 0) & (at == 0), "init").when(at <= F.col("last"), "stale").when((F.col("last") == 0) & (at == F.col("_begin")), "init").when(at.between(F.col("_begin"), F.col("upto")), "append").otherwise("gap")
+    return placed.withColumn("decision", word).drop("_least", "_begin", "upto")
 
 
 def accepted(decided: DataFrame) -> DataFrame:
@@ -43,10 +44,9 @@ def accepted(decided: DataFrame) -> DataFrame:
 
 
 def gaps(chunks: DataFrame) -> DataFrame:
-    """The missing ranges between present chunks. Needs only keys: the window runs on (id, session, seq)."""
-    keys = chunks.select(*LOG, "seq").distinct()
-    before = F.lag("seq").over(Window.partitionBy(*LOG).orderBy("seq"))
-    return keys.withColumn("_before", before).where(F.col("seq") - F.col("_before") > 1).select(*LOG, (F.col("_before") + 1).alias("first_missing"), (F.col("seq") - 1).alias("last_missing"), (F.col("seq") - F.col("_before") - 1).alias("missing"))
+    """The missing ranges between present chunks, from the runs of their numbers."""
+    missing = gaps_of(runs_of(chunks, LOG), LOG)
+    return missing.select(*LOG, F.col("low").alias("first_missing"), F.col("high").alias("last_missing"), (F.col("high") - F.col("low") + 1).alias("missing"))
 
 
 def next_tracker(decided: DataFrame) -> DataFrame:

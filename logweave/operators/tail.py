@@ -1,8 +1,10 @@
 """What a poll of a growing file means, from snapshots of its identity and size."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweave.operators.running import LAST, SPAN, scan
+
 
 def status(exists: Column, inode: Column, size: Column, known_inode: Column, total_read: Column) -> Column:
     """MOVED, DELETED, NEWDATA, UNCHANGED or TRUNCATED. A file first seen now counts as not moved."""
@@ -15,14 +17,13 @@ def status(exists: Column, inode: Column, size: Column, known_inode: Column, tot
     )
 
 
-def classify(snapshots: DataFrame) -> DataFrame:
-    """Adds `status` to (path, poll, exists, inode, size): each poll against the last state known of its path.
+def classify(snapshots: DataFrame, span: int = SPAN) -> DataFrame:
+    """Adds `status` to (path, poll, exists, inode, size): each poll (a long) against the last state known of its path.
 
-    The read position after a poll is the size seen; the first-known inode stays while a file is missing.
+    The read position after a poll is the size seen; the first-known inode stays while a file is missing. One path's polls are scanned in ranges.
     """
-    earlier = Window.partitionBy("path").orderBy("poll").rowsBetween(Window.unboundedPreceding, -1)
-    seen = lambda c: F.last(F.when(F.col("exists"), F.col(c)), ignorenulls=True).over(earlier)
-    df = snapshots.withColumn("known_inode", seen("inode")).withColumn("total_read", F.coalesce(seen("size"), F.lit(0)))
+    seen = lambda c: (LAST, F.when(F.col("exists"), F.col(c)))
+    df = scan(snapshots, ["path"], "poll", {"known_inode": seen("inode"), "total_read": seen("size")}, span=span).withColumn("total_read", F.coalesce("total_read", F.lit(0)))
     return df.withColumn("status", status(F.col("exists"), F.col("inode"), F.col("size"), F.col("known_inode"), F.col("total_read")))
 
 

@@ -239,8 +239,9 @@ def throttle_parse(spark, sf_dir):
 def throttle_setting(spark, sf_dir):
     """One control log a user; the command is -1 or 0 (read, or turn off is left out) or a number of seconds."""
     asked = F.when(F.col("event_id") % 6 > 1, F.col("event_id") % 6 - 1).otherwise(-1)
-    now = throttle.setting(asked, F.col("event_id"), F.col("user_id"))
-    return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("Log server throttle = "), now).alias("reply"))
+    commands = table(spark, sf_dir, "events").select("event_id", "user_id", asked.alias("seconds"))
+    now = throttle.settings(commands, "seconds", "event_id", ["user_id"])
+    return now.select("event_id", F.concat(F.lit("Log server throttle = "), "in_force").alias("reply"))
 
 
 @query(f"WITH {EVT} SELECT event_id, 'Throttle: ' || (SELECT max(event_id) % 10 FROM events) AS reply FROM evt")
