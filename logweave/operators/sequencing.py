@@ -4,39 +4,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.naming import tracker_file_name
-from logweave.operators.intervals import gaps_of, prefix_end, runs_of
+from logweave.operators.intervals import first_run, missing
 
 LOG = ["id", "session"]
 
 
-def decide(chunks: DataFrame, tracker: DataFrame | None = None, start: str = "first_seen") -> DataFrame:
+def decide(chunks: DataFrame, tracker: DataFrame | None = None, start: str = "first_seen", present: DataFrame | None = None) -> DataFrame:
     """Adds `last` (the tracker's value, else 0) and `decision` to de-duplicated chunks.
 
     append: continues the run; init: starts it (only where last = 0); stale: at or before `last`; gap: waits
     behind a missing chunk. start="first_seen" lets a session begin at its least seq, start="one" only at 1.
     With last = 0 a chunk 0 is taken and leaves `last` at 0. How far a session goes follows from the runs of its numbers
-    (`intervals`), of which payloads know nothing: chunks meet one row a session.
+    (`intervals`), of which payloads know nothing: chunks meet one row a session. present: a table with the same (id, session, seq), repeats
+    allowed, where that is cheaper to read than the chunks.
     """
     if start not in ("first_seen", "one"):
         raise ValueError(f"start: {start}")
     zero = F.lit(0).cast("bigint")
     known = tracker.select(*LOG, F.col("last_seq").alias("last")) if tracker is not None else None
-    runs = runs_of(chunks, LOG)
+    numbers = (chunks if present is None else present).select(*LOG, "seq")
     if known is not None:
-        runs = runs.join(known, LOG, "left").withColumn("last", F.coalesce("last", zero))
-    else:
-        runs = runs.withColumn("last", zero)
-    # The first number of the session that is not stale, which a session without a tracker may begin at.
-    least = F.min(F.when(F.col("high") > F.col("last"), F.greatest(F.col("low"), F.col("last") + 1)))
-    first = runs.groupBy(*LOG).agg(F.max("last").alias("last"), least.alias("_least"))
-    begin = F.when(F.col("last") == 0, F.col("_least")).otherwise(F.col("last") + 1) if start == "first_seen" else F.col("last") + 1
-    first = first.withColumn("_begin", begin)
-    ends = prefix_end(runs.drop("last").join(first.select(*LOG, "_begin"), LOG), LOG, "_begin")
-    about = first.join(ends, LOG, "left")
+        numbers = numbers.join(known, LOG, "left")
+    # The first run past what is known: the session goes on in it or not at all.
+    fresh = numbers.where(F.col("seq") > (zero if known is None else F.coalesce("last", zero)))
+    ahead = first_run(fresh, LOG).select(*LOG, F.col("low").alias("_begin"), F.col("high").alias("upto"))
+    about = ahead.withColumn("last", zero) if known is None else ahead.join(known, LOG, "full")
     placed = chunks.join(about, LOG, "left").withColumn("last", F.coalesce("last", zero))
-    at = F.col("seq")
-    word = F.when((F.col("last") == 0) & (at == 0), "init").when(at <= F.col("last"), "stale").when((F.col("last") == 0) & (at == F.col("_begin")), "init").when(at.between(F.col("_begin"), F.col("upto")), "append").otherwise("gap")
-    return placed.withColumn("decision", word).drop("_least", "_begin", "upto")
+    at, first = F.col("seq"), F.col("last") == 0
+    runs = (F.col("_begin") == F.col("last") + 1) | (first if start == "first_seen" else F.lit(False))
+    word = F.when(first & (at == 0), "init").when(at <= F.col("last"), "stale").when(runs & first & (at == F.col("_begin")), "init").when(runs & at.between(F.col("_begin"), F.col("upto")), "append").otherwise("gap")
+    return placed.withColumn("decision", word).drop("_begin", "upto")
 
 
 def accepted(decided: DataFrame) -> DataFrame:
@@ -45,8 +42,8 @@ def accepted(decided: DataFrame) -> DataFrame:
 
 def gaps(chunks: DataFrame) -> DataFrame:
     """The missing ranges between present chunks, from the runs of their numbers."""
-    missing = gaps_of(runs_of(chunks, LOG), LOG)
-    return missing.select(*LOG, F.col("low").alias("first_missing"), F.col("high").alias("last_missing"), (F.col("high") - F.col("low") + 1).alias("missing"))
+    out = missing(chunks, LOG)
+    return out.select(*LOG, F.col("low").alias("first_missing"), F.col("high").alias("last_missing"), (F.col("high") - F.col("low") + 1).alias("missing"))
 
 
 def next_tracker(decided: DataFrame) -> DataFrame:

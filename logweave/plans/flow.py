@@ -29,7 +29,7 @@ class Flow:
 
 def rebuild(chunks: DataFrame, *arrival, tracker: DataFrame | None = None, start: str = "first_seen") -> Flow:
     one = dedup_last_write(chunks, *arrival)
-    decided = decide(one, tracker, start)
+    decided = decide(one, tracker, start, chunks)
     taken = accepted(decided)
     logs = bodies(taken)
-    return Flow(one, decided, taken, next_tracker(decided), gaps(one), logs, lines(logs))
+    return Flow(one, decided, taken, next_tracker(decided), gaps(chunks), logs, lines(logs))

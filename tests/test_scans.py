@@ -48,7 +48,10 @@ def test_interval_sets(spark, one, two):
     assert got(a) == plain_runs(one)
     assert got(intervals.union(a, b, ["k"])) == plain_runs(one + two)
     runs = plain_runs(one)
-    assert got(intervals.gaps_of(a, ["k"], span=4)) == sorted((x, h + 1, lo - 1) for (x, _, h), (y, lo, _) in zip(runs, runs[1:], strict=False) if x == y)
+    between = sorted((x, h + 1, lo - 1) for (x, _, h), (y, lo, _) in zip(runs, runs[1:], strict=False) if x == y)
+    df = spark.createDataFrame(one, "k string, seq bigint")
+    assert got(intervals.gaps_of(a, ["k"], span=4)) == between == got(intervals.missing(df, ["k"], span=4))
+    assert got(intervals.first_run(df, ["k"], span=4)) == sorted(next(r for r in runs if r[0] == k) for k in {r[0] for r in runs})
 
 
 def test_wide_runs_meet_over_ranges(spark):
