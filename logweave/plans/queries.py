@@ -2,6 +2,7 @@
 
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions import naming, throttle
 from logweave.functions.codec import decode_chunk, encode_chunk
-from logweave.operators import assemble, chunks, pump, sequencing, tail
+from logweave.operators import assemble, chunks, digest_tree, pump, sequencing, tail
 from logweave.plans.flow import rebuild
 from logweave.plans.views import CONV, EVT, LINE, ONE, SESSION, conversations, events, orders, table
 from logweave.sources import chunk_files
@@ -289,6 +290,32 @@ def diff_source_rebuilt(spark, sf_dir):
     return assemble.difference(split(a), split(a.where("seq <> 2"))).select("id", "line", "surplus", "side")
 
 
+SWAPPED = f"""{CONV}, l AS (SELECT id, session, string_split(string_agg(payload, chr(10) ORDER BY seq), chr(10)) AS a, string_split(string_agg(payload, chr(10) ORDER BY CASE seq WHEN 2 THEN 3 WHEN 3 THEN 2 ELSE seq END), chr(10)) AS b FROM conv GROUP BY ALL),
+a AS (SELECT id, session, unnest(a) AS line, generate_subscripts(a, 1) - 1 AS line_no FROM l), b AS (SELECT id, session, unnest(b) AS line, generate_subscripts(b, 1) - 1 AS line_no FROM l WHERE length(id) % 2 = 0 OR ends_with(id, '1'))"""
+
+
+def _swapped(spark, sf_dir):
+    """Lines of logs, and of the same logs with chunks 2 and 3 in each other's place, of which some are missing."""
+    ended = conversations(spark, sf_dir).withColumn("payload", F.concat("payload", F.lit(b"\n")))
+    wrong = ended.withColumn("seq", F.when(F.col("seq") == 2, 3).when(F.col("seq") == 3, 2).otherwise(F.col("seq")))
+    split = lambda df: assemble.lines(assemble.bodies(df).withColumn("body", F.substring("body", F.lit(1), F.octet_length("body") - 1)))
+    return split(ended), split(wrong.where(F.expr("length(id) % 2 = 0 or id like '%1'")))
+
+
+@query(f"WITH {SWAPPED} SELECT id, session, line_no, a.line AS source, b.line AS rebuilt, CASE WHEN b.line IS NULL THEN 'source' WHEN a.line IS NULL THEN 'rebuilt' ELSE 'changed' END AS side FROM a FULL JOIN b USING (id, session, line_no) WHERE a.line IS DISTINCT FROM b.line")
+def diff_positions(spark, sf_dir):
+    """Lines that have changed places are found, with the places."""
+    a, b = _swapped(spark, sf_dir)
+    out = digest_tree.differences(a, b, ["id", "session"], "line_no", "line", leaf=4, fanout=4)
+    return out.withColumn("line_no", F.col("line_no").cast("bigint"))
+
+
+@query(f"WITH {SWAPPED}, x AS (SELECT id, session, list(line ORDER BY line_no) AS s FROM a GROUP BY ALL), y AS (SELECT id, session, list(line ORDER BY line_no) AS s FROM b GROUP BY ALL) SELECT id, session, coalesce(x.s = y.s, false) AS equal FROM x FULL JOIN y USING (id, session)")
+def logs_equal(spark, sf_dir):
+    a, b = _swapped(spark, sf_dir)
+    return digest_tree.equal(a, b, ["id", "session"], "line_no", "line")
+
+
 @query(f"WITH {CONV} SELECT id, session, sum(len(string_split(payload, chr(10))))::BIGINT AS n_lines, max(seq) AS counter, (sum(len(string_split(payload, chr(10)))) - max(seq))::BIGINT AS delta FROM conv GROUP BY ALL")
 def logcheck(spark, sf_dir):
     """Each chunk ends its last line with its number; blank lines get a mark so that they count."""
@@ -364,11 +391,11 @@ def poll_idle(spark, sf_dir):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one."""
+    """A fresh folder's name under spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         return tempfile.mkdtemp(prefix="logweave-")
-    return tempfile.mkdtemp(prefix="logweave-", dir=base.removeprefix("file://"))
+    return f"{base.removeprefix('file://')}/logweave-{uuid.uuid4().hex}"
 
 
 def _chunk_folder(spark, sf_dir) -> str:
@@ -418,3 +445,35 @@ def stream_reassemble(spark, sf_dir):
 def stream_stale(spark, sf_dir):
     """Chunk 2 came again while it waited for chunk 1 and replaced the waiting copy; chunk 1 came again after it was appended."""
     return _streamed(spark, sf_dir).where("decision = 'stale'").select("id", "session", "seq")
+
+
+def _stored(spark, sf_dir):
+    """A log store after three runs of one stream, of which two went on from the checkpoint: chunks 1 and 2, then from 4 on and 2 again, then 3 and 1 again."""
+    from logweave.streaming.logstore import LogStore
+    from logweave.streaming.reassemble import sequenced
+
+    base = shared_folder(spark)
+    store, rows = LogStore(spark, f"{base}/store"), conversations(spark, sf_dir)
+    for which in ("seq <= 2", "seq >= 4 or seq = 2", "seq in (1, 3)"):
+        rows.where(which).write.mode("append").parquet(f"{base}/in")
+        store.consume(sequenced(spark.readStream.schema(rows.schema).parquet(f"{base}/in")), f"{base}/state")
+    return store
+
+
+@query(f"WITH {CONV} SELECT id || '.' || session AS name, md5(string_agg(payload, '' ORDER BY seq)) AS body_md5, count(*) AS chunks, sum(octet_length(encode(payload)))::BIGINT AS bytes, true AS whole FROM conv GROUP BY id, session")
+def store_rebuild(spark, sf_dir):
+    store = _stored(spark, sf_dir)
+    both = assemble.bodies(store.chunks()).join(store.extents().drop("chunks"), ["id", "session"])
+    return both.select("name", F.md5("body").alias("body_md5"), "chunks", "bytes", "whole")
+
+
+@query(f"WITH {CONV}, r AS (SELECT unnest([0, 1, 2])::BIGINT AS batch) SELECT batch, count(seq) AS chunks, coalesce(sum(octet_length(encode(payload))), 0)::BIGINT AS bytes FROM r LEFT JOIN conv ON batch = CASE WHEN seq <= 2 THEN 0 ELSE 2 END GROUP BY batch")
+def store_ledger(spark, sf_dir):
+    """Each run's bytes are the new ones: what waits behind chunk 3 in the second run comes with the third."""
+    return _stored(spark, sf_dir).ledger()
+
+
+@query(f"WITH {CONV}, b AS (SELECT id, session, hex(encode(string_agg(payload, '' ORDER BY seq))) AS h FROM conv GROUP BY ALL), p AS (SELECT *, unnest(range(0, length(h) // 2, 1000)) AS pos FROM b) SELECT id, session, pos // 1000 AS part, md5(unhex(substr(h, 2 * pos + 1, 2000))) AS slice_md5 FROM p")
+def store_slices(spark, sf_dir):
+    """Logs in rows of 1,000 bytes, for logs that are larger than a row can be."""
+    return _stored(spark, sf_dir).slices(1000).select("id", "session", "part", F.md5("data").alias("slice_md5"))

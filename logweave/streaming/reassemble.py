@@ -1,7 +1,7 @@
 """Continuous sequencing: keyed state holds the last appended number and the chunks that wait behind a gap.
 
-State is (last) and a map seq -> payload in RocksDB, so a session that waits for long costs disk, not memory. The
-output has one row a chunk: `append` rows in order within their session and batch, and `stale` rows for redeliveries.
+State is (last, bytes so far) and a map seq -> payload in RocksDB, so a session that waits for long costs disk, not memory. The
+output has one row a chunk: `append` rows in order within their session and batch, with their offset in the log, and `stale` rows for redeliveries.
 """
 
 import pandas as pd
@@ -15,7 +15,7 @@ from logweave.functions.naming import base_name, parse_chunk_name
 from logweave.schema import CHUNK, CHUNK_FILE
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-OUTPUT = T.StructType([*CHUNK.fields, T.StructField("decision", T.StringType())])
+OUTPUT = T.StructType([*CHUNK.fields, T.StructField("offset", T.LongType()), T.StructField("decision", T.StringType())])
 
 
 class Sequencer(StatefulProcessor):
@@ -28,13 +28,14 @@ class Sequencer(StatefulProcessor):
         self.start = start
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", T.StructType([T.StructField("seq", T.LongType())]))
+        self.last = handle.getValueState("last", T.StructType([T.StructField("seq", T.LongType()), T.StructField("end", T.LongType())]))
         key, value = T.StructType([T.StructField("seq", T.LongType())]), T.StructType([T.StructField("payload", T.BinaryType())])
         self.waiting = handle.getMapState("waiting", key, value)
 
     def handleInputRows(self, key, rows, timerValues):
         known = self.last.exists()
-        last, out, zero = (self.last.get()[0] if known else 0), [], None
+        last, end = self.last.get() if known else (0, 0)
+        out, zero = [], None
         fresh: dict[int, bytes] = {}
         for pdf in rows:
             for seq, payload in zip(pdf["seq"], pdf["payload"], strict=True):
@@ -65,11 +66,15 @@ class Sequencer(StatefulProcessor):
             out.append((last, payload, "append"))
         for seq, payload in fresh.items():
             self.waiting.updateValue((seq,), (payload,))
+        offsets = []
+        for _, payload, word in out:
+            offsets.append(end if word == "append" else None)
+            end += len(payload) if word == "append" else 0
         if last or known:
-            self.last.update((last,))
+            self.last.update((last, end))
         if out:
             seqs, payloads, words = zip(*out, strict=True)
-            yield pd.DataFrame({"id": key[0], "session": key[1], "seq": seqs, "payload": payloads, "decision": words})
+            yield pd.DataFrame({"id": key[0], "session": key[1], "seq": seqs, "payload": payloads, "offset": pd.array(offsets, "Int64"), "decision": words})
 
     def close(self) -> None:
         pass
