@@ -56,6 +56,20 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]],
     return df.mapInArrow(run, schema)
 
 
+def text_udf(f: Callable[[list], Iterator], schema: str):
+    """A column function of whole texts: `f` turns a batch's texts into results. Other columns of the row stay in the JVM, and rows meet their results without a join."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import DataType
+
+    kind = to_arrow_type(DataType.fromDDL(schema))
+
+    @F.arrow_udf(schema)
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(list(f(texts.to_pylist())), type=kind)
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; only where spark.checkpoint.dir is unset (tests) one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)

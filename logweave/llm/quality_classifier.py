@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import durable, map_rows, text_key, texts
+from logweave.llm.common import durable, map_rows, text_udf, text_key, texts
 from logweave.llm.text_stats import Stats, measure
 from logweave.llm.weak_labels import VoterModel, fit, parse, pattern_counts
 
@@ -114,13 +114,17 @@ def prepared(docs: DataFrame) -> DataFrame:
     def rows(source):
         shapes = Shapes()
         for doc_id, text in source:
-            s = measure(text)
-            f = sorted(features(text, s, shapes).items())
-            yield doc_id, text_key(text), s.n_words, labels(s), [k for k, _ in f], [v for _, v in f]
+            yield doc_id, text_key(text), *described(text, shapes)
 
     return map_rows(docs, rows, "doc_id bigint, text_key string, n_words bigint, votes string, buckets array<int>, weights array<float>")
 
 
+def described(text: str | None, shapes: Shapes) -> tuple[int, str, list[int], list[float]]:
+    s = measure(text)
+    f = sorted(features(text, s, shapes).items())
+    return s.n_words, labels(s), [k for k, _ in f], [v for _, v in f]
+
+
 @dataclass(frozen=True)
 class Scorer:
     weights: bytes  # float32, BUCKETS of them
@@ -155,18 +159,48 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     the scorer is fitted on at most `fit_rows` texts.
     """
     rows = durable(prepared(texts(docs, id_col, text_col)))
-    counts = pattern_counts(rows.where("n_words > 0"))
-    model = fit(counts, LABELLERS)
-    some = rows.where("n_words > 0").orderBy(F.xxhash64("doc_id"), "doc_id", "votes", "n_words").limit(fit_rows).select("votes", "buckets", "weights").collect()
-    target = model.posterior(parse([r[0] for r in some])) if some else np.zeros(0)
-    scorer = train([(r[1], r[2]) for r in some], target)
+    model, scorer = fitted(rows, fit_rows)
 
     def score(source):
         w = np.frombuffer(scorer.weights, np.float32)
         for doc_id, key, n, votes, b, v in source:
-            z = float(w[b] @ np.array(v, np.float32)) + scorer.bias if n else -50.0
-            p = 1 / (1 + math.exp(-max(-50.0, min(50.0, z)))) if n else 0.0
+            p = probability(w, scorer.bias, n, b, v)
             yield doc_id, key, n, votes, p, p >= keep_at
 
     out = map_rows(rows, score, "doc_id bigint, text_key string, n_words bigint, votes string, score double, kept boolean")
     return out if with_key else out.drop("text_key"), model, scorer
+
+
+def fitted(rows: DataFrame, fit_rows: int) -> tuple[VoterModel, Scorer]:
+    counts = pattern_counts(rows.where("n_words > 0"))
+    model = fit(counts, LABELLERS)
+    some = rows.where("n_words > 0").orderBy(F.xxhash64("doc_id"), "doc_id", "votes", "n_words").limit(fit_rows).select("votes", "buckets", "weights").collect()
+    target = model.posterior(parse([r[0] for r in some])) if some else np.zeros(0)
+    return model, train([(r[1], r[2]) for r in some], target)
+
+
+def probability(w: np.ndarray, bias: float, n: int, b: list[int], v: list[float]) -> float:
+    z = float(w[b] @ np.array(v, np.float32)) + bias if n else -50.0
+    return 1 / (1 + math.exp(-max(-50.0, min(50.0, z)))) if n else 0.0
+
+
+def good_rows(docs: DataFrame, keep_at: float = KEEP_AT, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of docs (with doc_id and text) that `classify` keeps, as they were. Rows are stored beside their features, so that they meet their verdict without a join."""
+
+    shapes = Shapes()  # goes to each task empty, and stays for its batches
+
+    def describe(some: list):
+        for text in some:
+            n, votes, b, v = described(text, shapes)
+            yield {"n_words": n, "votes": votes, "buckets": b, "weights": v}
+
+    found = text_udf(describe, "struct<n_words:bigint,votes:string,buckets:array<int>,weights:array<float>>")
+    rows = durable(docs.select(F.struct("*").alias("row"), found(F.col("text")).alias("found")))
+    _, scorer = fitted(rows.select(F.col("row.doc_id").alias("doc_id"), "found.*"), fit_rows)
+
+    def verdicts(some: list):
+        w = np.frombuffer(scorer.weights, np.float32)
+        for x in some:
+            yield probability(w, scorer.bias, x["n_words"], x["buckets"], x["weights"]) >= keep_at
+
+    return rows.where(text_udf(verdicts, "boolean")(F.col("found"))).select("row.*")

@@ -82,7 +82,7 @@ i AS (SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS nr FROM e),
 runs AS (SELECT r, min(p) AS a, max(p) + 400 AS b FROM i GROUP BY r, nr),
 b AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before FROM runs),
 t AS (SELECT b.r, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, max(b) AS done, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM b JOIN d USING (r) GROUP BY b.r)
-SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(done, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN t USING (r)""",
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(done, 0) + 1))) AS kept_sha256, try(decode(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(done, 0) + 1)))) AS text FROM d LEFT JOIN t USING (r)""",
     "op11_ngram_join": r"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 g AS (SELECT DISTINCT r, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM d WHERE len(w) > 0)),

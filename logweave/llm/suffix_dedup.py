@@ -1,9 +1,9 @@
-"""Exact removal of long repeats by distributed prefix doubling over anchored positions.
+"""Removal of long repeats by distributed prefix doubling over anchored positions.
 
 A byte goes if a string of `span` bytes over it also starts elsewhere. Plain prefix doubling ranks every byte position, sorts
 pairs (rank of a prefix, rank of the prefix that follows) and ranks anew at growing offsets. Here positions are first tied to
-anchors, so that a few rows stand for hundreds of positions, and ranks are 128-bit names of the strings, which need no
-global order:
+anchors, so that a few rows stand for hundreds of positions, and ranks are 128-bit names of the strings (equal names are taken for equal strings), which
+need no global order:
 
 1. Each start of a `span`-byte string belongs to an anchor, the place of the least hash of GRAM bytes in the string. Equal
    strings have their anchor at the same distance. Starts of an anchor at distances j * step ... (j + 1) * step - 1 are a
@@ -99,20 +99,27 @@ def _tables(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 class Names:
-    """64-bit names of any substring of at least 8 bytes, from sums over mixed 8-byte groups; of words, of any substring."""
+    """Two 64-bit names of any substring of at least 9 bytes, from sums over mixed 8-byte groups; of words, of any substring of at least two.
+
+    The first sums up values of groups, the second values of pairs of neighbours, mixed apart from those. So orders of two words whose sums of
+    powers cancel out in one name (as in a Thue-Morse sequence) don't do so in the other.
+    """
 
     def __init__(self, data: np.ndarray, both: bool = True):
         self.reach = 7 if data.dtype == np.uint8 else 0
         n = max(0, len(data) - self.reach)
         groups = data if not self.reach else np.ndarray((n,), "<u8", data.tobytes(), strides=(1,)) if n else np.zeros(0, _U)
-        mixed = _mix(groups.astype(_U))
+        groups = groups.astype(_U)
+        mixed = [_mix(groups)]
+        if both:
+            mixed.append(_mix(_mix(groups[:-1] ^ _U(0xA24BAED4963EE407)) * _U(0x9FB21C651E98DF25) + groups[1:]))
         self.sums, self.back = [], []
-        for powers, inverse in _tables(len(data) + 1)[: 2 if both else 1]:
-            self.sums.append(np.concatenate((np.zeros(1, _U), np.cumsum(mixed * powers[:n], dtype=_U))))
+        for values, (powers, inverse) in zip(mixed, _tables(len(data) + 1), strict=False):
+            self.sums.append(np.concatenate((np.zeros(1, _U), np.cumsum(values * powers[: len(values)], dtype=_U))))
             self.back.append(inverse)
 
     def of(self, start: np.ndarray, end: np.ndarray, k: int = 0) -> np.ndarray:
-        return _mix((self.sums[k][end - self.reach] - self.sums[k][start]) * self.back[k][start])
+        return _mix((self.sums[k][end - self.reach - k] - self.sums[k][start]) * self.back[k][start])
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -337,14 +344,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
 
 
 def digests(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """The query's columns; long ones never leave the worker."""
+    """The query's columns, and the remaining text (null where a cut fell inside a character)."""
 
     def shape(doc_id, text, runs):
         data = encoded(text)
         kept = cut(data, runs)
-        return doc_id, len(data), len(data) - len(kept), len(runs), sha256(kept).hexdigest()
+        try:
+            left = kept.decode()
+        except UnicodeDecodeError:
+            left = None
+        return doc_id, len(data), len(data) - len(kept), len(runs), sha256(kept).hexdigest(), left
 
-    return with_runs(texts(docs), shape, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", span=span)
+    return with_runs(texts(docs), shape, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text string", span=span)
 
 
 def cleaned(docs: DataFrame, words: int = WORDS) -> DataFrame:

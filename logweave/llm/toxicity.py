@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import map_rows, text_key, texts
+from logweave.llm.common import map_rows, text_udf, text_key, texts
 
 #: Bounds of what is fitted: labelled rows (those with the least hash of their id). Examples to a block, neighbours, queries at a time.
 FIT_ROWS, BLOCK, NEAREST, QUERIES = 6_000, 64, 25, 64
@@ -302,19 +302,39 @@ def score(docs: DataFrame, model: Model, toxic_at: float = TOXIC_AT) -> DataFram
     def rows(source):
         m, known = shared.value, {}
         for some in several(source, QUERIES):
-            keys = [text_key(text) for _, text in some]
-            if len(known) > MOST_KNOWN:
-                known.clear()
-            fresh = {key: text for key, (_, text) in zip(keys, some, strict=True) if key not in known}
-            for key, near in zip(fresh, m.index.nearest_of([m.vector(text) for text in fresh.values()]), strict=True):
-                known[key] = (m.calibrated(m.raw(near)), [(m.examples[-i].doc_id, c, m.examples[-i].toxic / m.examples[-i].n) for c, i in near[:5]])
+            keys = found(m, known, [text for _, text in some])
             for key, (doc_id, _) in zip(keys, some, strict=True):
-                found = known[key]
-                yield doc_id, key, found[0], int(found[0] >= toxic_at), [{"doc_id": a, "cosine": b, "toxic": c} for a, b, c in found[1]]
+                p, near = known[key]
+                yield doc_id, key, p, int(p >= toxic_at), [{"doc_id": a, "cosine": b, "toxic": c} for a, b, c in near]
 
     return map_rows(docs, rows, "doc_id bigint, text_key string, score double, predicted int, evidence array<struct<doc_id:bigint,cosine:double,toxic:double>>")
 
 
+def found(m: Model, known: dict, some: list) -> list[str]:
+    """The texts' keys; adds to `known` what is found of those that are not there: (score, evidence)."""
+    keys = [text_key(text) for text in some]
+    if len(known) > MOST_KNOWN:
+        known.clear()
+    fresh = {key: text for key, text in zip(keys, some, strict=True) if key not in known}
+    for key, near in zip(fresh, m.index.nearest_of([m.vector(text) for text in fresh.values()]), strict=True):
+        known[key] = (m.calibrated(m.raw(near)), [(m.examples[-i].doc_id, c, m.examples[-i].toxic / m.examples[-i].n) for c, i in near[:5]])
+    return keys
+
+
+def clean_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, toxic_at: float = TOXIC_AT) -> DataFrame:
+    """The rows of docs (with doc_id and text) that are not predicted toxic, as they were. One pass over the texts, no shuffle: rows wait in the JVM for their verdict."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(texts(docs), labels, fit_rows))
+
+    known: dict = {}  # goes to each task empty, and stays for its batches
+
+    def verdicts(some: list):
+        for part in several(some, QUERIES):
+            for key in found(shared.value, known, part):
+                yield int(known[key][0] >= toxic_at)
+
+    return docs.where(text_udf(verdicts, "int")(F.col("text")) == 0)
+
+
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, with_key: bool = False) -> DataFrame:
     """Fits on the labelled documents and scores all: (doc_id, held_out, score, predicted, evidence; text_key if asked for). Other columns are not read."""
     clean = texts(docs, id_col, text_col)
