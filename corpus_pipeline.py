@@ -3,7 +3,6 @@
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from logweave.llm import best_fit, minhash, quality_classifier, suffix_dedup, toxicity
 from logweave.llm.common import shared_dir, table
@@ -12,18 +11,12 @@ from logweave.llm.common import shared_dir, table
 ORACLE_SQL = None
 
 
-def _only(docs: DataFrame, judged: DataFrame, keep) -> DataFrame:
-    """Rows that are kept. Verdicts go by the text alone, so a row's own verdict is found by its id (null, too) and its text's digest."""
-    bad = judged.where(~keep).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")) == F.col("_key")), "left_anti")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, toxicity.judged(docs, table(spark, sf_dir, "labels"), with_key=True), F.col("predicted") == 0)
+    return toxicity.clean_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, quality_classifier.classify(docs, with_key=True)[0], F.col("kept"))
+    return quality_classifier.good_rows(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
