@@ -1,5 +1,6 @@
 """Every operator as a query over the test tables, with the same in SQL."""
 
+import os
 import shutil
 import tempfile
 import uuid
@@ -477,3 +478,43 @@ def store_ledger(spark, sf_dir):
 def store_slices(spark, sf_dir):
     """Logs in rows of 1,000 bytes, for logs that are larger than a row can be."""
     return _stored(spark, sf_dir).slices(1000).select("id", "session", "part", F.md5("data").alias("slice_md5"))
+
+
+@query(f"WITH {CONV} SELECT id || '.' || session AS id, md5(string_agg(payload, '' ORDER BY seq)) AS body_md5, sum(octet_length(encode(payload)))::BIGINT AS bytes FROM conv GROUP BY id, session HAVING sum(octet_length(encode(payload))) > 0")
+def tail_stream(spark, sf_dir):
+    """Files that grow and are rotated, tailed by a running stream in two runs: what it has read is what was written, each byte once."""
+    from logweave.sources.files import write_logs
+    from logweave.sources.tail_source import TailSource
+    from logweave.streaming.reassemble import run_available
+
+    base, rows = shared_folder(spark), conversations(spark, sf_dir)
+    logs = lambda which: write_logs(assemble.bodies(rows.where(which)), f"{base}/logs")
+    logs("seq <= 2")
+    paths = sorted(f"{base}/logs/{name}" for name in os.listdir(f"{base}/logs"))
+    spark.dataSource.register(TailSource)
+
+    def run():
+        stream = spark.readStream.format("logtail").option("paths", ",".join(paths)).option("session", "1").option("startingOffsets", "earliest").load()
+        run_available(spark, stream, f"{base}/out", f"{base}/state")
+
+    run()
+    for path in paths:
+        os.rename(path, f"{path}.1")
+    logs("seq > 2")
+    run()
+    read = chunks.byte_offsets(spark.read.parquet(f"{base}/out"))
+    return assemble.bodies(read).select("id", F.md5("body").alias("body_md5"), F.octet_length("body").cast("bigint").alias("bytes"))
+
+
+@query(f"WITH {CONV} SELECT id, session, seq, CASE WHEN seq % 2 = 1 THEN 'first' ELSE 'second' END AS run FROM conv")
+def stream_files(spark, sf_dir):
+    """Chunk files through the file stream: each run takes the files that are new, once."""
+    from logweave.sources.files import write_chunk_files
+    from logweave.streaming.reassemble import chunk_file_stream, run_available
+
+    base, rows = shared_folder(spark), conversations(spark, sf_dir)
+    for name, which in (("first", "seq % 2 = 1"), ("second", "seq % 2 = 0")):
+        write_chunk_files(rows.where(which), f"{base}/cache")
+        stream = chunk_file_stream(spark, f"{base}/cache", 1000).withColumn("run", F.lit(name))
+        run_available(spark, stream, f"{base}/out", f"{base}/state")
+    return spark.read.parquet(f"{base}/out").select("id", "session", "seq", "run")
