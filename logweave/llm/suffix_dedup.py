@@ -14,7 +14,7 @@ need no global order:
    split, and go on with longer cores (with a witness of the done blocks that share their core); at step 1 core, hull and string are one.
 
 So only places where repeats begin or end are ever looked at closely, and copies of whole documents are done in the first
-round. Counts are pre-aggregated, and rows learn of them by joins that Spark splits where a rank is hot.
+round. Counts are pre-aggregated, and rows learn of them by joins in which the rows of a hot rank are dealt over many tasks (`known`).
 
 Strings are of bytes, or of words: then a text is an array of 64-bit names of its words, and all lengths are in words.
 All copies of a string may go, or all but the first: then a block goes if an equal one is at an earlier place, and the earliest of
@@ -38,6 +38,8 @@ GRAM, WORD_GRAM = 24, 3
 MOST_WORDS = 300_000
 #: Bytes of text that are hashed at once.
 SLAB = 1 << 19
+#: Joins deal the rows of a rank over tasks in pieces of at most about a PARTS-th of all rows.
+PARTS = 4096
 _PLACE = (1 << 21) - 1
 _U = np.uint64
 _BASES = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
@@ -224,29 +226,46 @@ def _settle(rows: DataFrame, last: bool, keep_first: bool) -> tuple[DataFrame, D
     Where all copies go, equal blocks that are done leave one of them behind as a witness if their core has open blocks, too: those may
     yet share shorter strings with it. Where the first stays, it is still open if its core has other blocks.
     """
+    own = ["doc_key", "text_key", "place", "low", "high"]
     if not last:
-        often = rows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-        rows = durable(rows.join(often, "core", "left_semi"))
-    else:
-        rows = durable(rows)
-    own = F.struct("doc_key", "text_key", "place", "low", "high")
-    hulls = durable(rows.groupBy("core", "hull", "hull2").agg(F.count("*").alias("n"), F.max("witness").alias("witness"), F.min(own).alias("one")))
+        often = rows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
+        rows = known(rows, often, ["core"], own)
+    rows = durable(rows)
+    hulls = durable(rows.groupBy("core", "hull", "hull2").agg(F.count("*").alias("n"), F.max("witness").alias("witness"), F.min(F.struct(*own)).alias("one")))
+    pair = ["hull", "hull2"]
     if keep_first:
-        first = hulls.where("n > 1").select("hull", "hull2", "one")
-        done = rows.join(first, ["hull", "hull2"]).where(own != F.col("one")).select(*KEY, "place", "low", "high")
-        mixed = hulls.groupBy("core").agg(F.count("*").alias("m")).where("m > 1").select("core")
-        return done, None if last else hulls.join(mixed, "core", "left_semi").select("one.*", F.lit(False).alias("witness"))
-    twice = hulls.where("n > 1").select("hull", "hull2")
-    done = rows.where("not witness").join(twice, ["hull", "hull2"], "left_semi").select(*KEY, "place", "low", "high")
+        first = known(rows, hulls.where("n > 1").select(*pair, "n", "one"), pair, own, "inner")
+        done = first.where(F.struct(*own) != F.col("one")).select(*KEY, "place", "low", "high")
+        if last:
+            return done, None
+        mixed = hulls.groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
+        return done, known(hulls, mixed, ["core"], pair).select("one.*", F.lit(False).alias("witness"))
+    done = known(rows.where("not witness"), hulls.where("n > 1").select(*pair, "n"), pair, own).select(*KEY, "place", "low", "high")
     if last:
         return done, None
-    alone = "n = 1 and not witness"
+    alone = F.expr("n = 1 and not witness")
     open_ = hulls.where(alone).select("one.*", F.lit(False).alias("witness"))
-    wanted = hulls.where(alone).select("core").distinct()
-    seen = hulls.where(f"not ({alone})").join(wanted, "core", "left_semi").select("one.*", F.lit(True).alias("witness"))
+    wanted = hulls.groupBy("core").agg(F.count_if(~alone).alias("n"), F.bool_or(alone).alias("_any")).where("_any and n > 0").select("core", "n")
+    seen = known(hulls.where(~alone), wanted, ["core"], pair).select("one.*", F.lit(True).alias("witness"))
     return done, open_.unionByName(seen)
 
 
+def known(rows: DataFrame, keys: DataFrame, on: list[str], own: list[str], how: str = "left_semi") -> DataFrame:
+    """rows that have one of the keys, with no task's share larger for a hot key. keys: (on, n, ...), n being how many rows have the key.
+
+    A key of more than a PARTS-th of all n is hot: there are fewer than PARTS of these, whatever the data, so they are broadcast; its rows
+    are dealt by `own` (columns that tell them apart) over n * PARTS / total pieces, and the key is repeated for each piece, at most
+    2 * PARTS rows in all.
+    """
+    keys = durable(keys)
+    total = keys.agg(F.sum("n")).first()[0] or 1
+    pieces = F.ceil(F.col("n") * PARTS / total)
+    hot = keys.where(F.col("n") * PARTS > total).select(*on, pieces.alias("_pieces"))
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_piece", F.coalesce(F.pmod(F.xxhash64(*own), "_pieces"), F.lit(0))).drop("_pieces")
+    each = keys.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1))).drop("n")
+    return dealt.join(each, [*on, "_piece"], how).drop("_piece")
+
+
 KEY = ["doc_key", "text_key"]
 
 

@@ -4,7 +4,9 @@ from hashlib import sha256
 import numpy as np
 import pytest
 from brute import removed
+from pyspark.sql import functions as F
 
+from logweave.llm import suffix_dedup
 from logweave.llm.suffix_dedup import cleaned, dedup, digests
 
 
@@ -32,8 +34,10 @@ def fixture(seed):
     return out + out[10:13]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_equals_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "parts"), [(1, 4096), (2, 4096), (3, 1), (4, 40)])
+def test_equals_brute_force(spark, seed, parts, monkeypatch):
+    """parts: with 1 no rank is hot, with 4,096 every one, with 40 some are."""
+    monkeypatch.setattr(suffix_dedup, "PARTS", parts)
     texts = fixture(seed)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     rows = {r.doc_id: r for r in digests(df).collect()}
@@ -164,3 +168,17 @@ def test_orders_of_two_words_that_sums_of_powers_confuse(spark, monkeypatch):
     named = [s.Names(s.of_words(t)) for t in texts]
     ends = np.array([0]), np.array([632])
     assert named[0].of(*ends, 1) != named[1].of(*ends, 1)
+
+
+def test_rows_of_a_hot_key_are_dealt_over_pieces(spark, monkeypatch):
+    """A key of half of all rows, many of a few rows, one without rows: the same rows as a plain join, the hot key's in many pieces."""
+    monkeypatch.setattr(suffix_dedup, "PARTS", 64)
+    rows = spark.range(20_000).selectExpr("id", "if(id % 2 = 0, -1, id % 3000) as k", "id as place")
+    keys = rows.groupBy("k").agg(F.count("*").alias("n")).where("k = -1 or k % 3 = 0")
+    got = suffix_dedup.known(rows, keys, ["k"], ["id", "place"])
+    assert sorted(r.id for r in got.collect()) == [i for i in range(20_000) if i % 2 == 0 or i % 3000 % 3 == 0]
+    joined = suffix_dedup.known(rows, keys.withColumn("more", F.col("k") + 1), ["k"], ["id"], "inner").select("id", "k", "more").collect()
+    assert len(joined) == got.count() and all(r.more == r.k + 1 for r in joined)
+    assert suffix_dedup.known(rows, keys.where("false"), ["k"], ["id"]).isEmpty()
+    dealt = next(x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "LeftSemi" in x)
+    assert "_piece" in dealt
