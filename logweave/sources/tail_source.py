@@ -1,20 +1,26 @@
 """A streaming source that tails files: one chunk of at most 64 KiB for each file and read.
 
-Offsets are JSON: {path: [inode, position, seq]}. The engine commits them with the batch, so no byte is lost when a
+Offsets are JSON: {path: [inode, position, seq, mark, life]}. The engine commits them with the batch, so no byte is lost when a
 sink fails, and a batch can be read again from its offsets. Files present at the start are read from their end
 (startingOffsets=latest) or start (earliest); later files always from 0. A rotated file is found by its inode in its folder and
-read to its end before the new one starts at 0; its inode stays in the offset until then. Truncated files start again at 0.
-Numbers go on. A read whose file is gone or too short fails. Not seen: a rotated file that was deleted, moved to another folder or
-followed by a second rotation before the next look, and bytes written to a rotated file after its end was reached.
+read to its end before the new one starts at 0; its inode stays in the offset until then. Truncated files start again at 0, and so
+do those that have grown past the position since: the mark is a digest of the file's first bytes and of those before the position (MARK of
+each), looked at again whenever there is more to read. The life counts such starts. Numbers go on. A read whose file is gone or too
+short fails. Not seen: a rotated file that was deleted, moved to another folder or followed by a second rotation before the next
+look, bytes written to a rotated file after its end was reached, and a file written anew with the same bytes at both places of the mark.
 """
 
 import os
+from hashlib import blake2b
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 from logweave.schema import CHUNK, MAX_CHUNK
 
+#: Bytes at each of the two places of a mark.
+MARK = 4096
+
 
 class Piece(InputPartition):
     def __init__(self, path: str, inode: int, start: int, end: int, seq: int, session: int, size: int):
@@ -42,6 +48,18 @@ def located(path: str, inode: int) -> str | None:
         return None
 
 
+def mark(path: str, position: int) -> str:
+    """Digest of the bytes that tell whether what lies before the position is still what was read; of a file that is too short, of what it has."""
+    head = min(MARK, position)
+    try:
+        with open(path, "rb") as f:
+            first = f.read(head)
+            f.seek(max(head, position - MARK))
+            return blake2b(b"%d:%b%b" % (len(first), first, f.read(position - f.tell())), digest_size=16).hexdigest()
+    except OSError:
+        return ""
+
+
 class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.paths = [x.strip() for x in options["paths"].split(",") if x.strip()]
@@ -53,7 +71,8 @@ class TailReader(DataSourceStreamReader):
 
     def initialOffset(self) -> dict:
         found = {p: identity(p) for p in self.paths}
-        return {p: [x[0], x[1] if self.latest else 0, 0] for p, x in found.items() if x}
+        starts = {p: (x[0], x[1] if self.latest else 0) for p, x in found.items() if x}
+        return {p: [inode, at, 0, mark(p, at), 0] for p, (inode, at) in starts.items()}
 
     def latestOffset(self) -> dict:
         self.current = self.current if self.current is not None else self.initialOffset()
@@ -63,9 +82,9 @@ class TailReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict):
         self.current = end
         out = []
-        for path, (inode, at, seq) in end.items():
-            old, was, before = start.get(path, [None, 0, 0])
-            begin = was if old == inode and at >= was else 0
+        for path, (inode, at, seq, _, life) in end.items():
+            old, was, before, _, lived = start.get(path, [None, 0, 0, "", 0])
+            begin = was if old == inode and life == lived else 0
             if seq > before:
                 out.append(Piece(path, inode, begin, at, before, self.session, self.size))
         return out
@@ -103,11 +122,14 @@ def advance(offsets: dict, paths: list[str], limit: int, size: int) -> dict:
                 out[path] = known
             continue
         inode, length = found
-        old, at, seq = known or [inode, 0, 0]
-        if old != inode or length < at:
-            at = 0
+        old, at, seq, was, life = known or [inode, 0, 0, "", 0]
+        there = located(path, inode) or path
+        if old != inode:
+            at, life = 0, 0
+        elif length < at or length > at and at and mark(there, at) != was:
+            at, life = 0, life + 1
         end = min(length, at + limit)
-        out[path] = [inode, end, seq + -(-(end - at) // size)]
+        out[path] = [inode, end, seq + -(-(end - at) // size), mark(there, end), life] if end != at or old != inode or at == 0 else [inode, at, seq, was, life]
     return out
 
 

@@ -2,7 +2,8 @@ import os
 
 import pytest
 
-from logweave.sources.tail_source import TailReader
+from logweave.sources.tail_source import TailReader, TailSource
+from logweave.streaming.reassemble import run_available
 
 
 def reader(path, **more):
@@ -68,3 +69,63 @@ def test_truncated_and_late_files(tmp_path):
     path.open("r+b").truncate(2)
     with pytest.raises(OSError):
         [x for p in parts for x in r.read(p)]
+
+
+@pytest.mark.parametrize("before", [b"0123456789", b"head" * 2000, b"x" * 20_000])
+@pytest.mark.parametrize("after", [b"another text that is longer than the position was " * 500, b"0123456789" * 3000])
+def test_truncated_and_grown_past_the_position(tmp_path, before, after):
+    path = tmp_path / "a.log"
+    path.write_bytes(before)
+    r = reader(path, chunksize="1000")
+    at, rows = drained(r, r.initialOffset())
+    with path.open("r+b") as f:
+        f.truncate(0)
+        f.write(after)
+    at, more = drained(r, at)
+    # Where the old bytes are the new ones' beginning, the file has only grown.
+    grown = after.startswith(before)
+    assert b"".join(x[3] for x in more) == (after[len(before) :] if grown else after)
+    assert [x[2] for x in rows + more] == list(range(1, len(rows) + len(more) + 1))
+    assert at[str(path)][4] == (0 if grown else 1)
+
+
+def test_same_length_is_seen_when_it_grows(tmp_path):
+    path = tmp_path / "a.log"
+    path.write_bytes(b"old line\n")
+    r = reader(path)
+    at, _ = drained(r, r.initialOffset())
+    path.open("r+b").write(b"new line\n")
+    at, rows = drained(r, at)
+    assert rows == []  # nothing to read yet
+    with path.open("ab") as f:
+        f.write(b"more\n")
+    assert b"".join(x[3] for x in drained(r, at)[1]) == b"new line\nmore\n"
+
+
+def test_written_anew_twice_and_read_in_parts(tmp_path):
+    path = tmp_path / "a.log"
+    path.write_bytes(b"a" * 10)
+    r = reader(path, maxreads="2")
+    at, rows = drained(r, r.initialOffset())
+    for text in (b"b" * 30, b"c" * 40):
+        path.write_bytes(text)
+        at, more = drained(r, at)
+        rows += more
+    assert b"".join(x[3] for x in rows) == b"a" * 10 + b"b" * 30 + b"c" * 40
+    assert [x[2] for x in rows] == list(range(1, len(rows) + 1)) and at[str(path)][4] == 2
+
+
+def test_file_written_anew_between_runs_of_a_stream(spark, tmp_path):
+    spark.dataSource.register(TailSource)
+    path = tmp_path / "a.log"
+
+    def run(data):
+        path.open("r+b" if path.exists() else "wb").truncate(0)
+        path.write_bytes(data)
+        stream = spark.readStream.format("logtail").option("paths", str(path)).option("session", "1").option("startingOffsets", "earliest").load()
+        run_available(spark, stream, f"{tmp_path}/out", f"{tmp_path}/state")
+        return [bytes(x.payload) for x in spark.read.parquet(f"{tmp_path}/out").orderBy("seq").collect()]
+
+    assert run(b"one\n") == [b"one\n"]
+    assert run(b"a longer file\n") == [b"one\n", b"a longer file\n"]
+    assert run(b"a longer file\nand its next line\n")[2:] == [b"and its next line\n"]
