@@ -418,6 +418,19 @@ def scan_listing(spark, sf_dir):
     return chunk_files.list_chunks(spark, _chunk_folder(spark, sf_dir)).select("name", "id", "session", "seq", "ok")
 
 
+@query(f"WITH {CONV} SELECT id, session, seq, CASE WHEN seq % 2 = 1 THEN md5(payload) ELSE md5(payload || '!') END AS payload_md5, 0::BIGINT AS seen_before FROM conv")
+def write_recovered(spark, sf_dir):
+    """Two jobs that are lost between commit and publication, of which the second replaces the even chunks: the next publication finishes both, in order."""
+    from logweave.sources.files import chunk_rows, publish, stage
+
+    folder, rows = f"{shared_folder(spark)}/cache", conversations(spark, sf_dir)
+    stage(chunk_rows(rows), folder)
+    stage(chunk_rows(rows.where("seq % 2 = 0").withColumn("payload", F.concat("payload", F.encode(F.lit("!"), "utf-8")))), folder)
+    before = chunk_files.read_chunks(spark, folder).count()
+    publish(spark, folder)
+    return chunk_files.read_chunks(spark, folder).select("id", "session", "seq", F.md5("payload").alias("payload_md5"), F.lit(before).cast("bigint").alias("seen_before"))
+
+
 def _streamed(spark, sf_dir) -> DataFrame:
     from logweave.streaming.reassemble import run_available, sequenced
 
@@ -490,7 +503,7 @@ def tail_stream(spark, sf_dir):
     base, rows = shared_folder(spark), conversations(spark, sf_dir)
     logs = lambda which: write_logs(assemble.bodies(rows.where(which)), f"{base}/logs")
     logs("seq <= 2")
-    paths = sorted(f"{base}/logs/{name}" for name in os.listdir(f"{base}/logs"))
+    paths = sorted(f"{base}/logs/{name}" for name in os.listdir(f"{base}/logs") if not name.startswith("_"))
     spark.dataSource.register(TailSource)
 
     def run():

@@ -3,7 +3,6 @@
 The outcome table says of every file whether it may go (`delete`) or is tried again (`retry`), and how long the receiver wants us to wait.
 """
 
-import os
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -12,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from logweave.operators.pump import outcomes, present
+from logweave.sources.files import store
 
 #: A receiver gets a path and its bytes, and answers with a code and a text.
 Uploader = Callable[[str, bytes], tuple[int, str]]
@@ -54,12 +54,13 @@ def push(spark: SparkSession, queue: DataFrame, folder: str, uploader: Uploader)
 
 
 def consume(delivered: DataFrame) -> None:
-    """Deletes the files of an outcome table that may go, on the executors, which must see the folder; one that has gone is done already."""
+    """Deletes the files of an outcome table that may go, on the executors, in any store that `files.store` opens; one that has gone is done already."""
 
     def each(rows):
         for r in rows:
+            at, path = store(r.path)
             try:
-                os.remove(r.path.removeprefix("file:"))
+                at.delete_file(path)
             except FileNotFoundError:
                 pass
 
