@@ -5,6 +5,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -431,6 +432,28 @@ def write_recovered(spark, sf_dir):
     return chunk_files.read_chunks(spark, folder).select("id", "session", "seq", F.md5("payload").alias("payload_md5"), F.lit(before).cast("bigint").alias("seen_before"))
 
 
+def _receiver(path: str, body: bytes) -> tuple[int, str]:
+    """Refuses chunk files whose number ends in 3."""
+    return (503, "Throttle: 5") if path.endswith("3.pbData") else (200, "Throttle: 0")
+
+
+@query(f"WITH {CONV} SELECT id || '_' || session || '_' || seq || '.pbData' AS name, CASE WHEN seq % 10 = 3 THEN 2 ELSE 1 END AS attempts, CASE WHEN seq % 10 = 3 THEN 503 ELSE 200 END AS code, CASE WHEN seq % 10 = 3 THEN 'retry' ELSE 'delete' END AS action, seq % 10 = 3 AS still_there FROM conv")
+def delivery_rounds(spark, sf_dir):
+    """Chunk files pushed in three rounds by drivers that were lost before they deleted: the second has nothing due, the third tries again what was refused; then the sweep."""
+    from logweave.streaming.delivery import Deliveries
+
+    base = shared_folder(spark)
+    folder = _chunk_folder(spark, sf_dir)
+    start = datetime(2024, 1, 1)
+    for seconds in (0, 4, 5):
+        Deliveries(spark, f"{base}/deliveries").send(chunk_files.list_chunks(spark, folder), folder, _receiver, start + timedelta(seconds=seconds))
+    done = Deliveries(spark, f"{base}/deliveries")
+    done.sweep(chunk_files.list_chunks(spark, folder))
+    left = chunk_files.list_chunks(spark, folder).select("path", F.lit(True).alias("_there"))
+    name = naming.base_name(F.col("path"))
+    return done.states().join(left, "path", "left").select(name.alias("name"), "attempts", "code", "action", F.coalesce("_there", F.lit(False)).alias("still_there"))
+
+
 def _streamed(spark, sf_dir) -> DataFrame:
     from logweave.streaming.reassemble import run_available, sequenced
 
