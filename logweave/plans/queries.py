@@ -520,14 +520,14 @@ def store_slices(spark, sf_dir):
 def tail_stream(spark, sf_dir):
     """Files that grow and are rotated, tailed by a running stream in two runs: what it has read is what was written, each byte once."""
     from logweave.sources.files import write_logs
-    from logweave.sources.tail_source import TailSource
+    from logweave.sources.tail_source import register
     from logweave.streaming.reassemble import run_available
 
     base, rows = shared_folder(spark), conversations(spark, sf_dir)
     logs = lambda which: write_logs(assemble.bodies(rows.where(which)), f"{base}/logs")
     logs("seq <= 2")
     paths = sorted(f"{base}/logs/{name}" for name in os.listdir(f"{base}/logs") if not name.startswith("_"))
-    spark.dataSource.register(TailSource)
+    register(spark)
 
     def run():
         stream = spark.readStream.format("logtail").option("paths", ",".join(paths)).option("session", "1").option("startingOffsets", "earliest").load()

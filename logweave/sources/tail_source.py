@@ -11,8 +11,11 @@ look, bytes written to a rotated file after its end was reached, and a file writ
 """
 
 import os
+import sys
 from hashlib import blake2b
 
+from pyspark import cloudpickle
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -145,3 +148,9 @@ class TailSource(DataSource):
 
     def streamReader(self, schema: StructType) -> TailReader:
         return TailReader(dict(self.options))
+
+
+def register(spark: SparkSession) -> None:
+    """Registers the source so that it also runs where the package is no more than a file given to executors: the process that plans a stream doesn't see those."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    spark.dataSource.register(TailSource)
