@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweave.operators import segments
 from logweave.operators.running import SPAN, running_total
 from logweave.schema import KEYS, MAX_CHUNK
 
@@ -44,19 +45,18 @@ def byte_offsets(df: DataFrame) -> DataFrame:
     return running_total(df, ["id", "session"], "seq", size, "offset").withColumn("end", F.col("offset") + size)
 
 
-def merge_sets(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
-    """Merges two sets of chunks by key; where both have a key, b's value stays."""
-    left = a.select(*KEYS, F.col(value).alias("_a"), F.lit(True).alias("_in_a"))
-    right = b.select(*KEYS, F.col(value).alias("_b"), F.lit(True).alias("_in_b"))
-    both = left.join(right, list(KEYS), "full")
-    return both.select(*KEYS, F.when(F.col("_in_b"), F.col("_b")).otherwise(F.col("_a")).alias(value), (F.col("_in_a") & F.col("_in_b")).isNotNull().alias("in_both"))
+def merge_sets(a: DataFrame, b: DataFrame, value: str, *arrival: str | Column) -> DataFrame:
+    """Merges two sets of chunks by key, as segments; where both have a key, b's value stays. arrival: orders the copies of a key within a set."""
+    both = segments.merge(segments.segments_of(a, value, *arrival), segments.segments_of(b, value, *arrival))
+    return segments.entries(both, value).withColumnRenamed("shared", "in_both")
 
 
-def nested_map(df: DataFrame, value: str) -> DataFrame:
-    """One row for each (id, session): a map from seq to value, in order of seq; of equal seqs the largest value stays."""
-    one = df.groupBy(*KEYS).agg(F.max(value).alias(value))
-    pairs = F.array_sort(F.collect_list(F.struct("seq", value)))
-    return one.groupBy("id", "session").agg(F.map_from_entries(pairs).alias("by_seq"))
+def joined_values(df: DataFrame, value: str, *arrival: str | Column, between: str = "=", after: str = ",") -> DataFrame:
+    """(id, session, chunks): a log's map from seq to value as text, in order of seq, put together from its segments; null values are left out."""
+    held = segments.segments_of(df, value, *arrival)
+    pair = F.transform(F.arrays_zip("at", "values"), lambda e: F.concat((F.col("part") * segments.SEGMENT + e["at"]).cast("string"), F.lit(between), e["values"]))
+    texts = held.select("id", "session", "part", F.array_join(pair, after).alias("_text"))
+    return texts.groupBy("id", "session").agg(F.array_join(F.array_sort(F.collect_list(F.struct("part", "_text")))["_text"], after).alias("chunks"))
 
 
 def session_ranks(df: DataFrame) -> DataFrame:

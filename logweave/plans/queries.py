@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions import naming, throttle
 from logweave.functions.codec import decode_chunk, encode_chunk
-from logweave.operators import assemble, chunks, digest_tree, pump, sequencing, tail
+from logweave.operators import assemble, chunks, digest_tree, pump, segments, sequencing, tail
 from logweave.plans.flow import rebuild
 from logweave.plans.views import CONV, EVT, LINE, ONE, SESSION, conversations, events, orders, table
 from logweave.sources import chunk_files
@@ -265,17 +265,38 @@ def ingest_count(spark, sf_dir):
 
 @query(f"WITH {LINE}, k AS (SELECT id, session, seq, max(payload) AS p FROM line GROUP BY ALL) SELECT id, session, string_agg(seq || '=' || p, ',' ORDER BY seq) AS chunks FROM k GROUP BY ALL")
 def nested_group(spark, sf_dir):
-    nested = chunks.nested_map(orders(spark, sf_dir).withColumn("payload", text()), "payload")
-    pairs = F.transform(F.array_sort(F.map_entries("by_seq")), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"]))
-    return nested.select("id", "session", F.array_join(pairs, ",").alias("chunks"))
+    return chunks.joined_values(orders(spark, sf_dir).withColumn("payload", text()), "payload")
 
 
 @query(f"WITH {ONE}, a AS (SELECT * FROM one WHERE l_orderkey % 3 < 2), b AS (SELECT * FROM one WHERE l_orderkey % 3 > 0) SELECT coalesce(a.id, b.id) AS id, coalesce(a.seq, b.seq) AS seq, CASE WHEN b.id IS NOT NULL THEN 'b:' || b.payload ELSE 'a:' || a.payload END AS payload, a.id IS NOT NULL AND b.id IS NOT NULL AS in_both FROM a FULL JOIN b ON a.id = b.id AND a.seq = b.seq")
 def merge_chunk_sets(spark, sf_dir):
-    one = chunks.dedup_last_write(orders(spark, sf_dir), *ARRIVAL)
-    a = one.where("l_orderkey % 3 < 2").withColumn("payload", F.concat(F.lit("a:"), text()))
-    b = one.where("l_orderkey % 3 > 0").withColumn("payload", F.concat(F.lit("b:"), text()))
-    return chunks.merge_sets(a, b, "payload").select("id", "seq", "payload", "in_both")
+    rows = orders(spark, sf_dir)
+    a = rows.where("l_orderkey % 3 < 2").withColumn("payload", F.concat(F.lit("a:"), text()))
+    b = rows.where("l_orderkey % 3 > 0").withColumn("payload", F.concat(F.lit("b:"), text()))
+    return chunks.merge_sets(a, b, "payload", *ARRIVAL).select("id", "seq", "payload", "in_both")
+
+
+@query(f"WITH {EVT} SELECT id, session, (seq // 256)::BIGINT AS part, count(*)::INTEGER AS entries, md5(string_agg(event_id, ',' ORDER BY seq)) AS values_md5 FROM evt GROUP BY ALL")
+def segment_map(spark, sf_dir):
+    """The nested map of logs as sorted segments; a session is as many rows as it has ranges of 256 numbers."""
+    held = segments.segments_of(events(spark, sf_dir), "event_id")
+    return held.select("id", "session", "part", F.size("at").alias("entries"), F.md5(F.array_join(F.col("values").cast("array<string>"), ",")).alias("values_md5"))
+
+
+@query(f"WITH {EVT}, l AS (SELECT *, seq % 3 AS r FROM evt) SELECT id, session, seq, CASE WHEN r = 0 THEN 'c' WHEN r = 1 THEN 'b' ELSE 'a' END || event_id AS value, r < 2 AS shared FROM l")
+def segment_merge(spark, sf_dir):
+    """Three maps merged at once: all numbers, those with seq mod 3 under 2, and those with 0; the last map that has a number gives its value."""
+    rows = events(spark, sf_dir)
+    named = lambda which, name: segments.segments_of(rows.where(which).withColumn("value", F.concat(F.lit(name), F.col("event_id").cast("string"))), "value")
+    return segments.entries(segments.merge(named("true", "a"), named("seq % 3 < 2", "b"), named("seq % 3 = 0", "c")), "value")
+
+
+@query(f"WITH {EVT}, w AS (SELECT id, session, seq + 1 AS seq FROM evt WHERE event_id % 3 = 0) SELECT w.id, w.session, w.seq, event_id, event_id IS NOT NULL AS found FROM w LEFT JOIN evt USING (id, session, seq)")
+def segment_lookup(spark, sf_dir):
+    """The events that follow every third one in its log, found through segments; the number after a log's last is not there."""
+    rows = events(spark, sf_dir)
+    wanted = rows.where("event_id % 3 = 0").select("id", "session", (F.col("seq") + 1).alias("seq"))
+    return segments.lookup(segments.segments_of(rows, "event_id"), wanted, "event_id")
 
 
 @query(f"WITH {CONV}, {EVT} SELECT id, session, seq, payload FROM conv UNION ALL SELECT id, session, seq, payload FROM evt")
