@@ -505,6 +505,38 @@ def stream_stale(spark, sf_dir):
     return _streamed(spark, sf_dir).where("decision = 'stale'").select("id", "session", "seq")
 
 
+@query(f"WITH {CONV}, m AS (SELECT id, session, max(seq) AS m FROM conv GROUP BY ALL) SELECT conv.id, conv.session, least(m, 3) AS last_seq, sum(octet_length(encode(payload))) FILTER (seq <= 3)::BIGINT AS bytes, count(*) FILTER (seq >= 5)::BIGINT AS waiting FROM conv JOIN m USING (id, session) GROUP BY conv.id, conv.session, m")
+def state_tracker(spark, sf_dir):
+    """The tracker and what waits, read from the state of a stream that has had two runs, of which the second went on from the first's state with another number of partitions; no chunk 4 comes."""
+    from logweave.streaming.reassemble import carried, run_available, sequenced, tracker_of, waiting_of
+
+    base, rows = shared_folder(spark), conversations(spark, sf_dir)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    for k, which in enumerate(("seq in (1, 3) or seq >= 6", "seq in (2, 5) or seq = 1")):
+        rows.where(which).write.parquet(f"{base}/in{k}")
+        initial = carried(spark, f"{base}/state0") if k else None
+        try:
+            spark.conf.set("spark.sql.shuffle.partitions", str(int(was) + k))
+            run_available(spark, sequenced(spark.readStream.schema(rows.schema).parquet(f"{base}/in{k}"), initial=initial), f"{base}/out{k}", f"{base}/state{k}")
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", was)
+    waits = waiting_of(spark, f"{base}/state1").groupBy("id", "session").agg(F.count("*").alias("waiting"))
+    return tracker_of(spark, f"{base}/state1").join(waits, ["id", "session"], "left").withColumn("waiting", F.coalesce("waiting", F.lit(0).cast("bigint")))
+
+
+@query(f"WITH {CONV} SELECT id, session, 2::BIGINT AS first_missing, 3::BIGINT AS last_missing FROM conv GROUP BY ALL HAVING max(seq) >= 4")
+def stream_expired(spark, sf_dir):
+    """Gaps that chunks have waited behind for longer than a millisecond, reported by timers, each once: chunks 2 and 3 never come."""
+    from logweave.streaming.reassemble import run_available, sequenced
+
+    base, rows = shared_folder(spark), conversations(spark, sf_dir)
+    for which in ("seq = 1 or seq >= 4", "seq = 1"):
+        rows.where(which).write.mode("append").parquet(f"{base}/in")
+        run_available(spark, sequenced(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), patience_ms=1), f"{base}/out", f"{base}/state")
+    found = spark.read.parquet(f"{base}/out").where("decision = 'expired'")
+    return found.select("id", "session", F.col("seq").alias("first_missing"), F.col("upto").alias("last_missing"))
+
+
 def _stored(spark, sf_dir):
     """A log store after three runs of one stream, of which two went on from the checkpoint: chunks 1 and 2, then from 4 on and 2 again, then 3 and 1 again."""
     from logweave.streaming.logstore import LogStore

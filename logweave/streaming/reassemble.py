@@ -1,13 +1,16 @@
 """Continuous sequencing: keyed state holds the last appended number and the chunks that wait behind a gap.
 
-State is (last, bytes so far) and a map seq -> payload in RocksDB, so a session that waits for long costs disk, not memory. The
-output has one row a chunk: `append` rows in order within their session and batch, with their offset in the log, and `stale` rows for redeliveries.
+State is (last, bytes so far) and a map seq -> payload in RocksDB, so a session that waits for long costs disk, not memory; nor does a batch of a session need more
+than a slice of memory, in or out. The output has one row a chunk: `append` rows in order within their session and batch, with their offset in the log, and `stale` rows
+for redeliveries. With a patience, a gap that chunks have waited behind for so long gives one `expired` row: numbers seq to upto are missing. The state
+can be read as tables and carried over into a new checkpoint, with another number of partitions.
 """
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from logweave.functions.codec import decode_chunk
@@ -15,28 +18,59 @@ from logweave.functions.naming import base_name, parse_chunk_name
 from logweave.schema import CHUNK, CHUNK_FILE
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-OUTPUT = T.StructType([*CHUNK.fields, T.StructField("offset", T.LongType()), T.StructField("decision", T.StringType())])
+OUTPUT = T.StructType([*CHUNK.fields, T.StructField("offset", T.LongType()), T.StructField("decision", T.StringType()), T.StructField("upto", T.LongType())])
+#: Bytes of payloads of a session and batch that are held at a time.
+SLICE = 64 << 20
+#: A state carried over: a row with `end` is (last appended, bytes so far), others are waiting chunks.
+CARRIED = "id string, session bigint, seq bigint, end bigint, payload binary"
+
+
+class _Rows:
+    """Output rows of a key, up to a slice of them."""
+
+    def __init__(self, key: tuple, size: int):
+        self.key, self.size, self.rows, self.bytes = key, size, [], 0
+
+    def add(self, seq: int, payload: bytes | None, offset: int | None, decision: str, upto: int | None = None) -> None:
+        self.rows.append((seq, payload, offset, decision, upto))
+        self.bytes += len(payload or b"")
+
+    def full(self) -> bool:
+        return self.bytes > self.size or len(self.rows) > 100_000
+
+    def frame(self) -> pd.DataFrame:
+        seqs, payloads, offsets, decisions, upto = zip(*self.rows, strict=True)
+        self.rows, self.bytes = [], 0
+        return pd.DataFrame({"id": self.key[0], "session": self.key[1], "seq": seqs, "payload": payloads, "offset": pd.array(offsets, "Int64"), "decision": decisions, "upto": pd.array(upto, "Int64")})
 
 
 class Sequencer(StatefulProcessor):
     """Appends 1, 2, 3, ...; arrival order doesn't matter. start="first_seen" begins at the least number of the first batch.
 
-    As in batches, a chunk 0 that comes before all others are appended is taken, once, and the session goes on as if at its start.
+    As in batches, a chunk 0 that comes before all others are appended is taken, once, and the session goes on as if at its start. patience_ms: how long
+    chunks wait behind a gap until it is said to be expired, None: for ever. on_expiry="report" lets them go on waiting, "skip" gives the missing numbers up and
+    appends what waits (they are stale should they still come). A patience needs timeMode ProcessingTime.
     """
 
-    def __init__(self, start: str = "one"):
-        self.start = start
+    def __init__(self, start: str = "one", patience_ms: int | None = None, on_expiry: str = "report", slice_bytes: int = SLICE):
+        if start not in ("one", "first_seen") or on_expiry not in ("report", "skip"):
+            raise ValueError(f"start: {start}, on_expiry: {on_expiry}")
+        self.start, self.patience_ms, self.on_expiry, self.slice_bytes = start, patience_ms, on_expiry, slice_bytes
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", T.StructType([T.StructField("seq", T.LongType()), T.StructField("end", T.LongType())]))
         key, value = T.StructType([T.StructField("seq", T.LongType())]), T.StructType([T.StructField("payload", T.BinaryType())])
         self.waiting = handle.getMapState("waiting", key, value)
+        # The timer that runs, 0 once it has, and the number that is waited for.
+        self.deadline = handle.getValueState("deadline", T.StructType([T.StructField("at", T.LongType()), T.StructField("missing", T.LongType())]))
 
     def handleInputRows(self, key, rows, timerValues):
         known = self.last.exists()
         last, end = self.last.get() if known else (0, 0)
-        out, zero = [], None
+        out, zero, least = _Rows(key, self.slice_bytes), None, None
         fresh: dict[int, bytes] = {}
+        held = 0
         for pdf in rows:
             for seq, payload in zip(pdf["seq"], pdf["payload"], strict=True):
                 seq, payload = int(seq), b"" if payload is None else bytes(payload)
@@ -45,36 +79,94 @@ class Sequencer(StatefulProcessor):
                 elif not seq and zero is not None:
                     zero = payload  # a redelivery in the same batch: the last one counts
                 elif seq <= last:
-                    out.append((seq, payload, "stale"))
+                    out.add(seq, payload, None, "stale")
+                    if out.full():
+                        yield out.frame()
                 else:
-                    fresh[seq] = payload
+                    held += len(payload) - len(fresh.get(seq, b""))
+                    fresh[seq], least = payload, seq if least is None else min(seq, least)
+                    if held > self.slice_bytes:  # the rest of this batch's chunks wait on disk until their turn
+                        self._wait(fresh)
+                        fresh, held = {}, 0
         if zero is not None:
-            out.append((0, zero, "append"))
-        if not last and fresh and self.start == "first_seen":
-            last = min(fresh) - 1
-        while True:
-            if last + 1 in fresh:
-                payload = fresh.pop(last + 1)
-                if self.waiting.containsKey((last + 1,)):
-                    self.waiting.removeKey((last + 1,))
-            elif self.waiting.containsKey((last + 1,)):
-                payload = self.waiting.getValue((last + 1,))[0]
-                self.waiting.removeKey((last + 1,))
-            else:
-                break
-            last += 1
-            out.append((last, payload, "append"))
+            out.add(0, zero, end, "append")
+            end += len(zero)
+        if not last and least is not None and self.start == "first_seen":
+            last = least - 1
+        for last, payload in self._next(last, fresh):
+            out.add(last, payload, end, "append")
+            end += len(payload)
+            if out.full():
+                yield out.frame()
+        self._wait(fresh)
+        if last or known:
+            self.last.update((last, end))
+        self._watch(last, timerValues)
+        if out.rows:
+            yield out.frame()
+
+    def _wait(self, fresh: dict[int, bytes]) -> None:
         for seq, payload in fresh.items():
             self.waiting.updateValue((seq,), (payload,))
-        offsets = []
-        for _, payload, word in out:
-            offsets.append(end if word == "append" else None)
-            end += len(payload) if word == "append" else 0
-        if last or known:
+
+    def _next(self, last: int, fresh: dict[int, bytes]):
+        """(number, payload) of the chunks that follow, taken from the batch or from those that wait."""
+        waits = self.waiting.exists()
+        while True:
+            last += 1
+            there = waits and self.waiting.containsKey((last,))
+            if last in fresh:
+                payload = fresh.pop(last)
+            elif there:
+                payload = self.waiting.getValue((last,))[0]
+            else:
+                return
+            if there:
+                self.waiting.removeKey((last,))
+            yield last, payload
+
+    def _watch(self, last: int, timerValues) -> None:
+        """A timer runs as long as chunks wait behind the same gap."""
+        if self.patience_ms is None:
+            return
+        at, missing = self.deadline.get() if self.deadline.exists() else (0, None)
+        waits = self.waiting.exists()
+        if missing is not None and (not waits or missing != last + 1):
+            if at:
+                self.handle.deleteTimer(at)
+            self.deadline.clear()
+            missing = None
+        if waits and missing is None:
+            at = timerValues.getCurrentProcessingTimeInMs() + self.patience_ms
+            self.handle.registerTimer(at)
+            self.deadline.update((at, last + 1))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        at, missing = self.deadline.get() if self.deadline.exists() else (0, None)
+        if missing is None or at != expiredTimerInfo.getExpiryTimeInMs():
+            return
+        last, end = self.last.get() if self.last.exists() else (0, 0)
+        out, first = _Rows(key, self.slice_bytes), min(int(k[0]) for k in self.waiting.keys())
+        out.add(missing, None, None, "expired", first - 1)
+        self.deadline.update((0, missing))
+        if self.on_expiry == "skip":
+            last = first - 1
+            for last, payload in self._next(last, {}):
+                out.add(last, payload, end, "append")
+                end += len(payload)
+                if out.full():
+                    yield out.frame()
             self.last.update((last, end))
-        if out:
-            seqs, payloads, words = zip(*out, strict=True)
-            yield pd.DataFrame({"id": key[0], "session": key[1], "seq": seqs, "payload": payloads, "offset": pd.array(offsets, "Int64"), "decision": words})
+            self._watch(last, timerValues)
+        yield out.frame()
+
+    def handleInitialState(self, key, initialState, timerValues):
+        for seq, end, payload in zip(initialState["seq"], initialState["end"], initialState["payload"], strict=True):
+            if pd.isna(end):
+                self.waiting.updateValue((int(seq),), (bytes(payload),))
+            else:
+                self.last.update((int(seq), int(end)))
+        self._watch(int(self.last.get()[0]) if self.last.exists() else 0, timerValues)
 
     def close(self) -> None:
         pass
@@ -96,23 +188,55 @@ def chunk_file_stream(spark: SparkSession, path: str, files_per_batch: int | Non
     return rows.where("k is not null and b.error is null").select("k.*", "b.payload")
 
 
-def sequenced(chunks: DataFrame, start: str = "one") -> DataFrame:
-    """Needs spark.sql.streaming.stateStore.providerClass = PROVIDER when the query starts."""
-    return chunks.groupBy("id", "session").transformWithStateInPandas(Sequencer(start), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
+def sequenced(chunks: DataFrame, start: str = "one", patience_ms: int | None = None, on_expiry: str = "report", initial: DataFrame | None = None) -> DataFrame:
+    """Needs spark.sql.streaming.stateStore.providerClass = PROVIDER when the query starts. initial: a state `carried` over, for a new checkpoint's first batch."""
+    held = initial.groupBy("id", "session") if initial is not None else None
+    mode = "None" if patience_ms is None else "ProcessingTime"
+    return chunks.groupBy("id", "session").transformWithStateInPandas(Sequencer(start, patience_ms, on_expiry), outputStructType=OUTPUT, outputMode="Append", timeMode=mode, initialState=held)
 
 
-def run_available(spark: SparkSession, stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Works off all that is there and stops; a later call goes on from the checkpoint, exactly once."""
+def _state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    return spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+
+
+def tracker_of(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(id, session, last_seq, bytes) of each log, from the state of a sequenced stream as its last batch left it: a tracker for `decide`."""
+    return _state(spark, checkpoint, "last").select("key.id", "key.session", F.col("value.seq").alias("last_seq"), F.col("value.end").alias("bytes"))
+
+
+def waiting_of(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(id, session, seq, payload) of the chunks that wait behind a gap."""
+    return _state(spark, checkpoint, "waiting").select("key.id", "key.session", F.col("user_map_key.seq").alias("seq"), F.col("user_map_value.payload").alias("payload"))
+
+
+def carried(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The whole state as CARRIED, for `sequenced(initial=...)`: a stream's number of state partitions is fixed by its checkpoint, and this leaves it behind."""
+    tracked = tracker_of(spark, checkpoint).select("id", "session", F.col("last_seq").alias("seq"), F.col("bytes").alias("end"), F.lit(None).cast("binary").alias("payload"))
+    return tracked.unionByName(waiting_of(spark, checkpoint).withColumn("end", F.lit(None).cast("bigint")))
+
+
+def _available(spark: SparkSession, writer: DataStreamWriter, checkpoint: str) -> None:
+    """Batches without data are left out: a stream with timers has one after the other without end. So timers that are due run with the next batch that has data."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    idle = "spark.sql.streaming.noDataMicroBatches.enabled"
+    was = spark.conf.get(idle)
+    spark.conf.set(idle, "false")
+    try:
+        query = writer.option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(idle, was)
     query.awaitTermination()
 
 
+def run_available(spark: SparkSession, stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Works off all that is there and stops; a later call goes on from the checkpoint, exactly once."""
+    _available(spark, stream.writeStream.format("parquet").option("path", out), checkpoint)
+
+
 def process_available(spark: SparkSession, stream: DataFrame, process, checkpoint: str) -> None:
     """The same with a sink of the caller's: process(batch, batch_id), whose normal return means that the batch is kept.
 
     A batch may come again after a failure, under the same batch_id.
     """
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    query = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    _available(spark, stream.writeStream.foreachBatch(process), checkpoint)

@@ -1,4 +1,6 @@
+import random
 import threading
+import time
 from collections import Counter
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
@@ -14,7 +16,7 @@ from logweave.plans.queries import QUERIES
 from logweave.plans.views import conversations
 from logweave.sources.files import write_chunk_files
 from logweave.sources.push import consume, http_uploader, push
-from logweave.streaming.reassemble import Sequencer, chunk_file_stream, process_available, run_available, sequenced
+from logweave.streaming.reassemble import PROVIDER, Sequencer, carried, chunk_file_stream, process_available, run_available, sequenced, tracker_of, waiting_of
 
 SF = "/root/testdata/sf0.001"
 CHUNK = "id string, session bigint, seq bigint, payload binary"
@@ -27,7 +29,7 @@ class State:
         self.value, self.map = None, {}
 
     def exists(self):
-        return self.value is not None
+        return self.value is not None or bool(self.map)
 
     def get(self):
         return self.value
@@ -35,6 +37,9 @@ class State:
     def update(self, value):
         self.value = value
 
+    def clear(self):
+        self.value = None
+
     def containsKey(self, k):
         return k in self.map
 
@@ -47,18 +52,100 @@ class State:
     def updateValue(self, k, v):
         self.map[k] = v
 
+    def keys(self):
+        return iter(list(self.map))
+
+
+class Clock:
+    """Stands in for the handle's timers and the time."""
+
+    def __init__(self):
+        self.now, self.timers = 0, set()
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def getExpiryTimeInMs(self):
+        return self.due
+
+
+def stubbed(*args, **options):
+    s = Sequencer(*args, **options)
+    s.last, s.waiting, s.deadline, s.handle = State(), State(), State(), Clock()
+    return s
+
+
+def given(s, *slices):
+    """Output frames of a batch that comes in slices."""
+    frames = iter([pd.DataFrame({"seq": seqs, "payload": [str(x).encode() for x in seqs]}) for seqs in slices])
+    return list(s.handleInputRows(("log", 1), frames, s.handle))
+
+
+def at(s, now):
+    """Rows of the timers that are due."""
+    s.handle.now, out = now, []
+    for due in sorted(t for t in s.handle.timers if t <= now):
+        s.handle.timers.remove(due)
+        s.handle.due = due
+        out += [tuple(r) for f in s.handleExpiredTimer(("log", 1), s.handle, s.handle) for r in f[["decision", "seq", "upto"]].astype(object).where(lambda x: x.notna(), None).itertuples(index=False)]
+    return out
+
 
 def sequenced_by(start, *batches):
-    s = Sequencer(start)
-    s.last, s.waiting = State(), State()
+    s = stubbed(start)
     out = []
     for seqs in batches:
-        rows = iter([pd.DataFrame({"seq": seqs, "payload": [str(x).encode() for x in seqs]})])
-        for pdf in s.handleInputRows(("log", 1), rows, None):
+        for pdf in given(s, seqs):
             out += list(zip(pdf["seq"], pdf["decision"], strict=True))
     return out
 
 
+@pytest.mark.parametrize("start", ["one", "first_seen"])
+def test_batches_larger_than_a_slice(start):
+    """The same rows and offsets whatever a slice holds, and no frame of more than a slice and a chunk."""
+    rng = random.Random(5)
+    batches = [[[rng.randrange(60) for _ in range(rng.randrange(1, 30))] for _ in range(3)] for _ in range(8)]
+    whole, small = stubbed(start), stubbed(start, slice_bytes=7)
+    for slices in batches:
+        a, b = given(whole, *slices), given(small, *slices)
+        assert all(sum(map(len, f["payload"])) <= 7 + 2 for f in b)
+        rows = lambda frames: pd.concat(frames)[["seq", "payload", "offset", "decision"]].astype(str).values.tolist() if frames else []
+        assert rows(a) == rows(b)
+        assert (whole.last.value, whole.waiting.map) == (small.last.value, small.waiting.map)
+    came = {seq for slices in batches for seqs in slices for seq in seqs}
+    assert whole.last.value[0] + 1 not in came and set(range(whole.last.value[0] + 1)) - {0} <= came if start == "one" else whole.last.value[0] > 1
+
+
+def test_gaps_expire():
+    """A gap is reported once after the patience; a new one has a timer of its own; one that is filled has none left."""
+    s = stubbed(patience_ms=100)
+    given(s, [1, 4, 5, 8])
+    s.handle.now = 50
+    given(s, [9])
+    assert at(s, 99) == [] and at(s, 100) == [("expired", 2, 3)] and at(s, 1000) == []
+    given(s, [3])
+    assert at(s, 2000) == [] and not s.handle.timers
+    assert [f["seq"].tolist() for f in given(s, [2])] == [[2, 3, 4, 5]] and s.handle.timers == {2100}
+    given(s, [6, 7])
+    assert not s.handle.timers and at(s, 9000) == [] and not s.waiting.map
+
+
+def test_gaps_are_skipped():
+    s = stubbed(patience_ms=100, on_expiry="skip")
+    given(s, [2, 5])
+    assert at(s, 100) == [("expired", 1, 1), ("append", 2, None)] and s.handle.timers == {200}
+    assert [f["decision"].tolist() for f in given(s, [1])] == [["stale"]]
+    assert at(s, 200) == [("expired", 3, 4), ("append", 5, None)] and not s.handle.timers and s.last.value == (5, 2)
+    with pytest.raises(ValueError):
+        Sequencer(on_expiry="drop")
+
+
 @pytest.mark.parametrize(
     ("start", "batches", "want"),
     [
@@ -168,3 +255,52 @@ def test_small_ones(spark):
     assert {r.p: r.n for r in df.collect()} == paths | {None: None}
     empty = spark.createDataFrame([("l", 1, 2, None), ("l", 1, 1, b"a"), ("l", 1, 3, b"b"), ("m", 1, 1, None)], CHUNK)
     assert {(r.id, bytes(r.body)) for r in bodies(empty).collect()} == {("l", b"ab"), ("m", b"")}
+
+
+def test_gaps_expire_in_a_running_stream(spark, tmp_path):
+    """Chunks 1 and 3 come; the gap expires with nothing more coming, is given up, and chunk 2 is stale then."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    rows = lambda *seqs: spark.createDataFrame([("l", 1, s, str(s).encode()) for s in seqs], CHUNK).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    rows(1, 3)
+    stream = sequenced(spark.readStream.schema(CHUNK).parquet(f"{tmp_path}/in"), patience_ms=1500, on_expiry="skip")
+    query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(processingTime="500 milliseconds").start()
+
+    def until(want):
+        stop = time.monotonic() + 60
+        while (got := [tuple(-1 if x is None else x for x in r) for r in seen_rows()]) != want:
+            assert time.monotonic() < stop and query.isActive, (got, query.exception())
+            time.sleep(0.3)
+
+    def seen_rows():
+        if not (tmp_path / "out/_spark_metadata/0").exists():
+            return []
+        return sorted(((r.decision, r.seq, r.upto, r.offset) for r in spark.read.parquet(f"{tmp_path}/out").collect()), key=str)
+
+    try:
+        until([("append", 1, -1, 0), ("append", 3, -1, 1), ("expired", 2, 2, -1)])
+        rows(2)
+        until([("append", 1, -1, 0), ("append", 3, -1, 1), ("expired", 2, 2, -1), ("stale", 2, -1, -1)])
+    finally:
+        query.stop()
+
+
+def test_state_is_carried_over(spark, tmp_path):
+    """A stream stopped with chunks waiting goes on in another checkpoint with another number of partitions: nothing is lost or appended twice."""
+    rows = conversations(spark, SF)
+    rows.where("seq = 1 or seq >= 4").write.parquet(f"{tmp_path}/a")
+    run_available(spark, sequenced(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/a")), f"{tmp_path}/out1", f"{tmp_path}/s1")
+    assert tracker_of(spark, f"{tmp_path}/s1").where("last_seq != 1").count() == 0
+    assert waiting_of(spark, f"{tmp_path}/s1").count() == rows.where("seq >= 4").count()
+    rows.where("seq <= 3").write.parquet(f"{tmp_path}/b")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        run_available(spark, sequenced(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/b"), initial=carried(spark, f"{tmp_path}/s1")), f"{tmp_path}/out2", f"{tmp_path}/s2")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    both = spark.read.parquet(f"{tmp_path}/out1").unionByName(spark.read.parquet(f"{tmp_path}/out2"))
+    assert both.where("decision = 'append'").count() == rows.count()
+    assert {(r.id, bytes(r.body)) for r in bodies(both.where("decision = 'append'")).collect()} == {(r.id, bytes(r.body)) for r in bodies(rows).collect()}
+    assert {r.seq for r in both.where("decision = 'stale'").collect()} == {1}
+    ends = {(r.id, r.last_seq, r.bytes) for r in tracker_of(spark, f"{tmp_path}/s2").collect()}
+    assert ends == {(r.id, r.last_seq, len(r.body)) for r in bodies(rows).collect()}
