@@ -23,6 +23,8 @@ from logweave.schema import CHUNK, MAX_CHUNK
 
 #: Bytes at each of the two places of a mark.
 MARK = 4096
+#: Bytes and files that a task reads, at most (or one piece).
+TASK_BYTES, TASK_FILES = 16 << 20, 256
 
 
 class Piece(InputPartition):
@@ -30,6 +32,24 @@ class Piece(InputPartition):
         self.path, self.inode, self.start, self.end, self.seq, self.session, self.size = path, inode, start, end, seq, session, size
 
 
+class Pieces(InputPartition):
+    """What one task reads: many small files would else be as many tasks."""
+
+    def __init__(self, pieces: list[Piece]):
+        self.pieces = pieces
+
+
+def dealt(pieces: list[Piece]) -> list[Pieces]:
+    out, held = [], 0
+    for p in pieces:
+        if not out or held + p.end - p.start > TASK_BYTES or len(out[-1].pieces) == TASK_FILES:
+            out.append(Pieces([]))
+            held = 0
+        out[-1].pieces.append(p)
+        held += p.end - p.start
+    return out
+
+
 def identity(path: str) -> tuple[int, int] | None:
     """(inode, size), or None for a file that isn't there."""
     try:
@@ -39,16 +59,36 @@ def identity(path: str) -> tuple[int, int] | None:
     return s.st_ino, s.st_size
 
 
-def located(path: str, inode: int) -> str | None:
+class Folders:
+    """Names of files by folder and inode; a folder is looked through once, and again only if a name it gave is another file's by now."""
+
+    def __init__(self):
+        self.seen: dict[str, dict[int, str]] = {}
+
+    def find(self, folder: str, inode: int) -> str | None:
+        known = folder in self.seen
+        there = self._names(folder).get(inode)
+        if known and there and (identity(there) or (None,))[0] != inode:
+            del self.seen[folder]
+            there = self._names(folder).get(inode)
+        return there
+
+    def _names(self, folder: str) -> dict[int, str]:
+        if folder not in self.seen:
+            try:
+                with os.scandir(folder) as entries:
+                    self.seen[folder] = {e.inode(): e.path for e in entries if e.is_file(follow_symlinks=False)}
+            except OSError:
+                return {}
+        return self.seen[folder]
+
+
+def located(path: str, inode: int, folders: Folders | None = None) -> str | None:
     """Where the file with this inode is: the path, or another name in its folder after a rotation."""
     now = identity(path)
     if now and now[0] == inode:
         return path
-    try:
-        with os.scandir(os.path.dirname(path) or ".") as entries:
-            return next((e.path for e in entries if e.inode() == inode and e.is_file(follow_symlinks=False)), None)
-    except OSError:
-        return None
+    return (folders or Folders()).find(os.path.dirname(path) or ".", inode)
 
 
 def mark(path: str, position: int) -> str:
@@ -90,11 +130,16 @@ class TailReader(DataSourceStreamReader):
             begin = was if old == inode and life == lived else 0
             if seq > before:
                 out.append(Piece(path, inode, begin, at, before, self.session, self.size))
-        return out
+        return dealt(out)
+
+    def read(self, partition: Pieces):
+        folders = Folders()
+        for piece in partition.pieces:
+            yield from self._read(piece, folders)
 
-    def read(self, partition: Piece):
+    def _read(self, partition: Piece, folders: Folders):
         id, seq = os.path.basename(partition.path), partition.seq
-        there = located(partition.path, partition.inode)
+        there = located(partition.path, partition.inode, folders) or located(partition.path, partition.inode)
         if there is None:
             raise OSError(f"{partition.path}: inode {partition.inode} is gone, bytes {partition.start} to {partition.end} can't be read")
         with open(there, "rb") as f:
@@ -112,11 +157,11 @@ class TailReader(DataSourceStreamReader):
 
 def advance(offsets: dict, paths: list[str], limit: int, size: int) -> dict:
     """The offsets after one look at the files."""
-    out = {}
+    out, folders = {}, Folders()
     for path in paths:
         found, known = identity(path), offsets.get(path)
         if known and (not found or found[0] != known[0]):
-            there = located(path, known[0])
+            there = located(path, known[0], folders)
             rest = identity(there) if there else None
             if rest and rest[0] == known[0] and rest[1] > known[1]:
                 found = rest
@@ -126,7 +171,7 @@ def advance(offsets: dict, paths: list[str], limit: int, size: int) -> dict:
             continue
         inode, length = found
         old, at, seq, was, life = known or [inode, 0, 0, "", 0]
-        there = located(path, inode) or path
+        there = located(path, inode, folders) or path
         if old != inode:
             at, life = 0, 0
         elif length < at or length > at and at and mark(there, at) != was:

@@ -2,6 +2,7 @@ import os
 
 import pytest
 
+from logweave.sources import tail_source
 from logweave.sources.tail_source import TailReader, TailSource
 from logweave.streaming.reassemble import run_available
 
@@ -129,3 +130,35 @@ def test_file_written_anew_between_runs_of_a_stream(spark, tmp_path):
     assert run(b"one\n") == [b"one\n"]
     assert run(b"a longer file\n") == [b"one\n", b"a longer file\n"]
     assert run(b"a longer file\nand its next line\n")[2:] == [b"and its next line\n"]
+
+
+def test_many_rotated_files_take_few_tasks_and_looks(tmp_path, monkeypatch):
+    names = [tmp_path / f"{i}.log" for i in range(600)]
+    for p in names:
+        p.write_text(f"old {p.name}")
+    r, looks, scan = reader(",".join(map(str, names))), [], os.scandir
+    monkeypatch.setattr(tail_source.os, "scandir", lambda folder: looks.append(folder) or scan(folder))
+    at, rows = drained(r, r.initialOffset())
+    for p in names:
+        with p.open("a") as f:
+            f.write(" and its end")
+        os.rename(p, f"{p}.1")
+        p.write_text(f"new {p.name}")
+    end = r.latestOffset()
+    parts = r.partitions(at, end)
+    assert len(parts) == 3 and len(looks) == 1  # a look for all files, not one for each
+    rows += [x for p in parts for x in r.read(p)]
+    assert len(looks) == 4
+    rows += drained(r, end)[1]
+    for p in names:
+        assert b"".join(x[3] for x in rows if x[0] == p.name).decode() == f"old {p.name} and its endnew {p.name}"
+
+
+def test_a_name_that_became_another_files_is_looked_for_again(tmp_path):
+    folders, path = tail_source.Folders(), tmp_path / "a.log"
+    path.write_text("old")
+    inode = path.stat().st_ino
+    assert folders.find(str(tmp_path), inode) == str(path)
+    os.rename(path, tmp_path / "a.log.1")
+    path.write_text("new")
+    assert folders.find(str(tmp_path), inode) == str(tmp_path / "a.log.1")
