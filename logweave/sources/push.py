@@ -9,9 +9,11 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from logweave.operators.pump import outcomes, present
-from logweave.sources.files import store
+from logweave.operators.pump import outcomes
+from logweave.sources.folders import dealt, qualified, read, store
 
 #: A receiver gets a path and its bytes, and answers with a code and a text.
 Uploader = Callable[[str, bytes], tuple[int, str]]
@@ -36,21 +38,22 @@ def http_uploader(url: str, seconds: float = 30.0) -> Uploader:
 
 
 def push(spark: SparkSession, queue: DataFrame, folder: str, uploader: Uploader) -> DataFrame:
-    """(path, code, body, action, throttle) of each queued file that is still there; each task sends its files one after another.
+    """(path, code, body, action, throttle, and the queue's other columns) of each queued file that is still there; each task sends its files one after another.
 
-    queue: (path). At least once: a task that is run again sends its files again, and the receiver replaces by name. Write the
-    result down before acting on it, so that no second look sends again.
+    queue: (path, ...) of files in the folder, each once; only their bytes are read. At least once: a task that is run again sends its files again, and the receiver replaces by name.
+    Write the result down before acting on it, so that no second look sends again.
     """
-    files = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(folder).select("path", "content")
-    rows = present(files, queue)
+    at = F.regexp_replace(F.regexp_replace("path", "^file:/+", "file:/"), "/[^/]*$", "")
+    rows = dealt(queue.where(at == qualified(folder))).dropDuplicates(["path"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            paths = b.column("path").to_pylist()
-            said = [uploader(p, bytes(c)) for p, c in zip(paths, b.column("content").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "code": pa.array([c for c, _ in said], pa.int32()), "body": pa.array([t for _, t in said], pa.string())})
+        for b, bodies in read(batches):
+            said = [uploader(p, body) for p, body in zip(b.column("path").to_pylist(), bodies, strict=True)]
+            answers = [pa.array([c for c, _ in said], pa.int32()), pa.array([t for _, t in said], pa.string())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *answers], names=[*b.schema.names, "code", "body"])
 
-    return outcomes(rows.mapInArrow(run, "path string, code int, body string"))
+    answered = T.StructType([*rows.schema.fields, T.StructField("code", T.IntegerType()), T.StructField("body", T.StringType())])
+    return outcomes(rows.mapInArrow(run, answered))
 
 
 def consume(delivered: DataFrame) -> None:
@@ -64,4 +67,4 @@ def consume(delivered: DataFrame) -> None:
             except FileNotFoundError:
                 pass
 
-    delivered.where("action = 'delete'").select("path").foreachPartition(each)
+    dealt(delivered.where("action = 'delete'").select("path")).foreachPartition(each)

@@ -50,7 +50,7 @@ class Deliveries:
     def send(self, listing: DataFrame, folder: str, uploader: Uploader, now: datetime) -> int:
         """One round over a listing (path, mtime) of the folder; returns how many files it tried."""
         queue = self.due(listing, now)
-        said = push(self.spark, queue.select("path"), folder, uploader).drop("body").join(queue, "path")
+        said = push(self.spark, queue, folder, uploader).drop("body")
         tries = F.col("attempts") + 1
         wait = F.greatest(F.least(F.lit(self.first_wait) * F.pow(F.lit(2.0), F.col("attempts")), F.lit(self.most_wait)), F.coalesce("throttle", F.lit(0)).cast("double"))
         after = F.timestamp_micros(F.unix_micros(F.lit(now)) + (wait * 1_000_000).cast("bigint"))
