@@ -304,3 +304,45 @@ def test_state_is_carried_over(spark, tmp_path):
     assert {r.seq for r in both.where("decision = 'stale'").collect()} == {1}
     ends = {(r.id, r.last_seq, r.bytes) for r in tracker_of(spark, f"{tmp_path}/s2").collect()}
     assert ends == {(r.id, r.last_seq, len(r.body)) for r in bodies(rows).collect()}
+
+
+class Counted(State):
+    """Counts what would be messages to the JVM."""
+
+    def __init__(self):
+        super().__init__()
+        self.calls = 0
+
+    def __getattribute__(self, name):
+        if name in ("exists", "get", "update", "containsKey", "getValue", "removeKey", "updateValue", "keys"):
+            self.calls += 1
+        return super().__getattribute__(name)
+
+
+def test_few_messages_whatever_waits():
+    """Of a log of 15 chunks that come even ones first; a message a chunk and state would be more than 40."""
+    s = stubbed()
+    s.last, s.waiting = Counted(), Counted()
+    assert not given(s, range(2, 16, 2)) and s.last.calls + s.waiting.calls <= 4
+    out = given(s, range(1, 16, 2))
+    assert [x for f in out for x in f["seq"]] == list(range(1, 16)) and s.last.calls + s.waiting.calls <= 10
+
+
+def test_large_payloads_wait_by_themselves(monkeypatch):
+    """Over entries and lengths that change while chunks wait: entries stay small, and the last payload of a number counts."""
+    from logweave.streaming import reassemble
+
+    monkeypatch.setattr(reassemble, "LARGE", 3)
+    rng, s, want, out = random.Random(3), stubbed(), {}, []
+    for _ in range(60):
+        seqs = [rng.randrange(2, 60) for _ in range(3)]
+        bodies_ = [bytes(rng.randrange(6)) for _ in seqs]
+        want |= dict(zip(seqs, bodies_, strict=True))
+        out += s.handleInputRows(("log", 1), iter([pd.DataFrame({"seq": seqs, "payload": bodies_})]), s.handle)
+        assert all(x is None or len(x) < 3 or k[0] < 0 for k, v in s.waiting.map.items() for x in v[1])
+    missing = sorted(set(range(1, 60)) - set(want))
+    want |= dict.fromkeys(missing, b"m")
+    out += s.handleInputRows(("log", 1), iter([pd.DataFrame({"seq": missing, "payload": [b"m"] * len(missing)})]), s.handle)
+    got = pd.concat(out)
+    assert got["seq"].tolist() == list(range(1, 60)) and [bytes(x) for x in got["payload"]] == [want[k] for k in range(1, 60)]
+    assert got["offset"].tolist() == [sum(len(want[i]) for i in range(1, k)) for k in range(1, 60)] and not s.waiting.map
