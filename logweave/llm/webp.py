@@ -75,6 +75,12 @@ def turned_codes(sizes: list[int]) -> list[int]:
     return out
 
 
+@lru_cache(16)
+def backwards(n: int) -> np.ndarray:
+    """All numbers of n bits the other way round."""
+    return np.array(_BACKWARDS[: 1 << n]) >> 16 - n
+
+
 class Prefix:
     """A canonical prefix code; `table` maps the next `most` bits to (symbol, length)."""
 
@@ -94,11 +100,9 @@ class Prefix:
         """symbol * 16 + length for each of the next `most` bits; a single symbol takes none."""
         if self.single is not None:
             return np.array([self.single << 4])
-        out = np.zeros(1 << self.most, np.int64)
-        used = sorted(self._used)
-        for (n, s), code in zip(used, turned_codes([n for n, _ in used]), strict=True):
-            out[code :: 1 << n] = s << 4 | n
-        return out
+        n, s = np.array(sorted(self._used)).T
+        # In order of their codes, of which each has its share of all bits that may follow; the first bit is the lowest.
+        return np.repeat(s << 4 | n, 1 << self.most - n)[backwards(self.most)]
 
     @cached_property
     def table(self) -> list[tuple[int, int]]:
@@ -129,12 +133,15 @@ def alone(symbol: int, alphabet: int) -> Prefix:
 
 
 def read_prefix(bits: Bits, alphabet: int) -> Prefix:
+    x = bits.peek(11)
+    if x & 3 == 1:  # a simple code of one symbol, by far the commonest
+        wide = x & 4
+        bits.read(11 if wide else 4)
+        return alone(x >> 3 if wide else x >> 3 & 1, alphabet)
     lengths = [0] * alphabet
     if bits.read(1):
-        two, wide = bits.read(1), bits.read(1)
-        first = bits.read(8 if wide else 1)
-        if not two:
-            return alone(first, alphabet)
+        bits.read(1)
+        first = bits.read(8 if bits.read(1) else 1)
         lengths[first] = lengths[bits.read(8)] = 1
         return Prefix(lengths)
     # From here on by plain numbers; bits beyond the end are 0 until the end is checked.
@@ -308,9 +315,9 @@ def _vector(bits: Bits, width: int, total: int, codes: list[Prefix]) -> np.ndarr
             near = _NEAR[np.minimum(d, 120)]
             back = np.where(d > 120, d - 120, np.maximum(1, (near >> 4) * width + 8 - (near & 15)))
             after[refs] = where + _MORE[k]
-        # The chain: from every 16th pixel on by doubled steps. Places behind the stretch stay where they are.
+        # The chain: from every 8th pixel on by doubled steps. Places behind the stretch stay where they are.
         steps = [np.concatenate((after - begin, _PLACES[stop : stop + 128]))]
-        for _ in range(4):
+        for _ in range(3):
             steps.append(steps[-1].take(steps[-1], mode="clip"))
         far_on, now, found = steps.pop(), at - begin, []
         while now < stop:

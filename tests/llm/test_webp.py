@@ -1,6 +1,7 @@
 """The lossless decoder against a small writer of its own: forward transforms channel by channel, tokens expanded one by one."""
 
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -282,3 +283,27 @@ def test_code_lengths_are_the_best_ones_within_the_limit():
         assert all((k > 0) == (c > 0) for c, k in zip(counts, lengths, strict=True))
     steep = webp.fitted([1 << k for k in range(30)], 15)
     assert max(steep) == 15 and sum(2.0**-k for k in steep) == 1
+
+
+def test_codes_of_one_symbol_are_read_at_once(monkeypatch):
+    """With the same end of the stream as bit by bit."""
+    reads = []
+    plain = webp.Bits.read
+    monkeypatch.setattr(webp.Bits, "read", lambda self, n: reads.append(n) or plain(self, n))
+    for data, symbol, n in ((bytes([0b0001]), 0, 4), (bytes([0b1001]), 1, 4), (bytes([0b10101101, 0b110]), 213, 11)):
+        bits, before = webp.Bits(data), len(reads)
+        assert (webp.read_prefix(bits, 256).single, bits.at, len(reads) - before) == (symbol, n, 1)
+    with pytest.raises(ValueError, match="ends early"):
+        webp.read_prefix(webp.Bits(bytes([0b101])), 256)
+
+
+def test_code_arrays_agree_with_tables():
+    rng = random.Random(7)
+    for most in (1, 2, 5, 11, 15):
+        lengths = [0]
+        while len(lengths) < 280 and (shorter := [i for i, n in enumerate(lengths) if n < most]):
+            i = rng.choice(shorter)
+            lengths[i] += 1
+            lengths.insert(rng.randrange(len(lengths) + 1), lengths[i])
+        code = webp.Prefix(lengths)
+        assert [(x >> 4, x & 15) for x in code.array.tolist()] == code.table
