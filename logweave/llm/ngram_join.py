@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import durable, map_rows, texts
+from logweave.llm.common import durable, likely, map_rows, texts, told
 from logweave.llm.minhash import _mix, components, word_hash
 
 SHINGLE = 4
@@ -225,20 +225,25 @@ def found(a: Tree, b: Tree, whole: bool) -> tuple[list[tuple[int, int]], bool]:
 MEMBER = ["uid", "comp", "size", "code", "bits"]
 
 
-def traversed(members: DataFrame, whole: bool, crossed: bool) -> DataFrame:
-    """(a, b) of pairs to look at in the trees of members (key, MEMBER), cut into blocks, a < b, and (key, null) of trees that have more; crossed: blocks meet each other, too."""
+def traversed(members: DataFrame, about: DataFrame, whole: bool, crossed: bool) -> DataFrame:
+    """(a, b) of pairs to look at in the trees of members (key, uid, comp), cut into blocks, a < b, and (key, null) of trees that have more; crossed: blocks meet each other, too."""
     many = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1").select("key", "parts")
-    rows = members.join(many, "key").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
-    blocks = rows.groupBy("key", "parts", "block").agg(F.collect_list(F.struct(*MEMBER)).alias("held"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("size").alias("s0"), F.max("size").alias("s1"))
-    own = blocks.where("c0 <> c1").select("key", "held", F.lit(None).cast(blocks.schema["held"].dataType).alias("other"))
-    if crossed:
-        wide = durable(blocks.where("parts > 1"))
-        if not wide.isEmpty():
-            roots = wide.drop("held", "parts")
-            left = roots.select("key", *(F.col(c).alias(f"{c}_l") for c in ("block", "c0", "c1", "s0", "s1")))
-            met = left.join(roots, "key").where("block_l < block and not (c0 = c1 and c0_l = c1_l and c0 = c0_l)").where(f"100 * s1 >= {PERCENT} * s0_l and 100 * s1_l >= {PERCENT} * s0").select("key", "block_l", "block")
-            two = met.join(wide.select("key", F.col("block").alias("block_l"), "held"), ["key", "block_l"]).join(wide.select("key", "block", F.col("held").alias("other")), ["key", "block"])
-            own = own.unionByName(two.select("key", "held", "other"))
+    rows = durable(members.join(many, "key").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")))
+
+    def blocks(rows: DataFrame) -> DataFrame:
+        met = rows.join(about, "uid").repartition("key", "block")  # single rows, of which a set's equal bitmaps lie together, shuffle as a third of lists of them
+        return met.groupBy("key", "parts", "block").agg(F.collect_list(F.struct(*MEMBER)).alias("held"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("size").alias("s0"), F.max("size").alias("s1"))
+
+    own = blocks(rows).where("c0 <> c1")
+    own = own.select("key", "held", F.lit(None).cast(own.schema["held"].dataType).alias("other"))
+    several = rows.where("parts > 1")
+    if crossed and not several.isEmpty():
+        wide = durable(blocks(several))
+        roots = wide.drop("held", "parts")
+        left = roots.select("key", *(F.col(c).alias(f"{c}_l") for c in ("block", "c0", "c1", "s0", "s1")))
+        met = left.join(roots, "key").where("block_l < block and not (c0 = c1 and c0_l = c1_l and c0 = c0_l)").where(f"100 * s1 >= {PERCENT} * s0_l and 100 * s1_l >= {PERCENT} * s0").select("key", "block_l", "block")
+        two = met.join(wide.select("key", F.col("block").alias("block_l"), "held"), ["key", "block_l"]).join(wide.select("key", "block", F.col("held").alias("other")), ["key", "block"])
+        own = own.unionByName(two.select("key", "held", "other"))
 
     def run(source):
         for key, held, other in source:
@@ -292,14 +297,15 @@ def signatures(clean: DataFrame) -> DataFrame:
 
 
 def trees(signed: DataFrame, twins: DataFrame) -> DataFrame:
-    """(key, uid) of all trees of two or more sets; of trees with the same sets one. twins: (uid, first) of sets that are there before."""
-    each = signed.select(F.explode("keys").alias("key"), "uid")
+    """(key, uid, n) of all trees of n sets, two or more; of trees with the same sets one. twins: (uid) of sets that are there before, and so are in all their trees by the first of them."""
+    rows = told(signed.select("uid", "keys"), "uid", twins)
+    rows = rows.where("not _may").unionByName(rows.where("_may").join(twins, "uid", "left_anti"))
+    each = rows.select(F.explode("keys").alias("key"), "uid")
     near = Window.partitionBy("key").orderBy("uid")
     shared = each.withColumn("_b", F.lag("uid").over(near)).withColumn("_a", F.lead("uid").over(near)).where("_b is not null or _a is not null").select("key", "uid")
-    shared = shared.join(twins, "uid", "left").select("key", F.coalesce("first", "uid").alias("uid")).distinct()
     shared = durable(shared)
     prints = shared.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("uid").bitwiseAND(F.lit((1 << 40) - 1))).alias("s"), F.bit_xor(F.xxhash64("uid", F.lit(1))).alias("x"))
-    one = prints.where("n > 1").groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key", "n")
+    one = prints.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key", "n")
     return durable(shared.join(one, "key"))
 
 
@@ -313,12 +319,12 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     signed = signatures(clean)
     first = signed.groupBy("node").agg(F.min("uid").alias("first"), F.count("*").alias("n"))
     named = durable(signed.select("text_key", "node", "uid", "size").join(first, "node").select("text_key", "uid", "first", "size", "n"))
-    twins = named.where("uid <> first").select("uid", "first")
-    members = trees(signed, twins)
-    wanted = members.select("uid").distinct()
-    about = durable(signed.select("uid", "size", "code", "bits", "text_key").join(wanted, "uid", "left_semi"))
-    need = about.select(F.col("text_key").alias("_key"), "uid")
-    held = durable(clean.select("text_key", "text").join(need, F.col("text_key") == F.col("_key")).select("uid", "text").dropDuplicates(["uid"]))
+    members = trees(signed, named.where("uid <> first").select("uid"))
+    wanted = durable(members.select("uid").distinct())
+    about = durable(likely(signed.select("uid", "size", "code", "bits", "text_key"), "uid", wanted).join(wanted, "uid", "left_semi"))
+    need = about.select("text_key", "uid")
+    # The sets' texts differ, so that each text is once in need.
+    held = durable(likely(clean.select("text_key", "text"), "text_key", need.select("text_key")).dropDuplicates(["text_key"]).join(need, "text_key").select("uid", "text"))
     about = about.drop("text_key")
     links = about.where("false").select(F.col("uid").alias("a"), F.col("uid").alias("b"))
     comps = about.where("false").select(F.col("uid").alias("node"), F.col("uid").alias("comp"))
@@ -330,7 +336,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def turn(rows: DataFrame, whole: bool, crossed: bool) -> tuple[bool, DataFrame]:
         """Looks at pairs in the trees of rows (key, uid, comp). Whether it has found links, and the trees (key) that have more pairs."""
         nonlocal comps, tried
-        told = durable(traversed(rows.join(about, "uid").select("key", *MEMBER), whole, crossed))
+        told = durable(traversed(rows.select("key", "uid", "comp"), about, whole, crossed))
         pairs = told.where("b is not null").join(tried, ["a", "b"], "left_anti")
         good = durable(checked(pairs, held))
         tried = tried.unionByName(told.where("b is not null"))

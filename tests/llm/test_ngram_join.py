@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from logweave.llm import ngram_join
+from logweave.llm import common, ngram_join
 
 SCHEMA = "doc_id bigint, text string, uid string, comp long, n_shingles string"
 WORDS = [f"w{i}" for i in range(500)]
@@ -123,3 +123,27 @@ def test_traversal_finds_all_the_pairs_that_bounds_leave(monkeypatch):
             pool = [(int(p), int(q)) for p in x.uid for q in y.uid if x is not y or p < q]
             need = {tuple(sorted(p)) for p in pool if ngram_join.linked_sets(sets[p[0]], sets[p[1]])}
             assert need <= got and len(got - need) < len(pool) / 2
+
+
+def test_twins_and_unwanted_texts_are_left_out_before_shuffles(spark, monkeypatch):
+    """Trees hold no set twice and no set alone; only texts in trees are read again; with bitmaps that are nearly full results are the same."""
+    rng = random.Random(7)
+    alone = [" ".join(rng.choice(WORDS) for _ in range(60)) for _ in range(200)]
+    near = [edited(rng, alone[0], 0.01) for _ in range(3)]
+    twins = [t.upper() for t in alone[:40]]  # equal sets, other texts
+    rows = [(i, t, "x", 1, "y") for i, t in enumerate(alone + near + twins)]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("text", "unhex(md5(text)) AS text_key").repartition(4)
+    signed = ngram_join.signatures(df)
+    first = signed.groupBy("node").agg({"uid": "min"}).withColumnRenamed("min(uid)", "first")
+    twin = signed.join(first, "node").where("uid <> first").select("uid")
+    assert twin.count() == 40
+    members = ngram_join.trees(signed, twin)
+    assert members.groupBy("key").count().where("count < 2").isEmpty()
+    assert members.select("uid").distinct().count() == 4  # the first text and its near copies
+    asked = df.where("text = upper(text)").select("text_key")
+    kept = common.likely(df, "text_key", asked)
+    assert kept.join(asked, "text_key", "left_semi").count() == 40 and kept.count() < 50
+    assert common.likely(df, "text_key", asked.where("false")).isEmpty()
+    monkeypatch.setattr(common, "MAPS", 1)
+    want = plain(rows)
+    assert joined(spark, rows) == want
