@@ -32,6 +32,8 @@ DAMP, DF_BUCKETS = 0.25, 1 << 16
 SIGNS = 16
 #: Words and texts whose results a Python worker remembers.
 MOST_WORDS, MOST_TEXTS = 300_000, 20_000
+#: Shingles of texts that are signed together: of short texts most time would go into calls of numpy.
+TOGETHER = 20_000
 words = re.compile(r"\w+").findall
 _U = np.uint64
 
@@ -40,10 +42,17 @@ def terms(text: str | None) -> list[str]:
     return words((text or "").lower())
 
 
+_S30, _S27, _S31, _M1, _M2 = (np.array(x, _U) for x in (30, 27, 31, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> _U(30)) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> _U(27)) * _U(0x94D049BB133111EB)
-    return x ^ x >> _U(31)
+    y = np.right_shift(x, _S30)
+    y ^= x
+    y *= _M1
+    y ^= y >> _S27
+    y *= _M2
+    y ^= y >> _S31
+    return y
 
 
 def word_hash(word: str | bytes) -> int:
@@ -53,6 +62,13 @@ def word_hash(word: str | bytes) -> int:
     return xxhash.xxh3_64_intdigest(word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass"))
 
 
+def hashes(some: list[str]) -> np.ndarray:
+    """word_hash of each."""
+    from xxhash import xxh3_64_intdigest
+
+    return np.fromiter(map(xxh3_64_intdigest, map(str.encode, some, repeat("utf-8"), repeat("surrogatepass"))), _U, len(some))
+
+
 def factors(df: np.ndarray, total: int) -> np.ndarray:
     """Per word bucket: DAMP * idf / log(total), from 0 to DAMP."""
     if total < 2:
@@ -77,7 +93,7 @@ class Shingler:
         if n > len(self.hashes):
             self.hashes, self.factors = np.resize(self.hashes, 2 * n), np.resize(self.factors, 2 * n)
         self.known.update(zip(new, range(at, n), strict=True))
-        self.hashes[at:n] = list(map(word_hash, new))
+        self.hashes[at:n] = hashes(new)
         self.factors[at:n] = self.factor[self.hashes[at:n] % _U(DF_BUCKETS)]
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -128,59 +144,77 @@ def samples(names: np.ndarray, weights: np.ndarray) -> np.ndarray:
     that a draw's least a hardly passes. Given a, c and z have the law of z = _PIECE + e / a, e exponential, c = a * z. Each is then carried
     to the piece's weight along its levels, where a can only be larger. If a draw's least does pass the limit, the limit is raised.
     """
-    n, limit = BANDS * ROWS, _MARGIN / weights.sum()
+    return samples_of([(names, weights)])[0]
+
+
+def samples_of(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """A row of samples for each of some sets, none of which is empty; sets are worked on together."""
+    n, sizes = BANDS * ROWS, [len(x) for x, _ in sets]
+    names, weights, of = np.concatenate([x for x, _ in sets]), np.concatenate([w for _, w in sets]), np.repeat(np.arange(len(sets)), sizes)
+    limit = _MARGIN / np.add.reduceat(weights, np.cumsum([0, *sizes[:-1]]))
     if weights.max() > _PIECE:
         pieces = np.maximum(1, np.ceil(weights / _PIECE)).astype(np.int64)
         at = np.repeat(np.arange(len(names)), pieces)
         k = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        names, weights = np.where(k, _mix(names[at] + k.astype(_U) * _U(0xA0761D6478BD642F)), names[at]), np.minimum(weights[at] - k * _PIECE, _PIECE)
+        names, weights, of = np.where(k, _mix(names[at] + k.astype(_U) * _U(0xA0761D6478BD642F)), names[at]), np.minimum(weights[at] - k * _PIECE, _PIECE), of[at]
     seeds = _mix(names ^ _U(0xE7037ED1A0B428DB))
     first = _exponential(seeds) / (n * _PIECE)
-    while True:
-        piece = np.flatnonzero(first <= limit)
-        least = _arrived(names, weights, seeds, first, piece, limit) if len(piece) else None
-        if least is not None:
-            return least
+    out, left = np.zeros((len(sets), n), _U), np.ones(len(sets), bool)
+    while left.any():
+        piece = np.flatnonzero((first <= limit[of]) & left[of])
+        if len(piece):
+            drawn, sure = _arrived(names, weights, of, seeds, first, piece, limit)
+            out[sure], left[sure] = drawn[sure], False
         limit *= 2
+    return out
 
 
-def _arrived(names: np.ndarray, weights: np.ndarray, seeds: np.ndarray, first: np.ndarray, piece: np.ndarray, limit: float) -> np.ndarray | None:
-    """What is drawn, if each draw has an a within the limit."""
+def _arrived(names: np.ndarray, weights: np.ndarray, of: np.ndarray, seeds: np.ndarray, first: np.ndarray, piece: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What is drawn of each set, and whether each of its draws has an a within its limit."""
     n = BANDS * ROWS
-    mean = limit * n * _PIECE
-    many = int(mean + 4 * math.sqrt(mean) + 4)
-    while True:
-        bits = _mix(seeds[piece, None] + np.arange(1, many + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
-        when = _exponential(bits) / (n * _PIECE)
-        when[:, 0] = first[piece]
-        np.cumsum(when, 1, out=when)
-        if when[:, -1].min() > limit:
-            break
-        many *= 2
-    row, col = np.divmod(np.flatnonzero(when <= limit), many)
-    # By draw, piece and time; of a piece and draw only the first arrival counts.
-    order = np.sort((bits[row, col] & _U(0xFFFFF)).astype(np.int64) * n >> 20 << 52 | row << 26 | col)
-    group = order >> 26
-    order = order[np.concatenate(([True], group[1:] != group[:-1]))]
-    draw, row, col = order >> 52, order >> 26 & 0x3FFFFFF, order & 0x3FFFFFF
-    at = piece[row]
-    more = _mix(seeds[at] ^ (draw + 1).astype(_U) * _U(0x8EBC6AF09C88C6E3))
-    a = when[row, col]
+    row, bits, when = [], [], []
+    # Arrivals of a piece are made some at a time, while they come within the limit.
+    own, last, done, many = np.arange(len(piece)), first[piece][:, None], 0, 3
+    while len(own):
+        made = _mix(seeds[piece[own], None] + np.arange(done + 1, done + many + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
+        at = _exponential(made) / (n * _PIECE)
+        if done:
+            at = np.cumsum(np.concatenate((last, at), 1), 1)[:, 1:]
+        else:
+            at[:, :1] = last
+            np.cumsum(at, 1, out=at)
+        bound = limit[of[piece[own]]]
+        r, c = np.nonzero(at <= bound[:, None])
+        row.append(own[r])
+        bits.append(made[r, c])
+        when.append(at[r, c])
+        more = np.flatnonzero(at[:, -1] <= bound)
+        own, last, done, many = own[more], at[more, -1:], done + many, 2 * many
+    row, bits, when = np.concatenate(row), np.concatenate(bits), np.concatenate(when)
+    draw = ((bits & _U(0xFFFFF)).astype(np.int64) * n >> 20) + of[piece[row]] * n
+    # By set, draw, piece and time (later ones of a piece are further on); of a piece and draw only the first arrival counts.
+    low, middle = len(row).bit_length(), len(piece).bit_length()
+    order = np.sort((draw << middle | row) << low | np.arange(len(row)))
+    group = order >> low
+    at = order[np.concatenate(([True], group[1:] != group[:-1]))] & (1 << low) - 1
+    draw, a, at = draw[at], when[at], piece[row[at]]
+    more = _mix(seeds[at] ^ (draw % n + 1).astype(_U) * _U(0x8EBC6AF09C88C6E3))
     log_z = np.log(_PIECE + _exponential(_mix(more)) / a)
     log_y = math.log(_PIECE) - _exponential(more)
     r = log_z - log_y
     level = np.floor((np.log(weights[at]) - log_y) / r)
     a = a * np.exp(log_z - log_y - (level + 1) * r)
     begins = np.flatnonzero(np.concatenate(([True], draw[1:] != draw[:-1])))
-    if len(begins) < n:
-        return None
     least = np.minimum.reduceat(a, begins)
-    if least.max() > limit:
-        return None
     is_least = np.flatnonzero(a == np.repeat(least, np.diff(begins, append=len(draw))))
     own = draw[is_least]
     is_least = is_least[np.concatenate(([True], own[1:] != own[:-1]))]
-    return _mix(names[at[is_least]] + level[is_least].astype(np.int64).astype(_U) * _U(0xD6E8FEB86659FD93))
+    there = draw[begins]
+    within = np.zeros(len(limit) * n, bool)
+    within[there] = least <= limit[there // n]
+    drawn = np.zeros(len(limit) * n, _U)
+    drawn[there] = _mix(names[at[is_least]] + level[is_least].astype(np.int64).astype(_U) * _U(0xD6E8FEB86659FD93))
+    return drawn.reshape(-1, n), within.reshape(-1, n).all(1)
 
 
 def bitmap(names: np.ndarray) -> list[int]:
@@ -191,10 +225,11 @@ def bitmap(names: np.ndarray) -> list[int]:
 
 
 def bands(drawn: np.ndarray) -> np.ndarray:
-    rows = drawn.reshape(BANDS, ROWS)
+    """Of a set's samples, or of a row of them for each set."""
+    rows = drawn.reshape(*drawn.shape[:-1], BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for i in range(ROWS):
-        key = _mix(key + rows[:, i])
+        key = _mix(key + rows[..., i])
     return key.view(np.int64)
 
 
@@ -215,8 +250,7 @@ def word_factors(docs: DataFrame) -> np.ndarray:
             n.update(set(terms(text)))
             total += 1
         sums = np.zeros(DF_BUCKETS, np.int64)
-        for w, c in n.items():
-            sums[word_hash(w) % DF_BUCKETS] += c
+        np.add.at(sums, (hashes(list(n)) % _U(DF_BUCKETS)).astype(np.int64), np.fromiter(n.values(), np.int64, len(n)))
         at = np.flatnonzero(sums)
         yield -1, total
         yield from zip(at.tolist(), sums[at].tolist(), strict=True)
@@ -360,6 +394,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
 
     def sign(source):
         s, known = Shingler(shared.value), set()
+        nodes, sets, held = [], [], 0
+
+        def signed():
+            if sets:
+                for node, (names, weights), keys in zip(nodes, sets, bands(samples_of(sets)).tolist(), strict=True):
+                    yield node, float(weights.sum()), bitmap(names), keys
+
         for node, text in source:
             if node in known:  # copies are signed once a task
                 continue
@@ -368,7 +409,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
             known.add(node)
             names, weights = s(text)
             if len(names):
-                yield node, float(weights.sum()), bitmap(names), bands(samples(names, weights)).tolist()
+                nodes.append(node)
+                sets.append((names, weights))
+                held += len(names)
+            if held > TOGETHER:
+                yield from signed()
+                nodes, sets, held = [], [], 0
+        yield from signed()
 
     signed = map_rows(clean.select("node", "text"), sign, "node binary, weight double, signs array<bigint>, bands array<bigint>")
     signed = durable(signed.dropDuplicates(["node"]))

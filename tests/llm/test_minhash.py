@@ -104,3 +104,15 @@ def test_sampling_does_not_look_at_each_draw_of_each_shingle(monkeypatch):
         made.clear()
         m.samples(np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)), 1 + m.DAMP * rng.random(n))
         assert m.BANDS * m.ROWS < sum(made) < 0.5 * n * m.BANDS * m.ROWS
+
+
+def test_sets_signed_together_are_as_signed_alone():
+    rng, sets = np.random.default_rng(11), []
+    for n in (1, 2, 5, 40, 700, 3, 6000, 1, 90):
+        names = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        sets.append((names, 1 + rng.random(len(names)) * rng.choice([0.25, 0.25, 9])))
+    together = m.samples_of(sets)
+    assert together.shape == (len(sets), m.BANDS * m.ROWS)
+    for (names, weights), row in zip(sets, together, strict=True):
+        assert (m.samples(names, weights) == row).all()
+    assert (m.bands(together) == [m.bands(row) for row in together]).all()
