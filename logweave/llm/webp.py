@@ -38,6 +38,8 @@ PLANE = (
 
 #: Pixels of an image that is read; a small file can claim to be larger, and is an error.
 MOST_PIXELS = 1 << 26
+#: Payloads whose results a task keeps in mind, at under 1 KB each.
+MOST_SEEN = 16_384
 #: Images of so few pixels are read one by one, which is quicker for them.
 SMALL = 128
 
@@ -53,7 +55,8 @@ class Bits:
         return int.from_bytes(self.data[i : i + 4], "little") >> (self.at & 7) & ((1 << n) - 1)
 
     def read(self, n: int) -> int:
-        value = self.peek(n)
+        i, at = self.at >> 3, self.at & 7
+        value = int.from_bytes(self.data[i : i + 4], "little") >> at & ((1 << n) - 1)
         self.at += n
         if self.at > 8 * len(self.data):
             raise ValueError("the stream ends early")
@@ -75,43 +78,55 @@ def turned_codes(sizes: list[int]) -> list[int]:
     return out
 
 
+#: The same as an array, and what share of all numbers of 16 bits begins with a code of each length.
+_TURNED, _SHARES = np.array(_BACKWARDS), 1 << 16 - np.arange(17)
+
+
 @lru_cache(16)
 def backwards(n: int) -> np.ndarray:
     """All numbers of n bits the other way round."""
     return np.array(_BACKWARDS[: 1 << n]) >> 16 - n
 
 
+#: Bits of a symbol beside the length of its code in one number, and what share of all codes one of each length is.
+_SYMBOL_BITS = 12
+_SYMBOL, _SHARE = (1 << _SYMBOL_BITS) - 1, [1 << 15 - n for n in range(16)]
+
+
+def sorted_codes(lengths: list[int]) -> list[int]:
+    """Lengths and symbols of a canonical code, as one number each, in order of the codes."""
+    return sorted([n << _SYMBOL_BITS | s for s, n in enumerate(lengths) if n])
+
+
 class Prefix:
     """A canonical prefix code; `table` maps the next `most` bits to (symbol, length)."""
 
     def __init__(self, lengths: list[int]):
-        used = [(n, s) for s, n in enumerate(lengths) if n]
-        self.single = used[0][1] if len(used) == 1 else None
-        self.symbols = [s for _, s in used]
-        same = {n for n, _ in used}
+        used = sorted_codes(lengths)
         if not used:
             raise ValueError("a prefix code without symbols")
-        if self.single is None and sum(1 << 15 - n for n, _ in used) != 1 << 15:
+        self.single = used[0] & _SYMBOL if len(used) == 1 else None
+        if self.single is None and sum([_SHARE[x >> _SYMBOL_BITS] for x in used]) != 1 << 15:
             raise ValueError("a prefix code that isn't complete")
-        self._used, self.most = used, max(same)
+        self._used, self.most = used, used[-1] >> _SYMBOL_BITS
 
     @cached_property
     def array(self) -> np.ndarray:
         """symbol * 16 + length for each of the next `most` bits; a single symbol takes none."""
         if self.single is not None:
             return np.array([self.single << 4])
-        n, s = np.array(sorted(self._used)).T
+        n, s = np.divmod(np.array(self._used), 1 << _SYMBOL_BITS)
         # In order of their codes, of which each has its share of all bits that may follow; the first bit is the lowest.
-        return np.repeat(s << 4 | n, 1 << self.most - n)[backwards(self.most)]
+        return np.repeat(s << 4 | n, 1 << self.most - n).take(backwards(self.most))
 
     @cached_property
     def table(self) -> list[tuple[int, int]]:
         if self.single is not None:
             return [(self.single, 0)]
         out = [(0, 0)] * (1 << self.most)
-        used = sorted(self._used)
-        for (n, s), code in zip(used, turned_codes([n for n, _ in used]), strict=True):
-            out[code :: 1 << n] = [(s, n)] * (1 << self.most - n)
+        sizes = [x >> _SYMBOL_BITS for x in self._used]
+        for x, n, code in zip(self._used, sizes, turned_codes(sizes), strict=True):
+            out[code :: 1 << n] = [(x & _SYMBOL, n)] * (1 << self.most - n)
         return out
 
     def read(self, bits: Bits) -> int:
@@ -156,24 +171,30 @@ def read_prefix(bits: Bits, alphabet: int) -> Prefix:
         left = 2 + bits.read(2 + 2 * bits.read(3))
     place, table, mask = bits.at, code.table, (1 << code.most) - 1 if code.single is None else 0
     at, before = 0, 8
+    x = held = 0
     while at < alphabet and left:
         left -= 1
-        x = int.from_bytes(data[place >> 3 : (place >> 3) + 4], "little") >> (place & 7)
+        if held < 14:  # the longest code of a length and its extra bits
+            place -= held
+            x, held = int.from_bytes(data[place >> 3 : (place >> 3) + 15], "little") >> (place & 7), 112
+            place += held
         s, n = table[x & mask]
-        place += n
+        x >>= n
+        held -= n
         if s < 16:
             lengths[at] = s
             at += 1
-            before = s or before
+            if s:
+                before = s
             continue
-        x >>= n
         value, n, more = (before, 3 + (x & 3), 2) if s == 16 else (0, 3 + (x & 7), 3) if s == 17 else (0, 11 + (x & 127), 7)
-        place += more
+        x >>= more
+        held -= more
         if at + n > alphabet:
             raise ValueError("too many code lengths")
         lengths[at : at + n] = [value] * n
         at += n
-    bits.at = place
+    bits.at = place = place - held
     if place > 8 * len(data):
         raise ValueError("the stream ends early")
     return Prefix(lengths)
@@ -209,17 +230,20 @@ def read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.nd
     if groups is None and not cache and green.single is None and all(c.single is not None for c in (red, blue, alpha)):
         # Single pixels of one coded channel, up to the first back-reference.
         rest = alpha.single << 24 | red.single << 16 | blue.single
-        data, place, table, mask = bits.data, bits.at, green.table, (1 << green.most) - 1
+        data, place, table, mask, greens = bits.data, bits.at, green.table, (1 << green.most) - 1, bytearray()
         while at < total:
             s, n = table[int.from_bytes(data[place >> 3 : (place >> 3) + 3], "little") >> (place & 7) & mask]
             if s >= 256:
                 break
             place += n
-            out.append(rest | s << 8)
+            greens.append(s)
             at += 1
         bits.at = place
         if place > 8 * len(data):
             raise ValueError("the stream ends early")
+        if at == total:
+            return np.frombuffer(greens, np.uint8).astype(np.uint32) << np.uint32(8) | np.uint32(rest)
+        out = [rest | s << 8 for s in greens]
     while at < total:
         if groups is not None:
             y, x = divmod(at, width)
@@ -257,11 +281,11 @@ def read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.nd
 
 #: Bits of a stretch that is looked up at once.
 _STRETCH = 1 << 15
-_PLACES, _SHIFTS = np.arange(_STRETCH + 256), np.arange(8, dtype=np.uint64)
+_PLACES, _SHIFTS = np.arange(_STRETCH + 256), np.arange(8, dtype=np.uint32)[:, None]
 # Fixed values of the format: for each prefix symbol of lengths and distances, its extra bits and its least value.
 _MORE = np.array([0, 0, 0, 0, *(k - 2 >> 1 for k in range(4, 40))])
 _LEAST = np.array([1, 2, 3, 4, *((2 + (k & 1) << (k - 2 >> 1)) + 1 for k in range(4, 40))])
-_NEAR = np.array([0, *PLANE])
+_MASK, _NEAR = (1 << _MORE) - 1, np.array([0, *PLANE])
 
 
 def _vector(bits: Bits, width: int, total: int, codes: list[Prefix]) -> np.ndarray:
@@ -271,7 +295,7 @@ def _vector(bits: Bits, width: int, total: int, codes: list[Prefix]) -> np.ndarr
         return np.full(total, alpha.single << 24 | red.single << 16 | green.single << 8 | blue.single, np.uint32)
     data = bits.data[bits.at >> 3 :]
     ends, data = 8 * len(data), np.frombuffer(data + bytes(32), np.uint8)
-    words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    words, halves = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,)), np.ndarray((len(data) - 7,), "<u4", data, strides=(1,))
     per = sum(c.most for c in codes[:4] if c.single is None)
     channels = ((red, 16), (blue, 0), (alpha, 24))
     several, rest = [x for x in channels if x[0].single is None], sum(c.single << place for c, place in channels if c.single is not None)
@@ -279,57 +303,61 @@ def _vector(bits: Bits, width: int, total: int, codes: list[Prefix]) -> np.ndarr
     kinds, values, sizes = [], [], []
 
     def fetch(where):
-        where = np.minimum(where, ends + 64)
-        return (words[where >> 3] >> (where & 7).astype(np.uint64)).view(np.int64)
+        # From a place before the end no pixel reaches beyond the zeros behind it.
+        return (words.take(where >> 3) >> (where & 7).view(np.uint64)).view(np.int64)
 
     def look(code, where):
         """symbol * 16 + length at each place."""
-        return code.array.take(fetch(where) & (1 << code.most) - 1, mode="clip") if code.single is None else code.array[0]
+        return code.array.take(fetch(where) & (1 << code.most) - 1) if code.single is None else code.array[0]
 
     while done < total:
         if at >= ends:
             raise ValueError("the stream ends early")
         begin = at & ~7
         stop = min(64 + min(_STRETCH, (total - done) * per), ends - begin)
-        here = _PLACES[:stop] + begin
+        here = _PLACES[:stop]
         if green.single is None:
-            # Each byte with its seven shifts: places one after another need no gather.
-            near = (words[begin >> 3 : stop + 7 + begin >> 3, None] >> _SHIFTS).reshape(-1)[:stop]
-            first = green.array.take(near.view(np.int64) & (1 << green.most) - 1, mode="clip")
+            # All bytes by each shift in turn, which is quick on long rows: places one after another need no gather.
+            near = halves[begin >> 3 : stop + 7 + begin >> 3] >> _SHIFTS & np.uint32((1 << green.most) - 1)
+            first = green.array.take(near.astype(np.uint16).T.reshape(-1)[:stop])
         else:
             first = np.full(stop, green.array[0])
         after = here + (first & 15)
-        refs = np.flatnonzero(first >= 256 << 4)
+        refs = (first >= 256 << 4).nonzero()[0]
         value = None
         for code, place in several:
-            c = look(code, after)
+            c = look(code, begin + after)
             value, after = (c >> 4) << place if value is None else value | (c >> 4) << place, after + (c & 15)
         if len(refs):
-            where = here[refs] + (first[refs] & 15)
-            k = (first[refs] >> 4) - 256
-            lengths = _LEAST[k] + (fetch(where) & (1 << _MORE[k]) - 1)
-            where = where + _MORE[k]
-            c = look(far, where)
-            k, where = np.broadcast_to(c >> 4, where.shape), where + (c & 15) * (far.single is None)
-            d = _LEAST[k] + (fetch(where) & (1 << _MORE[k]) - 1)
+            said = first.take(refs)
+            k, where = (said >> 4) - 256, refs + (said & 15)
+            # At most 10 further bits of the length, 15 of a code and 18 of the distance: one look at the stream has them all.
+            x, more = fetch(begin + where), _MORE.take(k)
+            lengths = _LEAST.take(k) + (x & _MASK.take(k))
+            x >>= more
+            c = far.array.take(x & (1 << far.most) - 1) if far.single is None else np.full(len(refs), far.array[0])
+            x >>= c & 15
+            where += more + (c & 15)
+            k = c >> 4
+            d = _LEAST.take(k) + (x & _MASK.take(k))
             near = _NEAR[np.minimum(d, 120)]
             back = np.where(d > 120, d - 120, np.maximum(1, (near >> 4) * width + 8 - (near & 15)))
-            after[refs] = where + _MORE[k]
+            after[refs] = where + _MORE.take(k)
         # The chain: from every 8th pixel on by doubled steps. Places behind the stretch stay where they are.
-        steps = [np.concatenate((after - begin, _PLACES[stop : stop + 128]))]
+        steps = [np.concatenate((after, _PLACES[stop : stop + 128]))]
         for _ in range(3):
-            steps.append(steps[-1].take(steps[-1], mode="clip"))
-        far_on, now, found = steps.pop(), at - begin, []
+            steps.append(steps[-1].take(steps[-1]))
+        far_on, now, found = memoryview(steps.pop()), at - begin, []
         while now < stop:
             found.append(now)
-            now = far_on.item(now)
+            now = far_on[now]
         found = np.array(found)
         for f in reversed(steps):
             both = np.empty(2 * len(found), np.int64)
-            both[::2], both[1::2] = found, f.take(found, mode="clip")
+            both[::2], both[1::2] = found, f.take(found)
             found = both
         at, found = begin + now, found[found < stop]
-        said = first[found] >> 4
+        said = first.take(found) >> 4
         kind = said >= 256
         mine, pixel = np.ones(len(found), np.int64), (said << 8) + rest
         if value is not None:
@@ -340,7 +368,7 @@ def _vector(bits: Bits, width: int, total: int, codes: list[Prefix]) -> np.ndarr
         passed = done + np.cumsum(mine)
         m = int(np.searchsorted(passed, total)) + 1
         if m <= len(found):
-            at = int(after[found[m - 1]])
+            at = begin + int(after[found[m - 1]])
             kind, pixel, mine, passed = kind[:m], pixel[:m], mine[:m], passed[:m]
         done, last = int(passed[-1]), at
         kinds.append(kind)
@@ -355,11 +383,13 @@ def _vector(bits: Bits, width: int, total: int, codes: list[Prefix]) -> np.ndarr
     begins = np.cumsum(sizes) - sizes
     out = np.zeros(total, np.uint32)
     out[begins[~kinds]] = values[~kinds]
-    for i, n, d in zip(begins[kinds].tolist(), sizes[kinds].tolist(), values[kinds].tolist(), strict=True):
-        if d > i:
-            raise ValueError("a back-reference leaves the image")
-        out[i : i + n] = out[i - d : i - d + n] if d >= n else np.resize(out[i - d : i], n)
-    return out
+    begins, sizes, values = begins[kinds], sizes[kinds], values[kinds]
+    if (values > begins).any():
+        raise ValueError("a back-reference leaves the image")
+    out = bytearray(out.tobytes())
+    for i, n, d in zip((4 * begins).tolist(), (4 * sizes).tolist(), (4 * values).tolist(), strict=True):
+        out[i : i + n] = out[i - d : i - d + n] if d >= n else (out[i - d : i] * (n // d + 1))[:n]
+    return np.frombuffer(out, np.uint32)
 
 
 # -- transforms ------------------------------------------------------------------------------------------------------
@@ -469,7 +499,7 @@ def undo_palette(image: np.ndarray, width: int, height: int, packed: int, table:
         green = (green.reshape(height, narrow, 1) >> shifts & np.uint32((1 << bits) - 1)).reshape(height, -1)[:, :width].reshape(-1)
     whole = np.zeros(256, np.uint32)
     whole[: len(table)] = table
-    return whole[green]
+    return whole.take(green)
 
 
 def decode_vp8l(data: bytes) -> tuple[int, int, np.ndarray]:
@@ -539,22 +569,32 @@ _PER_SYMBOL = 6
 _FACTORS = (8, 16, 24, 40, 48)
 
 
+#: A code, or another value, and its number of bits so much higher.
+_BITS = 32
+
+
 class Writer:
     """Values of at most 32 bits and their numbers of bits, the lowest bit first; a value of no bits is 0."""
 
     def __init__(self):
-        self.values, self.sizes, self.parts = [], [], []
+        self.held, self.bits, self.parts = 0, 0, []
 
     def put(self, value: int, n: int) -> None:
-        self.values.append(value)
-        self.sizes.append(n)
-
-    def put_all(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        self.parts += [(np.array(self.values, np.int64), np.array(self.sizes, np.int64)), (values, sizes)]
-        self.values, self.sizes = [], []
+        self.held |= value << self.bits
+        self.bits += n
+
+    def put_all(self, both: np.ndarray) -> None:
+        """Values with their numbers of bits, `_BITS` higher."""
+        words = -(-self.bits >> 5)
+        sizes = np.full(words, 32)
+        sizes[-1:] -= 32 * words - self.bits
+        self.parts.append((np.frombuffer(self.held.to_bytes(4 * words, "little"), "<u4").astype(np.int64), sizes))
+        if len(both):
+            self.parts.append((both & (1 << _BITS) - 1, both >> _BITS))
+        self.held = self.bits = 0
 
     def done(self) -> bytes:
-        self.put_all(np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.put_all(np.zeros(0, np.int64))
         values, sizes = map(np.concatenate, zip(*self.parts, strict=True))
         ends = np.cumsum(sizes)
         place = ends - sizes
@@ -570,52 +610,65 @@ class Writer:
 
 def fitted(counts: list[int], most: int) -> list[int]:
     """Code lengths of at most `most` bits, by joining the rarest; a single symbol has length 1."""
-    used = sorted((c, i) for i, c in enumerate(counts) if c)
+    used = sorted([c << _SYMBOL_BITS | i for i, c in enumerate(counts) if c])
     out, n = [0] * len(counts), len(used)
     if n < 2:
-        for _, i in used:
-            out[i] = 1
+        for x in used:
+            out[x & _SYMBOL] = 1
         return out
-    weights = [c for c, _ in used]
+    weights = [x >> _SYMBOL_BITS for x in used]
+    end = 1 + 2 * sum(weights)
     while True:
-        # Symbols and joined ones are two rising queues, one behind the other in `all_`.
-        all_, above, leaf, joined = weights.copy(), [0] * (2 * n - 1), 0, n
+        # Symbols and joined ones are two rising queues, each with an end above all.
+        joined, above, i, j = [end], [0] * (2 * n - 1), 0, 0
+        weights[n:] = [end]
         for k in range(n, 2 * n - 1):
-            if leaf < n and (joined >= k or all_[leaf] <= all_[joined]):
-                a, leaf = leaf, leaf + 1
+            a, b = weights[i], joined[j]
+            if a <= b:
+                above[i] = k
+                i += 1
             else:
-                a, joined = joined, joined + 1
-            if leaf < n and (joined >= k or all_[leaf] <= all_[joined]):
-                b, leaf = leaf, leaf + 1
+                a = b
+                above[n + j] = k
+                j += 1
+            c, b = weights[i], joined[j]
+            if c <= b:
+                above[i] = k
+                i += 1
             else:
-                b, joined = joined, joined + 1
-            above[a] = above[b] = k
-            all_.append(all_[a] + all_[b])
+                c = b
+                above[n + j] = k
+                j += 1
+            joined[-1:] = (a + c, end)
         above[-1] = 0
         for k in range(2 * n - 3, -1, -1):  # from a place above to a depth
             above[k] = above[above[k]] + 1
         if above[0] <= most:
-            for (_, i), depth in zip(used, above, strict=False):
-                out[i] = depth
+            for x, depth in zip(used, above, strict=False):
+                out[x & _SYMBOL] = depth
             return out
-        weights = [c + 1 >> 1 for c in weights]
+        weights = [c + 1 >> 1 for c in weights[:n]]
 
 
-def table_of(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Code and number of bits for each symbol; a single symbol takes none."""
-    codes, sizes = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    used = sorted((n, s) for s, n in enumerate(lengths) if n)
-    if len(used) > 1:
-        bits, symbols = map(list, zip(*used, strict=True))
-        codes[symbols], sizes[symbols] = turned_codes(bits), bits
-    return codes, sizes
+def table_of(lengths: list[int], symbols: list[int]) -> np.ndarray:
+    """Code and, `_BITS` higher, number of bits for each symbol, of which `symbols` have codes; a single symbol takes none."""
+    out = np.zeros(len(lengths), np.int64)
+    if len(symbols) > 1:
+        used = np.array(sorted([lengths[s] << _SYMBOL_BITS | s for s in symbols]))
+        n = used >> _SYMBOL_BITS
+        share = _SHARES.take(n)
+        out[used & _SYMBOL] = _TURNED.take(np.cumsum(share) - share) | n << _BITS
+    return out
 
 
 #: The four bits of a simple code of the one symbol 0.
 ZERO = 1
+#: Code lengths as they are said: symbol, extra, its bits.
+_PLAIN = [(n, 0, 0) for n in range(16)]
 
 
-def write_prefix(w: Writer, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def write_prefix(w: Writer, lengths: list[int]) -> np.ndarray:
+    """Writes the code, and gives its table."""
     used = [s for s, n in enumerate(lengths) if n]
     if len(used) < 2 and (not used or used[0] < 256):
         s = used[0] if used else 0
@@ -623,18 +676,19 @@ def write_prefix(w: Writer, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]
         w.put(0, 1)
         w.put(int(s > 1), 1)
         w.put(s, 8 if s > 1 else 1)
-        return table_of(lengths)
+        return table_of(lengths, used)
     w.put(0, 1)
     said, at = [], 0  # (symbol, extra, its bits)
     for s in (*used, len(lengths)):
-        zeros = s - at
-        while zeros >= 3:
-            n = min(zeros, 138)
-            said.append((17, n - 3, 3) if n < 11 else (18, n - 11, 7))
-            zeros -= n
-        said += [(0, 0, 0)] * zeros
+        if s > at:
+            zeros = s - at
+            while zeros >= 3:
+                n = min(zeros, 138)
+                said.append((17, n - 3, 3) if n < 11 else (18, n - 11, 7))
+                zeros -= n
+            said += [_PLAIN[0]] * zeros
         if s < len(lengths):
-            said.append((lengths[s], 0, 0))
+            said.append(_PLAIN[lengths[s]])
         at = s + 1
     counts = [0] * 19
     for s, _, _ in said:
@@ -642,14 +696,19 @@ def write_prefix(w: Writer, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]
     small = fitted(counts, 7)
     n = max(4, 1 + max(i for i, s in enumerate(LENGTH_ORDER) if small[s]))
     w.put(n - 4, 4)
-    for s in LENGTH_ORDER[:n]:
-        w.put(small[s], 3)
-    w.put(0, 1)
-    codes, sizes = (x.tolist() for x in table_of(small))
+    held = 0
+    for i, s in enumerate(LENGTH_ORDER[:n]):
+        held |= small[s] << 3 * i
+    w.put(held, 3 * n + 1)
+    order, held, bits = sorted_codes(small), 0, 0
+    sizes = [x >> _SYMBOL_BITS for x in order] if len(order) > 1 else [0]
+    table = {x & _SYMBOL: code for x, code in zip(order, zip(turned_codes(sizes), sizes, strict=True), strict=True)}
     for s, extra, more in said:
-        w.values += (codes[s], extra)
-        w.sizes += (sizes[s], more)
-    return table_of(lengths)
+        code, n = table[s]
+        held |= (code | extra << n) << bits
+        bits += n + more
+    w.put(held, bits)
+    return table_of(lengths, used)
 
 
 def repeats(keys: np.ndarray, k: int) -> list[tuple[int, int, int]]:
@@ -658,19 +717,24 @@ def repeats(keys: np.ndarray, k: int) -> list[tuple[int, int, int]]:
         return []
     # By 16 bits of a hash: quick to sort, and where another key comes between two equal ones, that reference is not found.
     order = np.argsort((keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16), kind="stable")
-    same = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
+    sorted_ = keys.take(order)
+    same = np.flatnonzero(sorted_[1:] == sorted_[:-1])
+    later = order.take(same + 1)
     far = np.zeros(len(keys), np.int64)
-    far[order[same + 1]] = order[same + 1] - order[same]
+    far[later] = later - order.take(same)
     far[far > FARTHEST] = 0
-    edge = np.concatenate(([0], np.flatnonzero(far[1:] != far[:-1]) + 1, [len(far)]))
-    begin, end, back = edge[:-1], edge[1:], far[edge[:-1]]
+    edge = np.flatnonzero(far[1:] != far[:-1]) + 1
+    begin, end = np.concatenate(([0], edge)), np.concatenate((edge + (k - 1), [len(far) + k - 1]))
+    back = far.take(begin)
     any_ = np.flatnonzero(back)
     out, done = [], 0
-    for a, b, d in zip(begin[any_].tolist(), end[any_].tolist(), back[any_].tolist(), strict=True):
-        end = b - 1 + k
-        a = max(a, done)
+    for a, end, d in zip(begin.take(any_).tolist(), end.take(any_).tolist(), back.take(any_).tolist(), strict=True):
+        if a < done:
+            a = done
         while end - a >= k:
-            n = min(end - a, LONGEST)
+            n = end - a
+            if n > LONGEST:
+                n = LONGEST
             out.append((a, n, d))
             a = done = a + n
     return out
@@ -691,62 +755,57 @@ def write_image(w: Writer, channels: list[np.ndarray | None], refs: list[tuple[i
     if main:
         w.put(0, 1)
     alphabet = 280 + (1 << cache_bits if cache_bits else 0)
-    single = np.arange(n)
-    if refs:
-        free = np.ones(n, bool)
-        for a, k, _ in refs:
-            free[a : a + k] = False
-        single = np.flatnonzero(free)
-        green = green[single]
-    green, cached = green.astype(np.int64), None
-    if cache_bits:
-        green, cached = _cached(channels, single, refs, cache_bits)
-    said = green
+    free = slice(None)
     if refs:
         start, length, back = np.array(refs, np.int64).T
+        inside = np.zeros(n + 1, np.int8)
+        inside[start] += 1
+        inside[start + length] -= 1
+        free = np.cumsum(inside[:-1], dtype=np.int8) == 0
         ls, lx, lb = _coded(length)
         ds, dx, db = _coded(back + 120)
-        said = np.concatenate((green, 256 + ls))
-    codes, sizes = write_prefix(w, fitted(np.bincount(said, minlength=alphabet).tolist(), 15))
-    values, bits = [codes[green]], [sizes[green]]
+    said, cached = green[free], None
+    if cache_bits:
+        free = free if refs else np.ones(n, bool)
+        green, cached = _cached(channels, free, cache_bits)
+        said = green[free]
+    counts = np.bincount(said, minlength=alphabet)
+    if refs:
+        counts += np.bincount(256 + ls, minlength=alphabet)
+    codes = write_prefix(w, fitted(counts.tolist(), 15))
+    columns = [codes.take(green)]
     for c in channels[1:]:
         if c is None:
             w.put(ZERO, 4)
             continue
-        c = c[single]
-        counted = c if cached is None else c[~cached]
-        mine = write_prefix(w, fitted(np.bincount(counted, minlength=256).tolist(), 15) if len(counted) else [0] * 256)
-        values.append(mine[0][c] if cached is None else np.where(cached, 0, mine[0][c]))
-        bits.append(mine[1][c] if cached is None else np.where(cached, 0, mine[1][c]))
-    per = len(values)
-    values, bits = (x[0] if per == 1 else np.stack(x, 1).reshape(-1) for x in (values, bits))
+        counted = c[free] if cached is None else c[free & ~cached]
+        mine = write_prefix(w, fitted(np.bincount(counted, minlength=256).tolist(), 15) if len(counted) else [0] * 256).take(c)
+        columns.append(mine if cached is None else np.where(cached, 0, mine))
+    both = columns[0][:, None] if len(columns) == 1 else np.stack(columns, 1)
     if not refs:
         w.put(ZERO, 4)
     else:
         last = write_prefix(w, fitted(np.bincount(ds, minlength=40).tolist(), 15))
-        # A reference's four values stand behind those of the pixels before it.
-        place = per * np.searchsorted(single, start) + 4 * np.arange(len(refs))
-        theirs = np.zeros(len(values) + 4 * len(refs), bool)
-        theirs[place[:, None] + np.arange(4)] = True
-        both = []
-        for mine, other in ((values, (codes[256 + ls], lx, last[0][ds], dx)), (bits, (sizes[256 + ls], lb, last[1][ds], db))):
-            x = np.empty(len(theirs), np.int64)
-            x[~theirs], x[theirs] = mine, np.stack(other, 1).reshape(-1)
-            both.append(x)
-        values, bits = both
-    w.put_all(values, bits)
-
-
-def _cached(channels: list[np.ndarray], single: np.ndarray, refs: list[tuple[int, int, int]], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Green symbols of the pixels outside references, with cache symbols where the cache has the pixel; and which those are."""
-    g, r, b, a = (np.zeros(len(channels[0]), np.int64) if c is None else c.astype(np.int64) for c in channels)
+        # A reference's four values stand in the place of its first pixels, of which it has as many as that takes.
+        rows = -(-4 // both.shape[1])
+        cells = np.zeros((len(refs), rows * both.shape[1]), np.int64)
+        for i, x in enumerate((codes[256 + ls], lx | lb << _BITS, last[ds], dx | db << _BITS)):
+            cells[:, i] = x
+        place = (start[:, None] + np.arange(rows)).reshape(-1)
+        both[place] = cells.reshape(-1, both.shape[1])
+        free[place] = True
+        both = both[free]
+    w.put_all(both.reshape(-1))
+
+
+def _cached(channels: list[np.ndarray], free: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Green symbols, with cache symbols for the pixels outside references that the cache has; and which those are."""
+    g, r, b, a = (np.zeros(len(free), np.int64) if c is None else c.astype(np.int64) for c in channels)
     pixels = (a << 24 | r << 16 | g << 8 | b).tolist()
-    cache, out, at = [0] * (1 << bits), [], 0
-    own = set(single.tolist())
-    for at, p in enumerate(pixels):
+    cache, out = [0] * (1 << bits), []
+    for p, own in zip(pixels, free.tolist(), strict=True):
         k = (HASH * p & 0xFFFFFFFF) >> 32 - bits
-        if at in own:
-            out.append(280 + k if cache[k] == p else p >> 8 & 255)
+        out.append(280 + k if own and cache[k] == p else p >> 8 & 255)
         cache[k] = p
     out = np.array(out, np.int64)
     return out, out >= 280
@@ -797,11 +856,10 @@ def _few(p: np.ndarray) -> bool:
     """Whether an image of four bytes to a pixel has few colours, or few steps from pixel to pixel; others aren't tried."""
 
     def few(x):
-        # By hashes first, of which there are no more than values.
-        some = np.count_nonzero(np.bincount(x * np.uint32(0x9E3779B1) >> np.uint32(20)))
-        return 3 * some < len(p) and 3 * len(set(x.tolist())) < len(p)
+        x = np.sort(x)
+        return 3 * (np.count_nonzero(x[1:] != x[:-1]) + min(1, len(x))) < len(p)
 
-    return few(p) or few(np.diff(p))
+    return few(p) or few(p[1:] - p[:-1])
 
 
 def _write_image(part: np.ndarray) -> bytes:
@@ -824,7 +882,8 @@ def _write_image(part: np.ndarray) -> bytes:
         w.put(1, 1)
         w.put(PALETTE, 2)
         w.put(len(values) - 1, 8)
-        steps = np.diff(values, prepend=np.uint8(0))
+        steps = values.copy()
+        steps[1:] -= values[:-1]
         write_image(w, [steps, None, None, None], [])
         packed = 3 if len(values) <= 2 else 2 if len(values) <= 4 else 1 if len(values) <= 16 else 0
         if packed:
@@ -906,17 +965,25 @@ def pixels(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -
     return map_rows(media.select(id_col, media_col), rows, f"{id_col} bigint, image int, width int, height int, argb binary, error string")
 
 
+def described(source):
+    """The rows of `digests`; of a task's equal payloads, as long as they are kept in mind, one is stored and read back."""
+    seen = {}
+    for doc_id, text in source:
+        payload, n = padded(text)
+        key = sha256(payload).digest()
+        if key not in seen:
+            if len(seen) >= MOST_SEEN:
+                seen.clear()
+            media = store(payload)
+            back, sizes = read_back(media)
+            seen[key] = len(back), sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), sha256(media).hexdigest(), feature(back, sizes)
+        yield doc_id, n, *seen[key]
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stores each whole text, reads the stored bytes back, and describes both; long columns never leave the worker.
 
     Null counts as the empty text (64 zero bytes); repeated rows give repeated rows; other columns aren't read.
     """
 
-    def rows(source):
-        for doc_id, text in source:
-            payload, n = padded(text)
-            media = store(payload)
-            back, sizes = read_back(media)
-            yield doc_id, n, len(back), sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), sha256(media).hexdigest(), feature(back, sizes)
-
-    return map_rows(texts(docs, id_col, text_col), rows, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return map_rows(texts(docs, id_col, text_col), described, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")

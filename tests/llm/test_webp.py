@@ -307,3 +307,26 @@ def test_code_arrays_agree_with_tables():
             lengths.insert(rng.randrange(len(lengths) + 1), lengths[i])
         code = webp.Prefix(lengths)
         assert [(x >> 4, x & 15) for x in code.array.tolist()] == code.table
+
+
+def test_headers_are_written_by_words():
+    """Codes of 200 symbols are a few words of bits beside the pixels, not two values for each code length."""
+    data = np.random.default_rng(8).permutation(np.arange(4096) % 200).astype(np.uint8)
+    w = webp.Writer()
+    webp.write_image(w, [data, None, None, None], [], main=True)
+    head = w.parts[0][0]
+    assert 0 < len(head) < 40 and len(w.parts[-1][0]) == len(data)
+    bits = webp.Bits(w.done() + bytes(8))
+    assert (webp.read_image(bits, 64, 64, main=True) >> 8 & 255).astype(np.uint8).tobytes() == data.tobytes()
+
+
+def test_equal_payloads_are_stored_once_a_task(monkeypatch):
+    """With the same rows; texts that only differ by zeros at the end keep their own lengths, and what is kept in mind is bounded."""
+    texts = ["a b c " * 50, None, "", "a b c " * 50, "\0" * 5, "x", "a b c " * 50]
+    alone = [next(webp.described([(i, x)])) for i, x in enumerate(texts)]
+    stored, plain = [], webp.store
+    monkeypatch.setattr(webp, "store", lambda payload: stored.append(payload) or plain(payload))
+    assert list(webp.described(enumerate(texts))) == alone and len(stored) == 3
+    assert [r[1] for r in alone] == [300, 0, 0, 300, 5, 1, 300]
+    monkeypatch.setattr(webp, "MOST_SEEN", 1)
+    assert list(webp.described(enumerate(texts))) == alone
